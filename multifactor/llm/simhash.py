@@ -72,7 +72,7 @@ def near_links(values: DataFrame, radius: int = 3, most: int = 1024, seed: int =
     Values meet in the buckets of the covering masks. A bucket's own links are reduced to one for each value joined, so
     no group's pairs are emitted. Buckets of more than ``most`` values are dealt out again by a second and third family
     of masks inside what the first left free: any close pair of theirs meets again, and as each family halves the free
-    bits, buckets are small in the end. No bucket is cut or dropped.
+    bits, of which a bucket of ``most`` values needs log2(most) at least, none is left after a few. No bucket is cut.
     """
     spark = values.sparkSession
     rows = values.select("fp", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("kept"))
@@ -96,7 +96,7 @@ def near_links(values: DataFrame, radius: int = 3, most: int = 1024, seed: int =
         large = met.where(F.col("n") > most)
         if not large.limit(1).count():
             break
-        if level >= 5:  # all 64 bits are kept by now, so that buckets hold one value
+        if level >= 12:  # all 64 bits are kept by now, so that buckets hold one value
             raise AssertionError("covering masks left bits free")
         rows, level = large.select("fp", "path", "kept"), level + 1
     links = found[0]

@@ -132,7 +132,7 @@ def best_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 PASSAGE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())]))
 
 
-def toxic_passages(docs: DataFrame, model: WordScores, *, text: str = "text", significance: float = 0.05) -> DataFrame:
+def toxic_passages(docs: DataFrame, model: WordScores, *, text: str = "text", significance: float = 0.01) -> DataFrame:
     """Every significant toxic passage of every whole text: ``row`` (all columns but the text), ``words``, ``surprise``, ``passages``.
 
     A passage (start, end in code points, end exclusive; score) is a maximal scoring segment; it is significant if

@@ -1,0 +1,72 @@
+"""The registered corpus queries and the pipeline over the smallest tables."""
+
+import zlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from multifactor.llm import queries
+
+COLUMNS = {
+    "op1_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op2_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op3_top_k": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op4_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op5_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op6_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op7_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op8_lines": {"doc_id": "bigint", "n_lines": "bigint", "n_removed": "bigint", "removed_lines": "string"},
+    "op9_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op10_decontamination": {"doc_id": "bigint", "item_id": "bigint", "distance": "int", "match_end": "bigint"},
+}
+
+
+@pytest.mark.parametrize("name", queries.queries())
+def test_query_covers_its_whole_table(spark, sf_dir, name):
+    df = queries.queries()[name](spark, sf_dir)
+    assert COLUMNS[name].items() <= dict(df.dtypes).items()
+    rows = df.toPandas()
+    if name in ("op3_top_k", "op10_decontamination"):
+        assert len(rows)
+    else:
+        ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").toPandas()["doc_id"]
+        assert sorted(rows["doc_id"]) == sorted(ids)
+    parts = {"op4_toxicity": (5, 0), "op5_quality": (3, 1), "op9_language": (4, 2)}
+    if name in parts:
+        n, k = parts[name]
+        assert [zlib.crc32(str(i).encode()) % n == k for i in rows["doc_id"]] == rows["held_out"].tolist() and rows["score"].between(0, 1).all()
+
+
+@pytest.mark.parametrize("name", queries.oracle_sql())
+def test_query_matches_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    df = queries.queries()[name](spark, sf_dir)
+    want = con.execute(f"select {', '.join(df.columns)} from ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name != "sharding":
+            assert out.columns == docs.columns
+        docs = corpus_pipeline.stored(out)
+        after = docs.count()
+        assert {"mixing": True, "sharding": after == before}.get(name, 0 < after < before)
+        before = after
+    assert docs.groupBy("shard").agg((F.max("slot") + 1 - F.count("*")).alias("gap")).where("gap != 0").count() == 0
+    assert corpus_pipeline.run(spark, sf_dir).count() == before
+
+
+@pytest.mark.parametrize("stage", dict(corpus_pipeline.STAGES))
+def test_stages_take_an_empty_table(spark, sf_dir, stage):
+    none = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
+    assert dict(corpus_pipeline.STAGES)[stage](spark, none, sf_dir).count() == 0
