@@ -30,15 +30,22 @@ def pieces(length: int, errors: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def best_match(pattern: str, text: str) -> tuple[int, int]:
+def places(pattern: str) -> dict[str, int]:
+    """Bits of the places where each character stands in the pattern."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def best_match(pattern: str, text: str, enough: int = -1, occurs: dict[str, int] | None = None) -> tuple[int, int]:
     """Least edit distance of ``pattern`` to any part of ``text``, and where the first such part ends.
 
-    Myers' bit-parallel recurrence over one column of the distance table, held in one integer.
+    Myers' bit-parallel recurrence over one column of the distance table, held in one integer. Stops at a distance of
+    ``enough`` or less.
     """
     m = len(pattern)
-    occurs: dict[str, int] = {}
-    for i, c in enumerate(pattern):
-        occurs[c] = occurs.get(c, 0) | 1 << i
+    occurs = places(pattern) if occurs is None else occurs
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, distance = full, 0, m
     best, end = m, 0
@@ -47,24 +54,70 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
         diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
         up = minus | (full & ~(diagonal | plus))
         down = plus & diagonal
-        distance += bool(up & top) - bool(down & top)
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+            if distance < best:
+                best, end = distance, j + 1
+                if best <= enough:
+                    break
         up, down = up << 1 & full, down << 1 & full
         plus = down | (full & ~(diagonal | up))
         minus = up & diagonal
-        if distance < best:
-            best, end = distance, j + 1
     return best, end
 
 
+class Node:
+    """Neighbouring pieces of an item; with as many edits as pieces or more, the item's match need not hold them."""
+
+    def __init__(self, item: str, cuts: list[tuple[int, int]], first: int, after: int):
+        self.a, self.b, self.errors = cuts[first][0], cuts[after - 1][1], after - first - 1
+        self.text = item[self.a : self.b]
+        self.occurs = places(self.text)
+
+    def near(self, low: str, begin: int) -> bool:
+        """Do these pieces stand in the text, with fewer edits than pieces, where the item would begin at ``begin``?"""
+        window = low[max(0, begin + self.a - self.errors) : max(0, begin + self.b + self.errors)]
+        return best_match(self.text, window, self.errors, self.occurs)[0] <= self.errors
+
+
+def _paths(item: str, cuts: list[tuple[int, int]], first: int, after: int, above: list[Node], out: list) -> None:
+    """For each piece, in order: its parents from the smallest to the one below the whole item, and its sibling piece."""
+    if after - first == 1:
+        return
+    mid = first + (1 << (after - first - 1).bit_length() - 1)  # a power of two on the left, so that most pieces have a sibling
+    for x, y, other in ((first, mid, (mid, after)), (mid, after, (first, mid))):
+        if y - x == 1:
+            sibling = cuts[other[0]] if other[1] - other[0] == 1 else None
+            out.append((cuts[x], above, sibling))
+        else:
+            _paths(item, cuts, x, y, [Node(item, cuts, x, y), *above], out)
+
+
 class Matcher:
-    """Finds test items in texts; built once in each Python worker from (item id, normalized text) pairs."""
+    """Finds test items in texts; built once in each Python worker from (item id, normalized text) pairs.
+
+    An exact hit of a piece is checked from the bottom up: if an item is found with e edits, then in a tree over its
+    e + 1 pieces some path from the root holds at every node fewer edits than pieces. So a hit counts only if each
+    node above its piece is near its place; most fail at the first, which is short.
+    """
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = [(i, t, math.floor(rate * len(t))) for i, t in items if t]
-        held: dict[str, list[tuple[int, int]]] = {}
+        held: dict[str, list] = {}
         for n, (_, t, errors) in enumerate(self.items):
-            for a, b in pieces(len(t), errors):
-                held.setdefault(t[a:b], []).append((n, a))
+            cuts = pieces(len(t), errors)
+            found: list = [(cuts[0], [], None)] if errors == 0 else []
+            _paths(t, cuts, 0, len(cuts), [], found)
+            for (a, b), above, sibling in found:
+                # a sibling piece with one edit at most keeps one of its halves whole
+                halves = None
+                if sibling is not None and above:
+                    c, d = sibling
+                    mid = (c + d) // 2
+                    halves = ((t[c:mid], c), (t[mid:d], mid))
+                held.setdefault(t[a:b], []).append((n, a, above, halves))
         self.automaton = ahocorasick.Automaton()
         for piece, where in held.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -77,9 +130,13 @@ class Matcher:
         windows: dict[int, list[list[int]]] = {}
         if low and len(self.automaton):
             for last, (length, where) in self.automaton.iter(low):
-                for n, at in where:
-                    _, t, errors = self.items[n]
+                for n, at, above, halves in where:
                     begin = last + 1 - length - at
+                    if halves is not None and not any(low.find(h, max(0, begin + c - 1), max(0, begin + c + len(h) + 1)) >= 0 for h, c in halves):
+                        continue
+                    if not all(node.near(low, begin) for node in above):
+                        continue
+                    _, t, errors = self.items[n]
                     a, b = max(0, begin - errors), begin + len(t) + errors
                     spans = windows.setdefault(n, [])
                     if spans and a <= spans[-1][1]:
