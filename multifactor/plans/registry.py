@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from multifactor.plans import factors, statistics
+
+MODULES = (statistics, factors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
