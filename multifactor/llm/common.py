@@ -47,6 +47,18 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
+def bounded_labels(labels: DataFrame, label: str, most: int, key: str = "doc_id") -> DataFrame:
+    """(key, label) of at most about ``most`` labelled keys, small enough to broadcast; a key's largest label counts.
+
+    Where there are more, a hash of the key picks them, the same in every run.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("label"))
+    count = known.count()
+    if count > most:
+        known = known.where(F.pmod(F.xxhash64(F.lit(9), key), F.lit(1 << 30)) < int((1 << 30) * most / count))
+    return F.broadcast(known)
+
+
 def has_map(kind: T.DataType) -> bool:
     """True if a value of this type cannot be hashed or ordered."""
     if isinstance(kind, T.StructType):

@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from multifactor.llm.common import encoded, hashed_words, in_chunks, quoted, stored
 
 #: Hashed words; the model has one score for each, whatever the corpus.
-WORDS = 1 << 19
+WORDS = 1 << 20
+#: Labelled rows that a fit takes at most (see common.bounded_labels); so labels can be sent to where the texts lie.
+FIT_ROWS = 200_000
 #: Beginnings of words, in bytes, that have scores of their own.
 PREFIXES = (5, 6, 7, 9)
 #: Bins of word scores from -1 to 8.
@@ -72,7 +74,7 @@ def fit_word_scores(rows: DataFrame, *, prior: float = 0.01, caution: float = 1.
     """
     rows = rows.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
     counts = rows.mapInPandas(_count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    table = counts.toPandas().set_index("slot").sort_index()
+    table = counts.toArrow().to_pandas().set_index("slot").sort_index()
     if table.empty or not table.loc[-1].all():
         return WordScores(np.full(WORDS, -drift, np.float32))
     (n0, n1), table = table.loc[-1], table.drop(index=-1)
