@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -300,10 +301,10 @@ def _prototypes(rows: DataFrame, axes: Sequence[str], seed: int) -> tuple[np.nda
 def hcpc(rows: DataFrame, axes: Sequence[str] | None = None, q: int | None = None, *, most: int = 10, consolidated: bool = True, seed: int = 42) -> Hcpc:
     """Cluster rows on their coordinates (five axes at most by default), into q clusters or as the rules agree."""
     axes = list(axes or [c for c in rows.columns if c.startswith("F") and c[1:].isdigit()][:5])
-    slim = rows.select(*[col(a) for a in axes])
+    slim = rows.select(*[col(a) for a in axes]).persist(StorageLevel.MEMORY_AND_DISK)  # every round reads it again
     head = slim.limit(MOST_POINTS + 1).toPandas().to_numpy(float)
     exact = len(head) <= MOST_POINTS
-    points, weights = (head, None) if exact else _prototypes(rows, axes, seed)
+    points, weights = (head, None) if exact else _prototypes(slim, axes, seed)
     tree = ward(points, weights)
     rules = cut_rules(points, tree, most, weights)
     g = tree.cut(q or rules.consensus)
@@ -311,5 +312,6 @@ def hcpc(rows: DataFrame, axes: Sequence[str] | None = None, q: int | None = Non
     centres = np.array([np.average(points[g == c], axis=0, weights=w[g == c]) for c in range(g.max() + 1)])
     rounds = 0
     if consolidated:
-        centres, rounds = consolidate(rows, axes, centres)
+        centres, rounds = consolidate(slim, axes, centres)
+    slim.unpersist()
     return Hcpc(assigned(rows, axes, centres), axes, centres, tree, rules, exact, rounds)

@@ -80,7 +80,7 @@ def factor_map(df: DataFrame, found: Pca, k: int, rotation: Rotation | None = No
     variance = rotation.ss
     if not rotation.oblique:
         turned = found.vectors[:, :k] @ rotation.transform
-        scores = Pca(found.names, found.n, found.centre, found.sd, found.covariance, found.values, turned, found.is_correlation).score_columns(k)
+        scores = Pca(found.names, found.n, found.centre, found.sd, found.covariance, found.values, turned, found.is_correlation, found.divisor).score_columns(k)
         rows = df.select(*[col(c) for c in kept], *scores, dist2.alias("dist2"))
         return FactorMap(found.names, rotation.pattern, variance, found.total, communality, rows, True, False)
     weights = thurstone(found.correlation, rotation.structure)
@@ -88,7 +88,7 @@ def factor_map(df: DataFrame, found: Pca, k: int, rotation: Rotation | None = No
     b = np.zeros((found.p, k)) if weights is None else weights / sd[:, None]
     spread = np.sqrt(np.maximum(np.einsum("ik,ij,jk->k", b, found.covariance, b), 0))
     b = b * np.where(spread > 0, np.sqrt(variance) / np.where(spread > 0, spread, 1.0), 0.0)
-    scores = Pca(found.names, found.n, found.centre, found.sd, found.covariance, found.values, b, found.is_correlation).score_columns(k)
+    scores = Pca(found.names, found.n, found.centre, found.sd, found.covariance, found.values, b, found.is_correlation, found.divisor).score_columns(k)
     rows = df.select(*[col(c) for c in kept], *scores, dist2.alias("dist2"))
     return FactorMap(found.names, rotation.structure, variance, found.total, communality, rows, True, True)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from multifactor.functions import columns as C
 from multifactor.functions import distributions as D
 from multifactor.functions.columns import col
+from multifactor.operators.quantiles import cumulative_counts
 
 
 def pairwise_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -31,15 +32,7 @@ def average_ranks(df: DataFrame, names: Sequence[str], suffix: str = "_rank") ->
     """
     out = df
     for name in names:
-        counts = df.where(col(name).isNotNull()).groupBy(col(name).alias("_v")).agg(F.count("*").alias("_n"))
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cells = counts.agg(F.percentile_approx("_v", F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), 1000).alias("cuts")).first().cuts if parts > 1 else []
-        cut = F.array(*[F.lit(float(c)) for c in cells or []]).cast("array<double>")
-        dealt = counts.withColumn("_cell", F.size(F.filter(cut, lambda c: c < F.col("_v"))))
-        before = dealt.groupBy("_cell").agg(F.sum("_n").alias("_m")).select("_cell", F.coalesce(F.sum("_m").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_past"))
-        inner = W.partitionBy("_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-        ranked = dealt.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(F.broadcast(before), "_cell")
-        ranked = ranked.select("_v", (F.col("_past") + F.col("_in") + (F.col("_n") + 1) / 2).cast("double").alias(name + suffix))
+        ranked = cumulative_counts(df, col(name)).select("_v", (F.col("_past") + (F.col("_n") + 1) / 2).cast("double").alias(name + suffix))
         out = out.join(ranked, col(name) == F.col("_v"), "left").drop("_v")
     return out
 

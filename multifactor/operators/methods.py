@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from multifactor.operators.correspondence import correspondence_of, mca
 from multifactor.operators.mixed import famd, mfa
-from multifactor.operators.pca import pca, standardised
+from multifactor.operators.pca import correlation_pca
 from multifactor.operators.retention import Criterion, consensus, elbow, reaching
 
 
@@ -53,8 +53,7 @@ def run(df: DataFrame, method: str, *, numeric: Sequence[str] = (), categorical:
     if method == "pca":
         if len(numeric) < 2:
             raise ValueError("PCA needs two numeric variables")
-        rows = standardised(rows, list(numeric))
-        f = pca(rows, list(numeric))
+        f = correlation_pca(rows, list(numeric))
         values, total, coordinates = f.values, f.total, f.scores(rows)
         rules = axis_rules(values, total)
     elif method == "ca":

@@ -18,21 +18,19 @@ EXPRESSION_COLUMNS = 32
 
 @dataclass(frozen=True)
 class Moments:
-    """Rows, means, standard deviations (sample and population), extremes of some columns."""
+    """Rows, means and standard deviations (sample and population) of some columns."""
 
     n: int
     mean: np.ndarray
     sd: np.ndarray
     sd_population: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """Moments of each column over its own non-null values, in one aggregation; n counts all rows."""
-    figures = [f(col(c).cast("double")) for c in columns for f in (F.avg, F.stddev_samp, F.stddev_pop, F.min, F.max)]
+    figures = [f(col(c).cast("double")) for c in columns for f in (F.avg, F.stddev_samp, F.stddev_pop)]
     row = df.agg(F.count(F.lit(1)), *figures).first()
-    table = np.array([np.nan if v is None else float(v) for v in row[1:]]).reshape(-1, 5)
+    table = np.array([np.nan if v is None else float(v) for v in row[1:]]).reshape(-1, 3)
     return Moments(row[0], *table.T)
 
 

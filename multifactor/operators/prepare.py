@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from multifactor.functions import columns as C
 from multifactor.functions.columns import col
 from multifactor.operators.profile import _missing, _number
+from multifactor.operators.quantiles import quantiles
 
 SCALINGS = ("none", "center", "z", "pareto", "vast", "range", "robust")
 
@@ -96,19 +97,15 @@ def scaling_of(how: str, f: Mapping[str, float | None]) -> tuple[float, float]:
 def figures_of(df: DataFrame, columns: Mapping[str, Column], robust: bool = False) -> dict[str, dict[str, float | None]]:
     """Mean, sd, min, max of each column in one aggregation; with ``robust`` also exact median, IQR and MAD."""
     wanted = [f(x).alias(f"{i}:{k}") for i, x in enumerate(columns.values()) for k, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))]
-    if robust:
-        wanted += [F.percentile(x, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias(f"{i}:q") for i, x in enumerate(columns.values())]
     row = df.agg(*wanted).first().asDict()
     out = {}
     for i, name in enumerate(columns):
         out[name] = {k: row[f"{i}:{k}"] for k in ("mean", "sd", "min", "max")}
-        if robust:
-            q = row[f"{i}:q"] or [0.0, 0.0, 0.0]
-            out[name] |= {"median": q[0], "iqr": q[2] - q[1]}
     if robust:
-        mad = df.agg(*[F.percentile(F.abs(x - F.lit(out[n]["median"])), F.lit(0.5)) for n, x in columns.items()]).first()
-        for name, v in zip(columns, mad, strict=True):
-            out[name]["mad"] = 1.4826 * (v or 0.0)
+        for name, q in quantiles(df, columns, [0.5, 0.25, 0.75]).items():
+            out[name] |= {"median": q[0] or 0.0, "iqr": (q[2] or 0.0) - (q[1] or 0.0)}
+        for name, q in quantiles(df, {n: F.abs(x - F.lit(out[n]["median"])) for n, x in columns.items()}, [0.5]).items():
+            out[name]["mad"] = 1.4826 * (q[0] or 0.0)
     return out
 
 
@@ -134,11 +131,11 @@ def prepare(df: DataFrame, roles: Roles, *, missing: str = "listwise", transform
     for x in raw.values():
         whole, some = whole & x.isNotNull(), some | x.isNotNull()
     counts = base.agg(F.count_if(whole), F.count_if(some), 1 - F.avg("_present"), *[F.count_if(some & x.isNull()) for x in raw.values()],
-                      *([F.avg(x) for x in raw.values()] if missing == "mean" else [F.percentile(x, F.lit(0.5)) for x in raw.values()] if missing == "median" else [])).first()
+                      *([F.avg(x) for x in raw.values()] if missing == "mean" else [])).first()
     if missing == "listwise":
         kept, n, imputed = base.where(whole), counts[0], dict.fromkeys(active, 0)
     else:
-        fills = counts[3 + len(active) :]
+        fills = counts[3 + len(active) :] if missing == "mean" else [q[0] for q in quantiles(base, raw, [0.5]).values()]
         kept = base.where(some).withColumns({raw_name(a): F.coalesce(raw[a], F.lit(v)) for a, v in zip(active, fills, strict=True)})
         n, imputed = counts[1], dict(zip(active, counts[3 : 3 + len(active)], strict=True))
     if n < 3:

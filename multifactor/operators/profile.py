@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from multifactor.functions import columns as C
 from multifactor.functions.columns import col
+from multifactor.operators.quantiles import quantiles
 from multifactor.sources.delimited import is_missing, to_number
 
 NUMERIC_SHARE, NUMERIC_LEAST = 0.85, 3
@@ -34,30 +35,35 @@ def profile(df: DataFrame, names: list[str] | None = None, decimal: str = "auto"
     """One row for each column, in order.
 
     A column is numeric if at least 85 % of its present cells are numbers, three at least; its moments are those of the
-    numbers. Two jobs: one aggregation for everything, one for values over three standard deviations from the mean.
+    numbers. Four jobs, whatever the number of columns: moments; distinct values; quartiles; values over three standard
+    deviations from the mean.
     """
     spark, names = df.sparkSession, names or [c for c in df.columns if c != "_row"]
     wanted: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(names):
         x, gone = _number(df, name, decimal), _missing(df, name)
         wanted += [
-            F.count_if(~gone).alias(f"n{i}"), F.count_distinct(F.when(~gone, F.trim(col(name).cast("string")))).alias(f"u{i}"), F.count(x).alias(f"k{i}"),
+            F.count_if(~gone).alias(f"n{i}"), F.count(x).alias(f"k{i}"),
             F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"sd{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-            F.percentile(x, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias(f"q{i}"), C.skewness(x).alias(f"skew{i}"), C.kurtosis(x).alias(f"kurt{i}"),
+            C.skewness(x).alias(f"skew{i}"), C.kurtosis(x).alias(f"kurt{i}"),
             F.count_if(x == 0).alias(f"zeros{i}"), F.count_if(x < 0).alias(f"negatives{i}"), F.bool_and(x == F.floor(x)).alias(f"int{i}"),
         ]
     r = df.agg(*wanted).first().asDict()
+    cells = F.array(*[F.when(~_missing(df, n), F.struct(F.lit(i).alias("i"), F.trim(col(n).cast("string")).alias("v"))) for i, n in enumerate(names)])
+    different = df.select(F.explode(cells).alias("c")).where("c is not null").select("c.*").groupBy("i", "v").count().groupBy("i").agg(F.count("*").alias("u"))
+    distinct_of = {x.i: x.u for x in different.collect()}
     numeric = {i: r[f"n{i}"] and r[f"k{i}"] / r[f"n{i}"] >= NUMERIC_SHARE and r[f"k{i}"] >= NUMERIC_LEAST for i in range(len(names))}
     spread = [i for i in numeric if numeric[i] and r[f"sd{i}"]]
     far = df.agg(*[F.count_if(F.abs((_number(df, names[i], decimal) - r[f"mean{i}"]) / r[f"sd{i}"]) > 3) for i in spread]).first() if spread else []
     outliers = dict(zip(spread, far, strict=True))
+    quartiles = quantiles(df, {names[i]: _number(df, names[i], decimal) for i in numeric if numeric[i]}, [0.5, 0.25, 0.75])
     out = []
     for i, name in enumerate(names):
-        n, rows, distinct = r[f"n{i}"], r["rows"], r[f"u{i}"]
+        n, rows, distinct = r[f"n{i}"], r["rows"], distinct_of.get(i, 0)
         base = {"name": name, "position": i, "n": n, "missing": rows - n, "missing_share": (rows - n) / rows if rows else 0.0, "distinct": distinct, "numeric_share": r[f"k{i}"] / n if n else 0.0, "group_code": False}
         if numeric[i]:
             mean, sd = r[f"mean{i}"], r[f"sd{i}"]
-            median, q1, q3 = r[f"q{i}"]
+            median, q1, q3 = quartiles[name]
             constant, whole = not sd, bool(r[f"int{i}"])
             code = whole and distinct <= min(8, max(2, int(rows * 0.05 + 0.5)))
             base |= {"kind": "numeric", "role": "excluded" if constant else "supp-cat" if code else "active", "group_code": code and not constant, "mean": mean, "sd": sd, "min": r[f"min{i}"], "max": r[f"max{i}"],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from multifactor.functions.columns import col
 from multifactor.operators import cluster, correspondence, describe, factor_maps, inference, methods, mixed, moments, profile, recommend, retention, rotation
-from multifactor.operators.pca import pca, standardised
+from multifactor.operators.pca import correlation_pca, pca, standardised
 from multifactor.plans.common import MEASURES, MEASURES_SQL, as_rows, measures, rounded, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -37,7 +37,7 @@ _THREE = ["quantity", "price", "discounted"]
   round(sum(v) over (order by k) / 3, 6) as cumulative from e""")
 def pca_axes_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Principal axes of three measures of lineitem."""
-    axes = pca(standardised(measures(spark, sf_dir), _THREE), _THREE).axes(spark)
+    axes = correlation_pca(measures(spark, sf_dir), _THREE).axes(spark)
     return axes.select("axis", *[F.round(c, 8 if c == "error" else 6).alias(c) for c in ("eigenvalue", "error", "share", "cumulative")])
 
 
@@ -45,7 +45,7 @@ def pca_axes_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
   select cast(k as integer) as axis, round(b, 6) as stick, round(v - lead(v) over (order by k), 6) as drop from s""")
 def scree_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken stick and drops of those axes."""
-    found = pca(standardised(measures(spark, sf_dir), _THREE), _THREE)
+    found = correlation_pca(measures(spark, sf_dir), _THREE)
     return rounded(retention.eigenvalue_table(spark, found, 1).select("axis", "stick", "drop"))
 
 
@@ -54,7 +54,7 @@ def scree_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
   union all select '70 % of variance', cast((select min(k) from c where s >= 0.7) as integer) union all select '80 % of variance', cast((select min(k) from c where s >= 0.8) as integer) union all select 'scree elbow', 2""")
 def criteria_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axes that the rules without random numbers keep."""
-    found = pca(standardised(measures(spark, sf_dir), _THREE), _THREE)
+    found = correlation_pca(measures(spark, sf_dir), _THREE)
     rules = retention.criteria(found, [np.inf] * 3)
     return as_rows(spark, "name string, k int", [(r.name, r.k) for r in rules if r.name in ("Kaiser-Guttman", "Jolliffe", "70 % of variance", "80 % of variance", "scree elbow")])
 
@@ -70,16 +70,16 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
   select _row, round(x * x, 5) as f1_squared, round(y * y, 5) as f2_squared, round(100 * x * x / (1 + abs(r)) / (c - 1), 6) as contribution_1, round(100 * y * y / (1 - abs(r)) / (c - 1), 6) as contribution_2 from s""")
 def pca_individuals_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers on the axes of their orders' sum and count: squared coordinates and contributions."""
-    z = standardised(_customers(spark, sf_dir), ["total", "n"])
-    rows = factor_maps.factor_map(z, pca(z, ["total", "n"]), 2).individual_table()
+    z = _customers(spark, sf_dir)
+    rows = factor_maps.factor_map(z, correlation_pca(z, ["total", "n"]), 2, keep=["_row"]).individual_table()
     return rows.select("_row", F.round(F.pow("F1", F.lit(2)), 5).alias("f1_squared"), F.round(F.pow("F2", F.lit(2)), 5).alias("f2_squared"), F.round("contribution_1", 6).alias("contribution_1"), F.round("contribution_2", 6).alias("contribution_2"))
 
 
 @query(f"""with {_CUST} select v as variable, cast(k as integer) as axis, round((1 + case k when 1 then abs(r) else -abs(r) end) / 2, 6) as cos2, 50.0::double as contribution from f, (values ('total'), ('n')) a(v), (values (1), (2)) b(k)""")
 def pca_variables_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and contribution of the two variables."""
-    z = standardised(_customers(spark, sf_dir), ["total", "n"])
-    return rounded(pca(z, ["total", "n"]).loading_table(spark).select("variable", "axis", "cos2", "contribution"))
+    z = _customers(spark, sf_dir)
+    return rounded(correlation_pca(z, ["total", "n"]).loading_table(spark).select("variable", "axis", "cos2", "contribution"))
 
 
 @query("""with f as (select var_samp(p_size) x, var_samp(p_retailprice) y, covar_samp(p_size, p_retailprice) z from part), g as (select (x + y) / 2 m, sqrt(power((x - y) / 2, 2) + z * z) d from f)
@@ -154,9 +154,8 @@ def mfa_partial_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
    union all select l.*, (l_quantity - mq) / sq - (l_extendedprice - mp) / sp as a from lineitem l, (select avg(l_quantity) mq, stddev_samp(l_quantity) sq, avg(l_extendedprice) mp, stddev_samp(l_extendedprice) sp, corr(l_quantity, l_extendedprice) r from lineitem) f where r <= 0)""")
 def supplementary_charge_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplementary number's place on the first axis of quantity and price."""
-    rows = measures(spark, sf_dir)
-    z = standardised(rows, ["quantity", "price"])
-    scores = pca(z, ["quantity", "price"]).scores(z, 1, keep=["_row", "charge"])
+    z = measures(spark, sf_dir)
+    scores = correlation_pca(z, ["quantity", "price"]).scores(z, 1, keep=["_row", "charge"])
     return rounded(factor_maps.supplementary_numeric(scores, ["charge"], ["F1"]).select("variable", "axis", "cos2", "n"))
 
 
@@ -216,22 +215,21 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]
 def pca_axes_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All axes of the embeddings' 64 components (a Gram matrix by blocks)."""
     rows, names = _embeddings(spark, sf_dir)
-    return rounded(pca(standardised(rows, names), names).axes(spark))
+    return rounded(correlation_pca(rows, names).axes(spark))
 
 
 @query()
 def rotated_loadings_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Varimax loadings of the embeddings' first three axes."""
     rows, names = _embeddings(spark, sf_dir)
-    found = pca(standardised(rows, names), names)
+    found = correlation_pca(rows, names)
     return rounded(rotation.pattern_table(spark, rotation.rotate(found.loadings[:, :3], "varimax"), names), 5)
 
 
 @query()
 def oblique_axes_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations of lineitem's first two axes after direct oblimin."""
-    z = standardised(measures(spark, sf_dir), [*MEASURES, "l_discount"])
-    found = pca(z, [*MEASURES, "l_discount"])
+    found = correlation_pca(measures(spark, sf_dir), [*MEASURES, "l_discount"])
     return rounded(rotation.phi_table(spark, rotation.rotate(found.loadings[:, :2], "oblimin")), 5)
 
 
@@ -253,7 +251,7 @@ def parallel_permuted_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minimum_partial_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Velicer's series over the embeddings' axes."""
     rows, names = _embeddings(spark, sf_dir)
-    found = retention.velicer(pca(standardised(rows, names), names).correlation)
+    found = retention.velicer(correlation_pca(rows, names).correlation)
     return rounded(as_rows(spark, "m int, f double, f4 double", found["series"]), 8)
 
 
@@ -287,23 +285,23 @@ def category_test_values_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hcpc_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every customer on the axes of their orders."""
-    z = standardised(_customers(spark, sf_dir), ["total", "n"])
-    found = cluster.hcpc(pca(z, ["total", "n"]).scores(z).orderBy("_row"), ["F1", "F2"])
+    z = _customers(spark, sf_dir)
+    found = cluster.hcpc(correlation_pca(z, ["total", "n"]).scores(z).orderBy("_row"), ["F1", "F2"])
     return rounded(found.rows, 5)
 
 
 @query()
 def hcpc_lineitem_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every line, the tree built on weighted prototypes."""
-    z = standardised(measures(spark, sf_dir), ["quantity", "price"])
-    return cluster.hcpc(pca(z, ["quantity", "price"]).scores(z), ["F1", "F2"], 4).rows.select("_row", "cluster")
+    z = measures(spark, sf_dir)
+    return cluster.hcpc(correlation_pca(z, ["quantity", "price"]).scores(z), ["F1", "F2"], 4).rows.select("_row", "cluster")
 
 
 @query()
 def cluster_paragons_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typical and peculiar customers of each cluster."""
-    z = standardised(_customers(spark, sf_dir), ["total", "n"])
-    found = cluster.hcpc(pca(z, ["total", "n"]).scores(z).orderBy("_row"), ["F1", "F2"])
+    z = _customers(spark, sf_dir)
+    found = cluster.hcpc(correlation_pca(z, ["total", "n"]).scores(z).orderBy("_row"), ["F1", "F2"])
     return rounded(cluster.paragons(found.rows, ["F1", "F2"], found.centres), 5)
 
 
@@ -353,8 +351,8 @@ def weighted_gram_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select 'tail' as name, cast(count(*) as bigint) as n from lineitem")
 def rows_projected_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line projected on the axes of its measures, counted."""
-    z = standardised(measures(spark, sf_dir), MEASURES)
-    return pca(z, MEASURES).scores(z).agg(F.lit("tail").alias("name"), F.count("F1").alias("n"))
+    z = measures(spark, sf_dir)
+    return correlation_pca(z, MEASURES).scores(z).agg(F.lit("tail").alias("name"), F.count("F1").alias("n"))
 
 
 def spearman_matrix(df: DataFrame, names: list[str]) -> np.ndarray:

@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from multifactor.operators import adequacy, cluster, correspondence, describe, factor_maps, gsvd, inference, methods, mixed, moments, prepare, profile, recommend, retention, rotation
-from multifactor.operators.pca import pca, standardised
+from multifactor.operators import adequacy, cluster, correspondence, describe, factor_maps, gsvd, inference, methods, mixed, moments, prepare, profile, quantiles, recommend, retention, rotation
+from multifactor.operators.pca import correlation_pca, pca, standardised
 
 RNG = np.random.default_rng(7)
 N = 60
@@ -134,6 +134,21 @@ def test_components(spark, z):
     assert p.axes(spark).count() == 5 and p.communalities(spark, 2).where("poor").count() <= 5
 
 
+def test_components_of_unscaled_columns(df, z):
+    one, two = correlation_pca(df.withColumn("k", F.lit(3.0)), [*NAMES, "k"]), pca(z, NAMES)
+    assert np.allclose(one.values[:5], two.values) and np.allclose(one.loadings[:5, :5], two.loadings, atol=1e-6) and not one.is_correlation
+    assert np.allclose(coordinates(correlation_pca(df, NAMES).scores(df)), coordinates(two.scores(z)))
+
+
+@pytest.mark.parametrize("most", [10**6, 1])
+def test_quantiles(spark, monkeypatch, most):
+    monkeypatch.setattr(quantiles, "IN_ONE_AGGREGATION", most)
+    x = [float(v) for v in RNG.integers(0, 40, 301)]
+    df = spark.createDataFrame([(v,) for v in [*x, None]], "x double").repartition(3)
+    got = quantiles.quantiles(df, {"x": F.col("x"), "none": F.lit(None).cast("double")}, [0, 0.1, 0.25, 0.5, 0.97, 1])
+    assert got["x"] == pytest.approx(np.quantile(x, [0, 0.1, 0.25, 0.5, 0.97, 1])) and got["none"] == [None] * 6
+
+
 def test_retention(spark, z):
     p = pca(z, NAMES)
     assert retention.broken_stick(3, 3.0) == pytest.approx([11 / 6, 5 / 6, 1 / 3])
