@@ -13,12 +13,16 @@ from pyspark.sql import Window as W
 
 from multifactor.llm.common import quoted, stored
 
-#: Vectors in one index block, and queries searched together.
+#: Vectors in one index block, and queries searched in one.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 512
+#: Queries that share one scan: their sums lie side by side, so a posting is read once for all.
+TOGETHER = 128
 #: Quantised impacts in each dimension.
 LEVELS = 16
-#: Segments processed between two looks at the bounds.
-STRIDE = 32
+#: Shares of the segments after which the bounds are looked at.
+LOOKS = (0.5, 0.75, 0.875, 1.0)
+#: The scan stops when at most one in so many vectors can still be a member: to rescore them costs less than to go on.
+FEW = 4
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
@@ -33,6 +37,7 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        self.largest = float(np.abs(vectors).max(initial=0))
         low, high = vectors.min(axis=0), vectors.max(axis=0)
         step = np.maximum(1, -(-(high - low + 1) // LEVELS))
         level = (vectors - low) // step
@@ -42,49 +47,59 @@ class ImpactIndex:
         self.order = np.argsort(level, axis=0, kind="stable").T.copy()
         self.cut = np.stack([np.searchsorted(np.sort(level[:, d]), np.arange(LEVELS + 1)) for d in range(vectors.shape[1])])
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the block's ``k`` best vectors, ties to the smaller id; ``own`` is no candidate.
+    def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products; by floating point where no sum can leave its whole numbers."""
+        most = float(np.abs(query).max(initial=0)) * self.largest * len(query)
+        if most < 2**53:
+            return (self.vectors[rows].astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+        return self.vectors[rows] @ query
 
-        Segments come by descending impact: the most that a member gains over the worst value of the dimension. A
-        vector's sum is a lower bound of its score; the segments' widths and the largest impacts still to come in each
-        dimension bound what is missing. The scan stops when few vectors can still reach the k-th best lower bound;
-        these are rescored exactly, so no member can be lost.
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of the block's ``k`` best vectors, ties to the smaller id; ``own`` ids are no candidates.
+
+        Segments come by descending impact: the most that a member gains over the worst value of the dimension, for
+        whichever of the queries gains most. A vector's sum is a lower bound of its score; the segments' widths and, in
+        each dimension, the largest impact still to come bound what is missing. The scan stops when for every query few
+        vectors can still reach the k-th best lower bound; these are rescored exactly, so no member can be lost.
         """
-        q = query[:, None]
-        a, b = q * self.low, q * self.high
-        least, most = np.minimum(a, b), np.maximum(a, b)
+        n = len(self.ids)
         filled = np.diff(self.cut, axis=1) > 0
-        base = np.where(filled, least, np.iinfo(np.int64).max).min(axis=1)
-        impact, gain = most - base[:, None], least - base[:, None]
-        width = np.where(filled, most - least, 0).max(axis=1).sum()
-        sums = np.full(len(self.ids), base.sum(), np.int64)
-        own_rows = np.flatnonzero(self.ids == own)
+        a, b = queries[:, :, None] * self.low, queries[:, :, None] * self.high  # query, dimension, level
+        least, most = np.minimum(a, b), np.maximum(a, b)
+        base = np.where(filled, least, np.iinfo(np.int64).max).min(axis=2)
+        impact, gain = most - base[:, :, None], least - base[:, :, None]
+        width = np.where(filled, most - least, 0).max(axis=2).sum(axis=1)
+        span = 4 * self.largest * float(np.abs(queries).max(initial=0)) * queries.shape[1]
+        kind = np.int32 if span < 2**31 else np.int64
+        sums = np.zeros((n, len(queries)), kind)
+        gain = np.ascontiguousarray(gain.transpose(1, 2, 0).astype(kind))
+        out_of_play = self.ids[:, None] == own[None, :]
+        free = n - out_of_play.sum(axis=0)
         dims, levels = np.nonzero(filled)
-        by_impact = np.argsort(-impact[dims, levels], kind="stable")
-        dims, levels = dims[by_impact], levels[by_impact]
-        ordered = impact[dims, levels]
-        k = min(k, len(self.ids) - len(own_rows))
-        if k <= 0:
-            return self.ids[:0], sums[:0]
-        few = max(4 * k, len(self.ids) // 64)
-        for at in range(0, len(dims), STRIDE):
-            for d, s in zip(dims[at : at + STRIDE].tolist(), levels[at : at + STRIDE].tolist(), strict=True):
+        order = np.argsort(-impact[:, dims, levels].max(axis=0), kind="stable")
+        dims, levels = dims[order], levels[order]
+        at, possible = 0, np.ones((n, len(queries)), bool)
+        for share in LOOKS:
+            upto = int(np.ceil(share * len(dims)))
+            for d, s in zip(dims[at:upto].tolist(), levels[at:upto].tolist(), strict=True):
                 sums[self.order[d, self.cut[d, s] : self.cut[d, s + 1]]] += gain[d, s]
-            rest_dims, rest = dims[at + STRIDE :], ordered[at + STRIDE :]
-            missing = 0
-            if len(rest):
-                first = np.unique(rest_dims, return_index=True)[1]  # descending, so a dimension's first is its largest
-                missing = rest[first].sum()
-            lower = sums.copy()
-            lower[own_rows] = np.iinfo(np.int64).min // 2
-            bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-            possible = np.flatnonzero(lower + width + missing >= bar)
-            if len(possible) <= few or not len(rest):
+            at = upto
+            waiting = np.zeros(filled.shape, bool)
+            waiting[dims[at:], levels[at:]] = True
+            missing = np.where(waiting, impact, 0).max(axis=2).sum(axis=1)
+            lower = np.where(out_of_play, np.iinfo(kind).min, sums).T
+            bar = np.array([np.partition(row, n - min(k, n))[n - min(k, n)] for row in lower], np.int64)
+            bar = np.where(free >= k, bar, np.iinfo(np.int64).min // 2)
+            possible = (sums + (width + missing)[None, :] >= bar[None, :]) & ~out_of_play
+            if possible.sum(axis=0).max() <= max(4 * k, n // FEW):
                 break
-        possible = possible[self.ids[possible] != own]
-        exact = self.vectors[possible] @ query
-        best = np.lexsort((self.ids[possible], -exact))[:k]
-        return self.ids[possible[best]], exact[best]
+        found = []
+        for j, query in enumerate(queries):
+            rows = np.flatnonzero(possible[:, j])
+            exact = self._scores(rows, query)
+            best = np.lexsort((self.ids[rows], -exact))[:k]
+            found.append((self.ids[rows[best]], exact[best]))
+        return found
 
 
 def _packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -110,9 +125,9 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, *, key: str = "
     """
     use = lambda df: df.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(vector)).alias("v")).where("id is not null and v is not null and size(v) > 0")
     indexed, n = _packed(use(rows), BLOCK_ROWS)
-    asked, _ = _packed(use(queries), BLOCK_QUERIES)
+    asked, m = _packed(use(queries), BLOCK_QUERIES)
     asked = asked.select("dims", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    met = indexed.join(asked, ["block", "dims"])
+    met = indexed.join(asked, ["block", "dims"]).repartition(n * m)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, index = None, None
@@ -121,9 +136,11 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, *, key: str = "
                 if held != (r.block, r.dims):
                     index = ImpactIndex(np.frombuffer(r.ids, np.int64), np.frombuffer(r.vectors, np.int64).reshape(-1, r.dims))
                     held = (r.block, r.dims)
-                for own, q in zip(np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vectors, np.int64).reshape(-1, r.dims), strict=True):
-                    ids, scores = index.search(q, own, k)
-                    yield pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores})
+                own, vectors = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vectors, np.int64).reshape(-1, r.dims)
+                for i in range(0, len(own), TOGETHER):
+                    found = index.search(vectors[i : i + TOGETHER], own[i : i + TOGETHER], k)
+                    sizes = [len(ids) for ids, _ in found]
+                    yield pd.DataFrame({"query_id": np.repeat(own[i : i + TOGETHER], sizes), "vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([x for _, x in found])})
 
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
