@@ -298,19 +298,20 @@ def hcpc_lineitem_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def cluster_paragons_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cluster_paragons_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typical and peculiar customers of each cluster."""
     z = _customers(spark, sf_dir)
     found = cluster.hcpc(correlation_pca(z, ["total", "n"]).scores(z).orderBy("_row"), ["F1", "F2"])
     return rounded(cluster.paragons(found.rows, ["F1", "F2"], found.centres), 5)
 
 
-@query("""select o_orderpriority as level, 'o_orderpriority' as variable, cast(count(*) as bigint) as n, round(100.0 * count(*) / (select count(*) from orders), 6) as share from orders group by 1 having count(*) < 5 or count(*) < 0.02 * (select count(*) from orders)
-  union all select p_type, 'p_type', cast(count(*) as bigint), round(100.0 * count(*) / (select count(*) from part), 6) from part group by 1 having count(*) < 5 or count(*) < 0.02 * (select count(*) from part)""")
-def rare_levels_orders_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels too rare for a map."""
-    found = recommend.rare_levels(table(spark, sf_dir, "orders"), ["o_orderpriority"]).unionByName(recommend.rare_levels(table(spark, sf_dir, "part"), ["p_type"]))
-    return rounded(found.select("level", "variable", "n", "share"))
+_RARE = "select cast({c} as varchar) as level, '{c}' as variable, cast(count(*) as bigint) as n, round(100.0 * count(*) / (select count(*) from orders), 6) as share from orders group by 1 having count(*) < 5 or count(*) < 0.02 * (select count(*) from orders)"
+
+
+@query(" union all ".join(_RARE.format(c=c) for c in ("o_orderpriority", "o_custkey")))
+def rare_levels_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities and customers with too few orders for a map."""
+    return rounded(recommend.rare_levels(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_custkey"]).select("level", "variable", "n", "share"))
 
 
 @query("select * from (values ('ca', 'possible'), ('famd', 'possible'), ('hcpc', 'possible'), ('mca', 'possible'), ('mfa', 'possible'), ('pca', 'recommended')) t(method, verdict)")
