@@ -349,11 +349,11 @@ def weighted_gram_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_rows(spark, "n long, weight double, xx double, xy double", [(rows.count(), round(w, 3), round(float(g[0, 0]), 2), round(float(g[0, 1]) / 1000, 2))])
 
 
-@query("select 'tail' as name, cast(count(*) as bigint) as n from lineitem")
+@query("select 'all' as name, cast(count(*) as bigint) as n from lineitem")
 def rows_projected_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line projected on the axes of its measures, counted."""
     z = measures(spark, sf_dir)
-    return correlation_pca(z, MEASURES).scores(z).agg(F.lit("tail").alias("name"), F.count("F1").alias("n"))
+    return correlation_pca(z, MEASURES).scores(z).agg(F.lit("all").alias("name"), F.count("F1").alias("n"))
 
 
 def spearman_matrix(df: DataFrame, names: list[str]) -> np.ndarray:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from multifactor.functions.columns import col, quoted
+from multifactor.functions.columns import col
 
 #: Texts that mean "missing", in lower case.
 MISSING_CODES = (
@@ -90,4 +90,4 @@ def simulated_leaves(spark: SparkSession, rows: int = 120, seed: int = 20260905)
     return df
 
 
-__all__ = ["MISSING_CODES", "is_missing", "quoted", "read_delimited", "read_workbook", "simulated_leaves", "sniff_separator", "to_number"]
+__all__ = ["MISSING_CODES", "is_missing", "read_delimited", "read_workbook", "simulated_leaves", "sniff_separator", "to_number"]
