@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from multifactor.llm.common import quoted, row_hash, stored
 
@@ -18,6 +19,8 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Words with a digit or an at sign may be identifiers.
 _TOKEN = r"(?:(?<![^\x20\x09-\x0D])|\G)[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _LAST_WORD, _FIRST_WORD = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)"
+#: Matches of one text that are gathered before they join the list of all.
+CHUNK = 256
 _FOUND = "array<struct<start:bigint,stop:bigint,value:string,before:string,behind:string>>"
 
 #: What a candidate must look like to be taken for a kind, once its context speaks for it.
@@ -31,16 +34,19 @@ def _q(pattern: str) -> str:
 def _located(text: str, pattern: str, when: str) -> Column:
     """Matches of a pattern where ``when`` holds: (start, stop, value, before, behind), positions in code points.
 
-    The pieces between the matches give positions and the words beside each match (at most 64 characters of them).
+    The pieces between the matches give positions and the words beside each match (at most 64 characters of them). The
+    walk goes chunk by chunk, so that no growing list is copied at every match of a very long text.
     """
-    zipped = f"zip_with(regexp_extract_all({text}, {_q(pattern)}, 0), split({text}, {_q(pattern)}, -1), (m, p) -> named_struct('m', m, 'p', p))"
-    walked = f"""aggregate({zipped}, named_struct('at', 0L, 'found', cast(array() as {_FOUND})), (a, x) -> named_struct(
-        'at', a.at + length(x.p) + coalesce(length(x.m), 0),
-        'found', if(x.m is null, a.found, concat(a.found, array(named_struct('start', a.at + length(x.p), 'stop', a.at + length(x.p) + length(x.m), 'value', x.m,
-            'before', lower(right(regexp_extract(right(x.p, 256), {_q(_LAST_WORD)}, 1), 64)), 'behind', '')))))).found"""
-    behind = f"""transform({walked}, (f, i) -> named_struct('start', f.start, 'stop', f.stop, 'value', f.value, 'before', f.before,
-        'behind', lower(left(regexp_extract(left(split({text}, {_q(pattern)}, -1)[i + 1], 256), {_q(_FIRST_WORD)}, 1), 64))))"""
-    return F.expr(f"if({when}, {behind if when != 'false' else walked}, cast(array() as {_FOUND}))")
+    pieces = f"split({text}, {_q(pattern)}, -1)"
+    pairs = f"zip_with(regexp_extract_all({text}, {_q(pattern)}, 0), {pieces}, (m, p) -> named_struct('m', m, 'p', p))"
+    zipped = f"zip_with({pairs}, slice({pieces}, 2, 1 << 30), (x, q) -> named_struct('m', x.m, 'p', x.p, 'q', q))".replace("1 << 30", str(1 << 30))
+    one = f"""named_struct('start', a.at + length(x.p), 'stop', a.at + length(x.p) + length(x.m), 'value', x.m,
+        'before', lower(right(regexp_extract(right(x.p, 256), {_q(_LAST_WORD)}, 1), 64)), 'behind', lower(left(regexp_extract(left(x.q, 256), {_q(_FIRST_WORD)}, 1), 64)))"""
+    chunk = f"""aggregate(slice(z, k + 1, {CHUNK}), named_struct('at', b.at, 'found', cast(array() as {_FOUND})), (a, x) -> named_struct(
+        'at', a.at + length(x.p) + coalesce(length(x.m), 0), 'found', if(x.m is null, a.found, concat(a.found, array({one})))))"""
+    walked = f"""flatten(aggregate(sequence(0, size(z) - 1, {CHUNK}), named_struct('at', 0L, 'found', cast(array() as array<{_FOUND}>)),
+        (b, k) -> element_at(transform(array({chunk}), c -> named_struct('at', c.at, 'found', concat(b.found, array(c.found)))), 1)).found)"""
+    return F.expr(f"if({when}, element_at(transform(array({zipped}), z -> {walked}), 1), cast(array() as {_FOUND}))")
 
 
 def _base(text: str) -> Column:
@@ -60,7 +66,7 @@ def _base(text: str) -> Column:
 
 
 def base_entities(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored rows ``nth``, ``key``, ``h``, ``base`` (valid base spans) and ``tokens`` (other words that hold digits or @)."""
+    """Stored rows ``nth``, ``key``, ``h``, ``base`` (valid base spans) and ``tokens`` (words that hold digits or @)."""
     t = docs.select(F.monotonically_increasing_id().alias("nth"), F.col(quoted(key)).alias("key"), row_hash(docs, 42).alias("h"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("t"))
     joined = F.when(F.expr(r"t rlike '[0-9](?:[ -]?[0-9]){15}'"), F.regexp_replace(F.translate("t", "\x01", "\x02"), r"(?<=[0-9])[\x20-](?=[0-9])", "\x01")).otherwise(F.lit(""))
     t = t.withColumn("c", joined)
@@ -69,18 +75,32 @@ def base_entities(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
         _located("c", _CARD, "c != ''").alias("m_card"), _located("t", _PHONE, "contains(t, '+')").alias("m_phone"),
         _located("t", _TOKEN, "t rlike '[0-9@]'").alias("tokens"),
     )
-    t = t.withColumn("base", _base("t")).withColumn("tokens", F.expr("filter(tokens, w -> not exists(base, b -> b.start < w.stop and w.start < b.stop))"))
-    return stored(t.select("nth", "key", "h", "base", "tokens"))
+    return stored(t.select("nth", "key", "h", _base("t").alias("base"), "tokens"))
 
 
-def _edges(found: DataFrame, column: str, kind: str | None) -> DataFrame:
+def candidates(found: DataFrame) -> DataFrame:
+    """Stored rows (nth, start, stop, value, before, behind): the words of ``found`` that no base span touches.
+
+    In each text, the largest end of the base spans begun so far and the least start of those still to come decide.
+    """
+    plain = found.where("size(tokens) > 0 and size(base) = 0").select("nth", F.explode("tokens").alias("w")).select("nth", "w.*")
+    mixed = found.where("size(tokens) > 0 and size(base) > 0")
+    words = mixed.select("nth", F.explode("tokens").alias("w")).select("nth", "w.*", F.lit(None).cast("long").alias("b_start"), F.lit(None).cast("long").alias("b_stop"))
+    spans = mixed.select("nth", F.explode("base").alias("w")).select("nth", "w.start", "w.stop", *[F.lit(None).cast("string").alias(c) for c in ("value", "before", "behind")], F.col("w.start").alias("b_start"), F.col("w.stop").alias("b_stop"))
+    begun = W.partitionBy("nth").orderBy("start").rangeBetween(W.unboundedPreceding, 0)
+    coming = W.partitionBy("nth").orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, -1)
+    both = words.unionByName(spans).withColumn("reach", F.max("b_stop").over(begun)).withColumn("next", F.min("b_start").over(coming))
+    free = both.where(F.col("value").isNotNull() & ~F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("next") < F.col("stop"), F.lit(False)))
+    return stored(plain.unionByName(free.select(*plain.columns)))
+
+
+def _edges(rows: DataFrame, kind: str | None) -> DataFrame:
     """Pattern-instance edges (kind, side, word, value, n); a pattern is a word before or behind."""
-    rows = found.select(F.explode(column).alias("w"))
-    kinds = F.col("w.kind") if kind is None else F.lit(KINDS.index(kind))
+    kinds = F.col("kind") if kind is None else F.lit(KINDS.index(kind))
     if kind is not None:
-        rows = rows.where(F.col("w.value").rlike(_SHAPES[kind]))
-    sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("w.before").alias("word")), F.struct(F.lit("behind").alias("side"), F.col("w.behind").alias("word"))))
-    return rows.select(kinds.alias("kind"), F.col("w.value").alias("value"), sides.alias("p")).groupBy("kind", "p.side", "p.word", "value").agg(F.count("*").alias("n"))
+        rows = rows.where(F.col("value").rlike(_SHAPES[kind]))
+    sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("behind").alias("side"), F.col("behind").alias("word"))))
+    return rows.select(kinds.alias("kind"), "value", sides.alias("p")).groupBy("kind", "p.side", "p.word", "value").agg(F.count("*").alias("n"))
 
 
 def personal_data(
@@ -99,10 +119,10 @@ def personal_data(
     table gives none. Base spans never change; discovered ones do not overlap them.
     """
     found = base_entities(docs, key=key, text=text)
-    seeds = _edges(found, "base", None).withColumn("seed", F.lit(True))
-    edges = seeds
+    words = candidates(found)
+    edges = _edges(found.select(F.explode("base").alias("w")).select("w.*"), None).withColumn("seed", F.lit(True))
     for kind in KINDS:
-        edges = edges.unionByName(_edges(found, "tokens", kind).withColumn("seed", F.lit(False)))
+        edges = edges.unionByName(_edges(words, kind).withColumn("seed", F.lit(False)))
     edges = stored(edges.where("word != ''"))
     patterns = ["kind", "side", "word"]
     backed = stored(
@@ -121,7 +141,6 @@ def personal_data(
             backed.join(gained, patterns, "left").select(*patterns, ((F.col("seed_n") + F.coalesce("gained", F.lit(0.0))) / (F.col("all_n") + caution)).alias("conf"))
         )
     best = stored(scores.where(F.col("score") >= confidence).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")))
-    places = found.where("size(tokens) > 0").select("nth", F.explode("tokens").alias("w")).select("nth", "w.*")
-    hits = places.join(best, "value").groupBy("nth").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop", "value"))).alias("discovered"))
+    hits = words.join(best, "value").groupBy("nth").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop", "value"))).alias("discovered"))
     none = F.expr("cast(array() as array<struct<kind:int,start:bigint,stop:bigint,value:string>>)")
     return found.join(hits, "nth", "left").select("nth", "key", "h", "base", F.coalesce("discovered", none).alias("discovered"))
