@@ -79,8 +79,8 @@ def repeated_runs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", m
     begin = F.col("end") - F.col("words")
     marks = state.select("nth", "stretch", "i", F.col("end").alias("at"), F.lit(1).alias("kind")).unionByName(
         state.select("nth", "stretch", "i", (begin + min_words).alias("at"), F.lit(0).alias("kind")))
-    onward = W.partitionBy("nth", "stretch").orderBy("at", "kind").rowsBetween(W.currentRow, W.unboundedFollowing)
-    forward = marks.withColumn("other", F.first(F.when(F.col("kind") == 1, F.col("i")), ignorenulls=True).over(onward)).where("kind = 0 and other is not null")
+    onward = W.partitionBy("nth", "stretch").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    forward = marks.withColumn("other", F.last(F.when(F.col("kind") == 1, F.col("i")), ignorenulls=True).over(onward)).where("kind = 0 and other is not null")
     marks = state.select("nth", "stretch", "i", begin.alias("at"), F.lit(0).alias("kind")).unionByName(
         state.select("nth", "stretch", "i", (F.col("end") - min_words).alias("at"), F.lit(1).alias("kind")))
     back = W.partitionBy("nth", "stretch").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
