@@ -163,11 +163,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one with the least key.
+    """``docs`` with one document of each group of near-duplicates: the one with the least key."""
+    return keep_first(docs, stored(near_duplicates(docs, key=key, text=text, radius=radius)))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component of ``found`` (key, h, fp, component): the one with the least key.
 
     Rows without a key give way to rows with one; among equal keys the row with the least hash stays, once.
     """
-    found = stored(near_duplicates(docs, key=key, text=text, radius=radius))
     first = found.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("alone")).agg(
         F.min(F.struct(F.col("key").isNull().alias("nokey"), "key", "h")).alias("first"))
     kept = stored(first.select("first.h").distinct())
