@@ -18,13 +18,17 @@ _CARD = r"[0-9][0-9\x01]++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Words with a digit or an at sign may be identifiers.
 _TOKEN = r"(?:(?<![^\x20\x09-\x0D])|\G)[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Words of digits that single blanks join, with the marks around them; so many of them as the longest card has digits.
+_RUN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9A-Za-z@]*+[0-9][0-9().-]*+(?:\x20[0-9(][0-9().-]*+){1,18}[^\x20\x09-\x0D0-9A-Za-z]*+(?![^\x20\x09-\x0D])"
+#: Marks around a candidate that are not part of it.
+_OPEN, _CLOSE = r"^(?:[^0-9A-Za-z+:(@]|[(](?![^)]*[)].*[0-9]))++", r"(?:(?<!:):(?!:))?[^0-9A-Za-z:]*$"
 _LAST_WORD, _FIRST_WORD = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)"
 #: Matches of one text that are gathered before they join the list of all.
 CHUNK = 256
 _FOUND = "array<struct<start:bigint,stop:bigint,value:string,before:string,behind:string>>"
 
 #: What a candidate must look like to be taken for a kind, once its context speaks for it.
-_SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9A-Fa-f]+([.:][0-9A-Fa-f]*){3,}$", "card": r"^[0-9][0-9-]{10,}[0-9]$", "phone": r"^\+?[0-9()][0-9().-]{5,18}[0-9]$"}
+_SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9A-Fa-f]+([.:][0-9A-Fa-f]*){3,}$", "card": r"^[0-9][0-9\x20-]{10,}[0-9]$", "phone": r"^\+?[0-9()][0-9().\x20-]{5,18}[0-9]$"}
 
 
 def _q(pattern: str) -> str:
@@ -34,14 +38,18 @@ def _q(pattern: str) -> str:
 def _located(text: str, pattern: str, when: str) -> Column:
     """Matches of a pattern where ``when`` holds: (start, stop, value, before, behind), positions in code points.
 
-    The pieces between the matches give positions and the words beside each match (at most 64 characters of them). The
+    The pieces between the matches give positions; with the matches beside them, they give the words beside each match
+    (at most 64 characters of them). The
     walk goes chunk by chunk, so that no growing list is copied at every match of a very long text.
     """
     pieces = f"split({text}, {_q(pattern)}, -1)"
-    pairs = f"zip_with(regexp_extract_all({text}, {_q(pattern)}, 0), {pieces}, (m, p) -> named_struct('m', m, 'p', p))"
-    zipped = f"zip_with({pairs}, slice({pieces}, 2, 1 << 30), (x, q) -> named_struct('m', x.m, 'p', x.p, 'q', q))".replace("1 << 30", str(1 << 30))
+    matches = f"regexp_extract_all({text}, {_q(pattern)}, 0)"
+    pairs = f"zip_with({matches}, {pieces}, (m, p) -> named_struct('m', m, 'p', p))"
+    pairs = f"zip_with({pairs}, slice(concat(array(''), {matches}), 1, size({pieces})), (x, w) -> named_struct('m', x.m, 'p', x.p, 'b', concat(right(w, 256), x.p)))"
+    behind = f"zip_with(slice({pieces}, 2, {1 << 30}), slice({matches}, 2, {1 << 30}), (q, w) -> concat(left(q, 256), if(length(q) < 256, left(coalesce(w, ''), 256), '')))"
+    zipped = f"zip_with({pairs}, {behind}, (x, q) -> named_struct('m', x.m, 'p', x.p, 'b', x.b, 'q', q))"
     one = f"""named_struct('start', a.at + length(x.p), 'stop', a.at + length(x.p) + length(x.m), 'value', x.m,
-        'before', lower(right(regexp_extract(right(x.p, 256), {_q(_LAST_WORD)}, 1), 64)), 'behind', lower(left(regexp_extract(left(x.q, 256), {_q(_FIRST_WORD)}, 1), 64)))"""
+        'before', lower(right(regexp_extract(right(x.b, 256), {_q(_LAST_WORD)}, 1), 64)), 'behind', lower(left(regexp_extract(left(x.q, 256), {_q(_FIRST_WORD)}, 1), 64)))"""
     chunk = f"""aggregate(slice(z, k + 1, {CHUNK}), named_struct('at', b.at, 'found', cast(array() as {_FOUND})), (a, x) -> named_struct(
         'at', a.at + length(x.p) + coalesce(length(x.m), 0), 'found', if(x.m is null, a.found, concat(a.found, array({one})))))"""
     walked = f"""flatten(aggregate(sequence(0, size(z) - 1, {CHUNK}), named_struct('at', 0L, 'found', cast(array() as array<{_FOUND}>)),
@@ -65,21 +73,30 @@ def _base(text: str) -> Column:
     return F.expr(f"concat({', '.join(kinds)})")
 
 
+def _bare(found: str) -> Column:
+    """``found`` without the marks around each value, its positions adjusted."""
+    opened = f"regexp_replace(f.value, {_q(_OPEN)}, '')"
+    closed = f"regexp_replace({opened}, {_q(_CLOSE)}, '')"
+    return F.expr(f"""transform({found}, f -> named_struct('start', f.stop - length({opened}), 'stop', f.stop - length({opened}) + length({closed}),
+        'value', {closed}, 'before', f.before, 'behind', f.behind))""")
+
+
 def base_entities(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored rows ``nth``, ``key``, ``h``, ``base`` (valid base spans) and ``tokens`` (words that hold digits or @)."""
+    """Stored rows ``nth``, ``key``, ``h``, ``base`` (valid base spans) and ``tokens`` (words with digits or @, and runs of digits)."""
     t = docs.select(F.monotonically_increasing_id().alias("nth"), F.col(quoted(key)).alias("key"), row_hash(docs, 42).alias("h"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("t"))
     joined = F.when(F.expr(r"t rlike '[0-9](?:[ -]?[0-9]){15}'"), F.regexp_replace(F.translate("t", "\x01", "\x02"), r"(?<=[0-9])[\x20-](?=[0-9])", "\x01")).otherwise(F.lit(""))
     t = t.withColumn("c", joined)
     t = t.select(
         "nth", "key", "h", _located("t", _EMAIL, "contains(t, '@')").alias("m_email"), _located("t", _IP, r"t rlike '[0-9][.][0-9]'").alias("m_ip"),
         _located("c", _CARD, "c != ''").alias("m_card"), _located("t", _PHONE, "contains(t, '+')").alias("m_phone"),
-        _located("t", _TOKEN, "t rlike '[0-9@]'").alias("tokens"),
+        _located("t", _TOKEN, "t rlike '[0-9@]'").alias("words"),
+        _located("t", _RUN, "t rlike '[0-9][^A-Za-z0-9]? [0-9(]'").alias("runs"),
     )
-    return stored(t.select("nth", "key", "h", _base("t").alias("base"), "tokens"))
+    return stored(t.select("nth", "key", "h", _base("t").alias("base"), _bare("concat(words, runs)").alias("tokens")))
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Stored rows (nth, start, stop, value, before, behind): the words of ``found`` that no base span touches.
+    """Stored rows (nth, start, stop, value, before, behind): the words and runs of ``found`` that no base span touches.
 
     In each text, the largest end of the base spans begun so far and the least start of those still to come decide.
     """
@@ -109,8 +126,8 @@ def personal_data(
     """One row for each row of ``docs``: ``nth``, ``key``, ``h``, ``base`` and ``discovered`` spans (kind, start, stop, value, ...).
 
     Base spans are the four expressions' leftmost matches that pass their checks; they are the seeds. The words beside
-    them are patterns of their kind. Other words with digits or an at sign are candidates of the kinds whose shape they
-    have, with patterns of their own. In each of ``rounds`` rounds a pattern's confidence is the score of its instances
+    them are patterns of their kind. Other words with digits or an at sign, and numbers written with blanks, both without
+    the marks around them, are candidates of the kinds whose shape they have, with patterns of their own. In each of ``rounds`` rounds a pattern's confidence is the score of its instances
     over all their occurrences (plus ``caution``), and a candidate's score is the noisy-or of its patterns; a pattern
     counts only with ``support`` different seeds. Candidates that reach ``confidence`` are discovered: with the best
     kind, at every place where they stand.
@@ -141,6 +158,9 @@ def personal_data(
             backed.join(gained, patterns, "left").select(*patterns, ((F.col("seed_n") + F.coalesce("gained", F.lit(0.0))) / (F.col("all_n") + caution)).alias("conf"))
         )
     best = stored(scores.where(F.col("score") >= confidence).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")))
-    hits = words.join(best, "value").groupBy("nth").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop", "value"))).alias("discovered"))
+    earlier = W.partitionBy("nth").orderBy("start", F.desc("stop")).rowsBetween(W.unboundedPreceding, -1)
+    hits = words.join(best, "value").select("nth", "kind", "start", "stop", "value").distinct().withColumn("reach", F.max("stop").over(earlier))
+    hits = hits.where(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)))  # a word inside a run gives way to it
+    hits = hits.groupBy("nth").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop", "value"))).alias("discovered"))
     none = F.expr("cast(array() as array<struct<kind:int,start:bigint,stop:bigint,value:string>>)")
     return found.join(hits, "nth", "left").select("nth", "key", "h", "base", F.coalesce("discovered", none).alias("discovered"))
