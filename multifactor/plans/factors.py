@@ -237,14 +237,14 @@ def oblique_axes_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parallel_analysis_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and 95 % bar of random eigenvalues for a table of lineitem's size."""
     n = table(spark, sf_dir, "lineitem").count()
-    return rounded(retention.parallel_summary(retention.parallel_normal(spark, n, len(MEASURES), 50)), 5)
+    return rounded(retention.parallel_summary(retention.parallel_normal(spark, n, len(MEASURES))), 5)
 
 
 @query()
 def parallel_permuted_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by permuting each of lineitem's own columns."""
     z = standardised(measures(spark, sf_dir), _THREE)
-    return rounded(retention.parallel_summary(retention.parallel_permuted(z, _THREE, 3)), 5)
+    return rounded(retention.parallel_summary(retention.parallel_permuted(z, _THREE)), 5)
 
 
 @query()
