@@ -290,9 +290,9 @@ class Hcpc:
 
 
 def _prototypes(rows: DataFrame, axes: Sequence[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted prototypes: k-means rounds over all rows from a seeded sample of them."""
+    """Weighted prototypes: k-means rounds over all rows from those with the least seeded hash of ``_key``."""
     n = rows.count()
-    sample = rows.select(*[col(a) for a in axes]).where(F.rand(seed) < min(1.0, 4 * PROTOTYPES / n)).limit(PROTOTYPES).toPandas().drop_duplicates().to_numpy(float)
+    sample = rows.orderBy(F.xxhash64(F.lit(seed), "_key")).limit(PROTOTYPES).select(*[col(a) for a in axes]).toPandas().drop_duplicates().to_numpy(float)
     centres, _ = consolidate(rows, axes, sample, 5)
     found = centres_of(assigned(rows, axes, centres), axes)
     return found[list(axes)].to_numpy(float), found["n"].to_numpy(float) / n
@@ -301,8 +301,9 @@ def _prototypes(rows: DataFrame, axes: Sequence[str], seed: int) -> tuple[np.nda
 def hcpc(rows: DataFrame, axes: Sequence[str] | None = None, q: int | None = None, *, most: int = 10, consolidated: bool = True, seed: int = 42) -> Hcpc:
     """Cluster rows on their coordinates (five axes at most by default), into q clusters or as the rules agree."""
     axes = list(axes or [c for c in rows.columns if c.startswith("F") and c[1:].isdigit()][:5])
-    slim = rows.select(*[col(a) for a in axes]).persist(StorageLevel.MEMORY_AND_DISK)  # every round reads it again
-    head = slim.limit(MOST_POINTS + 1).toPandas().to_numpy(float)
+    key = col("_row") if "_row" in rows.columns else F.monotonically_increasing_id()
+    slim = rows.select(*[col(a) for a in axes], key.alias("_key")).persist(StorageLevel.MEMORY_AND_DISK)  # every round reads it again
+    head = slim.select(*[col(a) for a in axes]).limit(MOST_POINTS + 1).toPandas().to_numpy(float)
     exact = len(head) <= MOST_POINTS
     points, weights = (head, None) if exact else _prototypes(slim, axes, seed)
     tree = ward(points, weights)
