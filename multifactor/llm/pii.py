@@ -8,7 +8,9 @@ from pyspark.sql import Window as W
 
 from multifactor.llm.common import quoted, row_hash, stored
 
-KINDS = ("email", "ip", "card", "phone")
+#: The four kinds of base spans, and what only the method finds: secrets (keys, tokens, passwords) that a text assigns.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 
 # A run is entered at its start or where the match before ended, so that a long run is read once; matches stay the same.
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -20,15 +22,25 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TOKEN = r"(?:(?<![^\x20\x09-\x0D])|\G)[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Words of digits that single blanks join, with the marks around them; so many of them as the longest card has digits.
 _RUN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9A-Za-z@]*+[0-9][0-9().-]*+(?:\x20[0-9(][0-9().-]*+){1,18}[^\x20\x09-\x0D0-9A-Za-z]*+(?![^\x20\x09-\x0D])"
+#: Words in quotes that follow a sign of assignment, without digits (those with digits are words of _TOKEN).
+_QUOTED = r"(?<=[=:]\x20?[\"'])[^\x20\x09-\x0D\"'0-9@]{8,64}+(?=[\"'])"
+#: A name and the sign of assignment at the beginning of a word, such as key=...
+_NAMED = r"^[\"'(]*([A-Za-z_][A-Za-z0-9_.-]*+)=[\"']*"
+#: What stands before an assigned value, and what is so long and mixed that an assignment makes it a seed of secrets.
+_ASSIGNED, _SEED_SECRET = r"[=:]>?$", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_-]{20,}$"
 #: Marks around a candidate that are not part of it.
 _OPEN, _CLOSE = r"^(?:[^0-9A-Za-z+:(@]|[(](?![^)]*[)].*[0-9]))++", r"(?:(?<!:):(?!:))?[^0-9A-Za-z:]*$"
-_LAST_WORD, _FIRST_WORD = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)"
+_LAST_WORDS, _FIRST_WORD = r"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)"
+_QUOTES = "\"'("
+_BLANKS = r"[\x20\x09-\x0D]+"
 #: Matches of one text that are gathered before they join the list of all.
 CHUNK = 256
 _FOUND = "array<struct<start:bigint,stop:bigint,value:string,before:string,behind:string>>"
 
 #: What a candidate must look like to be taken for a kind, once its context speaks for it.
-_SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9A-Fa-f]+([.:][0-9A-Fa-f]*){3,}$", "card": r"^[0-9][0-9\x20-]{10,}[0-9]$", "phone": r"^\+?[0-9()][0-9().\x20-]{5,18}[0-9]$"}
+_SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9A-Fa-f]+([.:][0-9A-Fa-f]*){3,}$", "card": r"^[0-9][0-9\x20-]{10,}[0-9]$", "phone": r"^\+?[0-9()][0-9().\x20-]{5,18}[0-9]$", "secret": r"^(?=.*[A-Za-z])[A-Za-z0-9+/=_.~!#$%^&*-]{8,}$"}
+#: Values of digits and separators of at least so many characters have a form: the value with each digit as 9.
+_FORM_LENGTH = 12
 
 
 def _q(pattern: str) -> str:
@@ -38,9 +50,9 @@ def _q(pattern: str) -> str:
 def _located(text: str, pattern: str, when: str) -> Column:
     """Matches of a pattern where ``when`` holds: (start, stop, value, before, behind), positions in code points.
 
-    The pieces between the matches give positions; with the matches beside them, they give the words beside each match
-    (at most 64 characters of them). The
-    walk goes chunk by chunk, so that no growing list is copied at every match of a very long text.
+    The pieces between the matches give positions; with the matches beside them, they give the two words before each
+    match and the word behind it (at most 64 characters of them). The walk goes chunk by chunk, so that no growing list
+    is copied at every match of a very long text.
     """
     pieces = f"split({text}, {_q(pattern)}, -1)"
     matches = f"regexp_extract_all({text}, {_q(pattern)}, 0)"
@@ -49,7 +61,7 @@ def _located(text: str, pattern: str, when: str) -> Column:
     behind = f"zip_with(slice({pieces}, 2, {1 << 30}), slice({matches}, 2, {1 << 30}), (q, w) -> concat(left(q, 256), if(length(q) < 256, left(coalesce(w, ''), 256), '')))"
     zipped = f"zip_with({pairs}, {behind}, (x, q) -> named_struct('m', x.m, 'p', x.p, 'b', x.b, 'q', q))"
     one = f"""named_struct('start', a.at + length(x.p), 'stop', a.at + length(x.p) + length(x.m), 'value', x.m,
-        'before', lower(right(regexp_extract(right(x.b, 256), {_q(_LAST_WORD)}, 1), 64)), 'behind', lower(left(regexp_extract(left(x.q, 256), {_q(_FIRST_WORD)}, 1), 64)))"""
+        'before', lower(right(regexp_replace(regexp_extract(rtrim({_q(_QUOTES)}, right(x.b, 256)), {_q(_LAST_WORDS)}, 1), {_q(_BLANKS)}, ' '), 64)), 'behind', lower(left(regexp_extract(left(x.q, 256), {_q(_FIRST_WORD)}, 1), 64)))"""
     chunk = f"""aggregate(slice(z, k + 1, {CHUNK}), named_struct('at', b.at, 'found', cast(array() as {_FOUND})), (a, x) -> named_struct(
         'at', a.at + length(x.p) + coalesce(length(x.m), 0), 'found', if(x.m is null, a.found, concat(a.found, array({one})))))"""
     walked = f"""flatten(aggregate(sequence(0, size(z) - 1, {CHUNK}), named_struct('at', 0L, 'found', cast(array() as array<{_FOUND}>)),
@@ -69,20 +81,22 @@ def _base(text: str) -> Column:
         "card": f"length({digits}) between 16 and 19 and {luhn}",
         "phone": "length(regexp_replace(f.value, '[^0-9]', '')) between 8 and 15",
     }
-    kinds = [f"transform(filter(m_{k}, f -> {valid[k]}), f -> named_struct('kind', {i}, 'start', f.start, 'stop', f.stop, 'value', f.value, 'before', f.before, 'behind', f.behind))" for i, k in enumerate(KINDS)]
+    kinds = [f"transform(filter(m_{k}, f -> {valid[k]}), f -> named_struct('kind', {i}, 'start', f.start, 'stop', f.stop, 'value', f.value, 'before', f.before, 'behind', f.behind))" for i, k in enumerate(BASE_KINDS)]
     return F.expr(f"concat({', '.join(kinds)})")
 
 
 def _bare(found: str) -> Column:
-    """``found`` without the marks around each value, its positions adjusted."""
-    opened = f"regexp_replace(f.value, {_q(_OPEN)}, '')"
+    """``found`` without the marks around each value and a name assigned before it, its positions adjusted."""
+    named = f"regexp_extract(f.value, {_q(_NAMED)}, 0)"
+    opened = f"regexp_replace(substr(f.value, length({named}) + 1), {_q(_OPEN)}, '')"
     closed = f"regexp_replace({opened}, {_q(_CLOSE)}, '')"
+    before = f"if({named} = '', f.before, concat(lower(right(regexp_extract(f.value, {_q(_NAMED)}, 1), 62)), ' ='))"
     return F.expr(f"""transform({found}, f -> named_struct('start', f.stop - length({opened}), 'stop', f.stop - length({opened}) + length({closed}),
-        'value', {closed}, 'before', f.before, 'behind', f.behind))""")
+        'value', {closed}, 'before', {before}, 'behind', f.behind))""")
 
 
 def base_entities(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored rows ``nth``, ``key``, ``h``, ``base`` (valid base spans) and ``tokens`` (words with digits or @, and runs of digits)."""
+    """Stored rows ``nth``, ``key``, ``h``, ``base`` (valid base spans) and ``tokens`` (words with digits or @, runs of digits, quoted values)."""
     t = docs.select(F.monotonically_increasing_id().alias("nth"), F.col(quoted(key)).alias("key"), row_hash(docs, 42).alias("h"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("t"))
     joined = F.when(F.expr(r"t rlike '[0-9](?:[ -]?[0-9]){15}'"), F.regexp_replace(F.translate("t", "\x01", "\x02"), r"(?<=[0-9])[\x20-](?=[0-9])", "\x01")).otherwise(F.lit(""))
     t = t.withColumn("c", joined)
@@ -91,8 +105,9 @@ def base_entities(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
         _located("c", _CARD, "c != ''").alias("m_card"), _located("t", _PHONE, "contains(t, '+')").alias("m_phone"),
         _located("t", _TOKEN, "t rlike '[0-9@]'").alias("words"),
         _located("t", _RUN, "t rlike '[0-9][^A-Za-z0-9]? [0-9(]'").alias("runs"),
+        _located("t", _QUOTED, f"t rlike {_q(_QUOTED)}").alias("quoted"),
     )
-    return stored(t.select("nth", "key", "h", _base("t").alias("base"), _bare("concat(words, runs)").alias("tokens")))
+    return stored(t.select("nth", "key", "h", _base("t").alias("base"), _bare("concat(words, runs, quoted)").alias("tokens")))
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -111,13 +126,17 @@ def candidates(found: DataFrame) -> DataFrame:
     return stored(plain.unionByName(free.select(*plain.columns)))
 
 
-def _edges(rows: DataFrame, kind: str | None) -> DataFrame:
-    """Pattern-instance edges (kind, side, word, value, n); a pattern is a word before or behind."""
-    kinds = F.col("kind") if kind is None else F.lit(KINDS.index(kind))
-    if kind is not None:
-        rows = rows.where(F.col("value").rlike(_SHAPES[kind]))
-    sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("behind").alias("side"), F.col("behind").alias("word"))))
-    return rows.select(kinds.alias("kind"), "value", sides.alias("p")).groupBy("kind", "p.side", "p.word", "value").agg(F.count("*").alias("n"))
+def _patterns(rows: DataFrame) -> DataFrame:
+    """``rows`` (kind, value, before, behind, seed) as pattern-instance edges (kind, side, word, value, seed, n).
+
+    Patterns are the word before, the two words before, the word behind, and the form of values without letters.
+    """
+    plain = F.translate("value", "\x01-", "  ")
+    form = F.when(~plain.rlike(r"\p{L}") & (F.length("value") >= _FORM_LENGTH), F.regexp_replace(plain, "[0-9]", "9"))
+    words = {"before": F.substring_index("before", " ", -1), "two before": F.when(F.contains("before", F.lit(" ")), F.col("before")), "behind": F.col("behind"), "form": form}
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), word.alias("word")) for side, word in words.items()])).alias("p")
+    edges = rows.select("kind", "value", "seed", sides).where("p.word is not null and p.word != ''")
+    return edges.groupBy("kind", "p.side", "p.word", "value", "seed").agg(F.count("*").alias("n"))
 
 
 def personal_data(
@@ -125,37 +144,44 @@ def personal_data(
 ) -> DataFrame:
     """One row for each row of ``docs``: ``nth``, ``key``, ``h``, ``base`` and ``discovered`` spans (kind, start, stop, value, ...).
 
-    Base spans are the four expressions' leftmost matches that pass their checks; they are the seeds. The words beside
-    them are patterns of their kind. Other words with digits or an at sign, and numbers written with blanks, both without
-    the marks around them, are candidates of the kinds whose shape they have, with patterns of their own. In each of ``rounds`` rounds a pattern's confidence is the score of its instances
-    over all their occurrences (plus ``caution``), and a candidate's score is the noisy-or of its patterns; a pattern
-    counts only with ``support`` different seeds. Candidates that reach ``confidence`` are discovered: with the best
-    kind, at every place where they stand.
+    Base spans are the four expressions' leftmost matches that pass their checks; they are the seeds of their kinds. Seeds
+    of secrets are long words of letters and digits that a sign of assignment precedes. The words beside seeds are
+    patterns of their kind, and so is a seed's form. Other words with digits or an at sign, numbers written with blanks,
+    and quoted values after a sign of assignment, all without the marks around them, are candidates of the kinds whose
+    shape they have, with patterns of their own.
+
+    In each of ``rounds`` rounds a pattern of words has as confidence the score of its instances over all their
+    occurrences (plus ``caution``). A form's confidence is the share of its kind among the seeds that have it (plus
+    ``caution``): candidates without a check digit that fits do not speak against a form. A candidate's score is the
+    noisy-or of its patterns; a pattern counts only with ``support`` different seeds. Candidates that reach
+    ``confidence`` are discovered: with the best kind, at every place where they stand; seeds of secrets too.
 
     Positions are code points, end exclusive; a null text counts as empty; repeated rows each get a row; an empty
     table gives none. Base spans never change; discovered ones do not overlap them.
     """
     found = base_entities(docs, key=key, text=text)
     words = candidates(found)
-    edges = _edges(found.select(F.explode("base").alias("w")).select("w.*"), None).withColumn("seed", F.lit(True))
-    for kind in KINDS:
-        edges = edges.unionByName(_edges(words, kind).withColumn("seed", F.lit(False)))
-    edges = stored(edges.where("word != ''"))
+    secret = KINDS.index("secret")
+    seeds = found.select(F.explode("base").alias("w")).select("w.kind", "w.value", "w.before", "w.behind", F.lit(True).alias("seed"))
+    shaped = F.explode(F.filter(F.array(*[F.when(F.col("value").rlike(shape), F.lit(KINDS.index(kind))) for kind, shape in _SHAPES.items()]), lambda k: k.isNotNull()))
+    others = words.select(shaped.alias("kind"), "value", "before", "behind")
+    others = others.withColumn("seed", (F.col("kind") == secret) & F.col("before").rlike(_ASSIGNED) & F.col("value").rlike(_SEED_SECRET))
+    edges = stored(_patterns(seeds.unionByName(others)))
     patterns = ["kind", "side", "word"]
-    backed = stored(
-        edges.groupBy(*patterns).agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)).alias("seed_n"), F.count_if("seed").alias("seeds"))
-        .where(F.col("seeds") >= support)
-    )
-    reach = stored(edges.where("not seed").join(backed.select(*patterns), patterns, "left_semi"))
-    conf = backed.select(*patterns, (F.col("seed_n") / (F.col("all_n") + caution)).alias("conf"))
+    backed = edges.groupBy(*patterns).agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)).alias("seed_n"), F.count_if("seed").alias("seeds"))
+    rivals = backed.where("side = 'form'").groupBy("side", "word").agg(F.sum("seed_n").alias("rival_n"))
+    backed = stored(backed.where(F.col("seeds") >= support).join(rivals, ["side", "word"], "left"))
+    reach = stored(edges.where(~F.col("seed") | (F.col("kind") == secret)).join(backed.select(*patterns), patterns, "left_semi"))
+    weight = F.coalesce("rival_n", "all_n") + caution
+    conf = backed.select(*patterns, (F.col("seed_n") / weight).alias("conf"))
     scores = None
     for _ in range(rounds):
         scores = stored(
             reach.join(conf, patterns).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score"))
         )
-        gained = reach.join(scores, ["kind", "value"]).groupBy(*patterns).agg(F.sum(F.col("n") * F.col("score")).alias("gained"))
+        gained = reach.where("side != 'form' and not seed").join(scores, ["kind", "value"]).groupBy(*patterns).agg(F.sum(F.col("n") * F.col("score")).alias("gained"))
         conf = stored(
-            backed.join(gained, patterns, "left").select(*patterns, ((F.col("seed_n") + F.coalesce("gained", F.lit(0.0))) / (F.col("all_n") + caution)).alias("conf"))
+            backed.join(gained, patterns, "left").select(*patterns, ((F.col("seed_n") + F.coalesce("gained", F.lit(0.0))) / weight).alias("conf"))
         )
     best = stored(scores.where(F.col("score") >= confidence).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")))
     earlier = W.partitionBy("nth").orderBy("start", F.desc("stop")).rowsBetween(W.unboundedPreceding, -1)

@@ -25,14 +25,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the base spans, and all spans."""
     found = pii.personal_data(read_table(spark, sf_dir, "documents"))
-    kind = "element_at(array('email', 'ip', 'card', 'phone'), x.kind + 1)"
+    kind = f"element_at(array({', '.join(repr(k) for k in pii.KINDS)}), x.kind + 1)"
     base = F.expr(f"transform(array_sort(transform(base, x -> named_struct('kind', x.kind, 'start', x.start, 'stop', x.stop))), x -> concat_ws(':', {kind}, x.start, x.stop))")
     every = F.expr(f"""transform(array_sort(concat(transform(base, x -> named_struct('kind', x.kind, 'start', x.start, 'stop', x.stop)),
         transform(discovered, x -> named_struct('kind', x.kind, 'start', x.start, 'stop', x.stop)))), x -> concat_ws(':', {kind}, x.start, x.stop))""")
-    count = [F.size(F.expr(f"filter(base, x -> x.kind = {i})")).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    count = [F.size(F.expr(f"filter(base, x -> x.kind = {i})")).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.BASE_KINDS)]
     return found.select(
         F.col("key").alias("doc_id"), *count, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"),
-        F.size("discovered").cast("long").alias("n_discovered"),
+        F.size(F.expr("filter(discovered, x -> x.kind = 4)")).cast("long").alias("n_secret"), F.size("discovered").cast("long").alias("n_discovered"),
+        (F.size("base") + F.size("discovered")).cast("long").alias("n_spans"),
     )
 
 

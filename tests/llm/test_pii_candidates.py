@@ -1,5 +1,7 @@
 """Plain identifiers that stand in a trusted context, with marks around them, with blanks, or side by side."""
 
+import random
+
 import pytest
 
 from multifactor.llm import pii
@@ -40,3 +42,26 @@ def test_context_is_taken_from_neighbouring_identifiers(spark):
     docs = spark.createDataFrame([(1, "a1 b2 c3")], "doc_id long, text string")
     words = pii.base_entities(docs).first().tokens
     assert [(w.value, w.before, w.behind) for w in words] == [("a1", "", "b2"), ("b2", "a1", "c3"), ("c3", "b2", "")]
+
+
+def test_secrets_and_forms_are_discovered(spark):
+    rng = random.Random(2)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    luhn = ["4111111111111111", "5500000000000004", "4012888888881881", "4222222222222220", "4000000000000002", "5105105105105100"]
+    texts = [f'word{i} then token = "{key(40)}" rest' for i in range(12)] + [f"{a} {c} {b}" for a, b, c in zip("abcdef", "ghijkl", luhn, strict=True)]
+    planted = {
+        'a token = "correcthorse" b': ["secret:correcthorse"],
+        "x token = short9key9 y": ["secret:short9key9"],
+        'TOKEN = "AB12CD34EF56AB12CD34EF56"!!': ["secret:AB12CD34EF56AB12CD34EF56"],
+        f'config token="{(k := key(40))}", done': [f"secret:{k}"],
+        "commit 0123456789abcdef0123456789abcdef01234567 done": [],
+        "p 4111111111111112 q": ["card:4111111111111112"],
+        "p 411111111111111 q": [],
+        "version 3.0 of 2024-01-01": [],
+    }
+    docs = spark.createDataFrame(list(enumerate([*texts, *planted])), "doc_id long, text string")
+    rows = {r.key: r.discovered for r in pii.personal_data(docs).collect()}
+    assert all([(s.kind, t[s.start : s.stop]) for s in rows[i]] == [(4, t.split('"')[1])] for i, t in enumerate(texts[:12]))
+    for i, (text, want) in enumerate(planted.items(), len(texts)):
+        assert [f"{pii.KINDS[s.kind]}:{s.value}" for s in rows[i]] == want, text
+        assert all(text[s.start : s.stop] == s.value for s in rows[i])
