@@ -21,6 +21,8 @@ FIT_ROWS = 200_000
 PREFIXES = (5, 6, 7, 9)
 #: Bins of word scores from -1 to 8.
 BINS = 901
+#: Bins of segment scores in each unit of score, and segments that a score must have been reached by to count in the fit of the level.
+SEGMENT_BINS, RARE = 8, 10
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
 
@@ -47,7 +49,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass(frozen=True)
 class WordScores:
-    """Each slot's score, and the extreme-value constants of the best segment of clean text."""
+    """Each slot's score, and the extreme-value constants of clean text's maximal segments."""
 
     scores: np.ndarray
     decay: float = 1.0
@@ -66,11 +68,12 @@ def fit_word_scores(rows: DataFrame, *, prior: float = 0.01, caution: float = 1.
     """Score words from ``rows``: ``text`` and ``label`` (1 toxic, 0 clean); other rows are passed over.
 
     A word (or its beginning, for words not seen before) has as score the log-odds of standing in a toxic against a
-    clean document. Both counts have a Dirichlet prior, dealt as in all documents and as heavy as the share ``prior`` of
+    clean document. Both counts have a Dirichlet prior, dealt as in all ``rows`` and as heavy as the share ``prior`` of
     them; ``caution`` standard errors and ``drift`` are taken off, so that rare and ordinary words count against a
-    passage. The extreme-value constants come from all clean documents: ``decay`` is the positive root of
-    E[exp(decay * score)] = 1 over their words (Karlin and Altschul), ``level`` their factor's usual bound.
-    Spark sums the counts of WORDS slots; no list of words reaches the driver.
+    passage. The extreme-value constants come from the clean documents among ``rows``: ``decay`` is the positive root of
+    E[exp(decay * score)] = 1 over their words (Karlin and Altschul), ``level`` is fitted to their maximal segments.
+    All counts are over ``rows``, which op4 bounds by FIT_ROWS. Repeated rows count each. Spark sums the counts of WORDS
+    slots; no list of words reaches the driver.
     """
     rows = rows.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
     counts = rows.mapInPandas(_count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -88,27 +91,47 @@ def fit_word_scores(rows: DataFrame, *, prior: float = 0.01, caution: float = 1.
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = np.zeros(BINS, np.int64)
+        words, segments = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         for batch in batches:
             texts = encoded(batch["text"])
             for a, b in in_chunks(texts, CHUNK):
-                got = sent.value.of(hashed_words(texts[a:b], PREFIXES)[0])
-                found += np.bincount(((got + 1.0) * (BINS - 1) / 9.0).astype(np.int64), minlength=BINS)
-        yield pd.DataFrame({"bin": np.arange(BINS), "n": found})
-
-    bins = rows.where("label = 0").select("text").mapInPandas(spread, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    value, share = bins["bin"].to_numpy() * 9.0 / (BINS - 1) - 1.0, bins["n"].to_numpy() / max(1, bins["n"].sum())
+                hashes, _, _, before = hashed_words(texts[a:b], PREFIXES)
+                got = sent.value.of(hashes)
+                words += np.bincount(((got + 1.0) * (BINS - 1) / 9.0).astype(np.int64), minlength=BINS)
+                for lo, hi in zip(before, before[1:], strict=False):
+                    best = np.array([s for *_, s in best_segments(got[lo:hi])])
+                    segments += np.bincount(np.minimum(best * SEGMENT_BINS, BINS - 1).astype(np.int64), minlength=BINS)
+        yield pd.DataFrame({"bin": np.arange(BINS), "words": words, "segments": segments})
+
+    sums = rows.where("label = 0").select("text").mapInPandas(spread, "bin int, words long, segments long").groupBy("bin").agg(F.sum("words").alias("words"), F.sum("segments").alias("segments"))
+    bins = sums.toPandas().sort_values("bin")
+    n_words = max(1, bins["words"].sum())
+    value, share = bins["bin"].to_numpy() * 9.0 / (BINS - 1) - 1.0, bins["words"].to_numpy() / n_words
     low, high = 1e-3, 4.0
     for _ in range(60):  # the sum is convex in the decay and 1 at 0; bisect for its other root
         mid = (low + high) / 2
         low, high = (mid, high) if (share * np.exp(mid * value)).sum() < 1 else (low, mid)
-    return WordScores(scores, low)
+    return WordScores(scores, low, extreme_level(bins["segments"].to_numpy(), low, n_words))
+
+
+def extreme_level(segments: np.ndarray, decay: float, words: int) -> float:
+    """The level at which level * words * exp(-decay * score) is no less than the segments seen of any score or more.
+
+    ``segments`` counts the maximal segments of clean text by score, in bins of 1 / SEGMENT_BINS. Scores that fewer than
+    RARE segments reach say little and are left out; without any such score the level is 1 / words.
+    """
+    reached = np.cumsum(segments[::-1])[::-1]
+    score = np.arange(len(segments)) / SEGMENT_BINS
+    known = reached >= RARE
+    return float(max([1.0 / words, *(reached[known] / words * np.exp(decay * score[known]))]))
 
 
 def best_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, after, score), by the linear-time scan of Ruzzo and Tompa.
 
-    Words without a positive score are passed in runs; the scan steps once for each run of positive words.
+    Words without a positive score are passed in runs; the scan steps once for each run of positive words. Each held
+    segment knows the nearest one before it with a smaller sum to its left, so a search leaps over all that an earlier
+    search has passed, and no segment is passed twice.
     """
     at = np.flatnonzero(scores > 0)
     if not len(at):
@@ -116,19 +139,20 @@ def best_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
     starts = at[np.concatenate([[True], np.diff(at) > 1])]
     ends = at[np.concatenate([np.diff(at) > 1, [True]])] + 1
-    held: list[tuple[int, int, float, float]] = []  # first, after, sum before, sum after
+    held: list[tuple[int, int, float, float, int]] = []  # first, after, sum before, sum after, nearest with a smaller sum before
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         left, right = total[a], total[b]
+        j = len(held) - 1
         while True:
-            j = len(held) - 1
             while j >= 0 and held[j][2] >= left:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= right:
-                held.append((a, b, left, right))
+                held.append((a, b, left, right, j))
                 break
-            a, left = held[j][0], held[j][2]
+            a, _, left, _, nearest = held[j]
             del held[j:]
-    return [(a, b, right - left) for a, b, left, right in held]
+            j = nearest
+    return [(a, b, right - left) for a, b, left, right, _ in held]
 
 
 PASSAGE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())]))
