@@ -73,9 +73,27 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free_names(names: list[str], taken: list[str]) -> dict[str, str]:
+    """Each of ``names``, with underscores after it where it clashes with ``taken`` or an earlier one (case does not count)."""
+    used, found = {t.lower() for t in taken}, {}
+    others = {n.lower() for n in names}
+    for name in names:
+        new = name
+        while new.lower() in used or (new != name and new.lower() in others):
+            new += "_"
+        used.add(new.lower())
+        found[name] = new
+    return found
+
+
 def row_hash(docs: DataFrame, seed: int) -> Column:
-    """A hash of all columns that can be hashed."""
-    return F.xxhash64(F.lit(seed), *[F.col(quoted(f.name)) for f in docs.schema.fields if not has_map(f.dataType)])
+    """A 128-bit hash, as a struct of two longs, of all columns that can be hashed.
+
+    Operators that join results back to whole rows know a row by it: two different rows of a trillion share one with a
+    probability of about 1e-15.
+    """
+    columns = [F.col(quoted(f.name)) for f in docs.schema.fields if not has_map(f.dataType)]
+    return F.struct(F.xxhash64(F.lit(seed), *columns).alias("one"), F.xxhash64(F.lit(seed + (1 << 20)), *columns).alias("two"))
 
 
 _POWER = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
