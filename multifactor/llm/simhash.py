@@ -8,7 +8,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from multifactor.llm.common import quoted, row_hash, stored
 
@@ -73,14 +72,15 @@ def near_links(values: DataFrame, radius: int = 3, most: int = 1024, seed: int =
     no group's pairs are emitted. Buckets of more than ``most`` values are dealt out again by a second and third family
     of masks inside what the first left free: any close pair of theirs meets again, and as each family halves the free
     bits, of which a bucket of ``most`` values needs log2(most) at least, none is left after a few. No bucket is cut.
+    Repeated values count once; an empty table gives no links.
     """
     spark = values.sparkSession
-    rows = values.select("fp", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("kept"))
+    rows = values.distinct().select("fp", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("kept"))
     found: list[DataFrame] = []
 
-    @F.udf("array<struct<a:long,b:long>>", useArrow=False)
-    def joined(held):
-        return _chains(np.array(sorted(held), dtype=np.int64), radius)
+    @F.pandas_udf("array<struct<a:long,b:long>>")
+    def joined(buckets: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": a, "b": b} for a, b in _chains(np.sort(held), radius)] for held in buckets], dtype=object)
 
     level = 0
     while True:
@@ -89,15 +89,13 @@ def near_links(values: DataFrame, radius: int = 3, most: int = 1024, seed: int =
         dealt = rows.select("fp", "path", "kept", tables.alias("t")).select(
             "fp", (F.col("path") * (2 << radius) + F.col("t.i") + 1).alias("path"), F.col("kept").bitwiseOR(F.col("t.mask")).alias("kept"))
         dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("kept")))
-        met = dealt.withColumn("n", F.count("*").over(W.partitionBy("path", "key"))).where("n > 1")
-        met = stored(met)
+        sizes = dealt.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")  # summed before they move; a large bucket meets its size in a join
+        met = stored(dealt.join(sizes, ["path", "key"]))
         small = met.where(F.col("n") <= most).groupBy("path", "key").agg(F.collect_list("fp").alias("held"))
         found.append(small.select(F.explode(joined("held")).alias("e")).select("e.a", "e.b"))
         large = met.where(F.col("n") > most)
         if not large.limit(1).count():
             break
-        if level >= 12:  # all 64 bits are kept by now, so that buckets hold one value
-            raise AssertionError("covering masks left bits free")
         rows, level = large.select("fp", "path", "kept"), level + 1
     links = found[0]
     for more in found[1:]:
@@ -109,7 +107,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node; ``root`` is the least node of its component.
 
     Alternates large-star and small-star steps until the links stand still: both only join each node's neighbours with
-    their least one, so a component is never gathered. Every step is stored, so lost executors cost one step.
+    their least one, so a component is never gathered. Every step is stored, so lost executors cost one step. Repeated
+    links count once; no links give no rows.
     """
 
     def step(edges: DataFrame, large: bool) -> DataFrame:
