@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -76,6 +77,34 @@ def test_sharding_law_slots_and_reruns(spark, docs, rows):
     assert all(r[4] == part[r[0]] for r in got if r[0] is not None and r[0] % 3 == 0)
 
 
+def test_shards_buckets_and_slots_by_brute_force(spark, docs, rows):
+    """The law and the places recomputed: hashes by Spark row by row, everything else here."""
+    data = [(i, f"text {i} " * (i % 7)) for i in range(200)] + [(7, "again")] * 30 + [(None, None)] * 2
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    one = lambda seed, key, shard: spark.range(1).select(F.xxhash64(F.lit(seed), F.lit(key).cast("long"), F.lit(shard).cast("long"))).first()[0]
+    got = sharding.shard_documents(df, 3, bucket_bytes=1500).select("record.*", "size", "shard", "bucket", "slot", "grown_shard").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(data)
+    for r in {r.doc_id: r for r in got if r.doc_id is None or r.doc_id < 8}.values():
+        weights = [(one(42, r.doc_id, s), -s) for s in range(3)]
+        assert r.shard == -max(weights)[1] and r.grown_shard == (3 if one(42, r.doc_id, 3) > max(weights)[0] else r.shard)
+    assert len({(r.shard, r.grown_shard) for r in got if r.doc_id == 7}) == 1
+    for shard in range(3):
+        mine = sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine))) and [r.bucket for r in mine] == sorted(r.bucket for r in mine)
+
+
+def test_a_row_that_repeats_spreads_over_buckets(spark):
+    hot = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    df = hot.unionByName(spark.createDataFrame([(i, f"other {i}") for i in range(500)], "doc_id long, text string"))
+    sharded = sharding.shard_documents(df, 2, bucket_bytes=2000)
+    got = sharded.groupBy("shard", "bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    assert sum(r.n for r in got) == 3500 and max(r.bytes for r in got) < 40_000 < 3000 * 29
+    for shard in (0, 1):
+        assert max(r["last"] for r in got if r.shard == shard) + 1 == sum(r.n for r in got if r.shard == shard)
+    runs = [sorted(tuple(r) for r in sharding.shard_documents(df.repartition(n), 2, bucket_bytes=2000).select("record.doc_id", "record.text", "shard", "slot").collect()) for n in (2, 5)]
+    assert runs[0] == runs[1]
+
+
 def test_sharding_of_nothing(empty):
     assert sharding.shard_documents(empty, 4).count() == 0
 
@@ -86,9 +115,13 @@ def test_shards_are_shuffled(spark):
     assert 1800 < len(got) < 2200 and abs(np.corrcoef(np.arange(len(got)), got)[0, 1]) < 0.1
 
 
-def test_written_shards(spark, docs, tmp_path):
-    sharding.write_shards(sharding.shard_documents(docs.drop("shard"), 3), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+def test_written_shards_keep_clashing_columns(spark, docs, rows, tmp_path):
+    more = docs.withColumn("_slot", F.lit("s")).withColumn("Bucket", F.lit("b")).withColumn("a.b", F.lit("d"))
+    sharding.write_shards(sharding.shard_documents(more, 3), str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == len(rows) and {"shard", "shard_", "_slot", "_slot_", "Bucket_", "a.b", "size", "doc_id"} <= set(back.columns)
+    assert {r[0] for r in back.select("shard_").distinct().collect()} == {r[4] for r in rows}
+    assert back.groupBy("shard").agg((F.max("_slot") + 1 - F.count("*")).alias("gap")).where("gap != 0").count() == 0
 
 
 # -- 2 personal data
@@ -160,6 +193,35 @@ def test_impact_index_is_exact(spread):
         assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want[int(i)]
 
 
+def test_bars_skip_and_stop_without_losing_members():
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([rng.integers(-9, 10, (400, 6)), rng.integers(60, 90, (50, 6))])
+    ids = rng.permutation(450).astype(np.int64)
+    index = topk.ImpactIndex.unpacked(*topk.ImpactIndex(ids, vectors).packed())
+    queries, own = vectors[:30], ids[:30]
+    whole = index.search(queries, own, 5)
+    for rise in (-1, 0):
+        bars = np.array([s[-1] + rise for _, s in whole], np.int64)
+        for (a, b), (c, d) in zip(whole, index.search(queries, own, 5, bars), strict=True):
+            assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+    above = index.search(queries, own, 5, np.array([s[0] + 1 for _, s in whole], np.int64))
+    assert all(not len(a) for a, _ in above)
+
+
+def test_blocks_and_passes_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = [(i, rng.integers(-40, 41, 5).tolist()) for i in range(700)]
+    df = spark.createDataFrame(data, "vec_id long, v array<long>")
+    ask = df.where("vec_id % 7 = 0")
+    key = lambda r: tuple(r)
+    whole = sorted(map(key, topk.exact_top_k(df, ask, 4).collect()))
+    want = brute_top(data, [(i, v) for i, v in data if i % 7 == 0], 4)
+    assert whole == sorted((q, n, i, s) for q, found in want.items() for n, (i, s) in enumerate(found, 1))
+    for name, value in {"BLOCK_ROWS": 64, "QUERY_BYTES": 1500, "TOGETHER": 9, "FIRST_ROWS": 20}.items():
+        monkeypatch.setattr(topk, name, value)
+    assert sorted(map(key, topk.exact_top_k(df, ask, 4).collect())) == whole
+
+
 def test_top_k_table(spark):
     rng = random.Random(2)
     data = [(i, [rng.choice([0.5, -0.25, 0.125, 0.3]) for _ in range(4)]) for i in range(120)]
@@ -192,12 +254,30 @@ def best_runs(scores):
     return inside(0, len(scores))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(-6, 6).filter(bool), max_size=14))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.floats(-6, 6).filter(bool), max_size=30))
 def test_segments_are_the_maximal_ones(scores):
+    scores = [round(x, 3) + 0.000137 * (i + 1) for i, x in enumerate(scores)]  # no ties, so that places are defined
     got = [(a, b, round(s, 6)) for a, b, s in toxicity.best_segments(np.array(scores, dtype=float))]
-    want = [(a, b, round(s, 6)) for a, b, s in best_runs(scores)]
-    assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want)) and len(got) == len(want)
+    assert got == [(a, b, round(s, 6)) for a, b, s in best_runs(scores)]
+
+
+@pytest.mark.parametrize("pattern", [[1, -2], [2, -1], [1, -1], [1, -2, 3, -5, 1, -1]])
+def test_segments_take_linear_time(pattern):
+    begun = time.perf_counter()
+    toxicity.best_segments(np.array(pattern * (200_000 // len(pattern)), dtype=float))
+    assert time.perf_counter() - begun < 2
+
+
+def test_level_bounds_the_segments_seen():
+    rng = np.random.default_rng(0)
+    words, decay = 100_000, 0.7
+    found = np.bincount((rng.exponential(1 / decay, 5000) * toxicity.SEGMENT_BINS).astype(int), minlength=200)
+    level = toxicity.extreme_level(found, decay, words)
+    reached = np.cumsum(found[::-1])[::-1]
+    score = np.arange(200) / toxicity.SEGMENT_BINS
+    assert (level * words * np.exp(-decay * score) >= reached - 1e-6)[reached >= toxicity.RARE].all() and 0.04 < level < 0.2
+    assert toxicity.extreme_level(np.zeros(9), decay, 50) == 1 / 50
 
 
 def toxic_corpus(n=300):
