@@ -24,6 +24,7 @@ _TOKEN = r"(?:(?<![^\x20\x09-\x0D])|\G)[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x
 _RUN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9A-Za-z@]*+[0-9][0-9().-]*+(?:\x20[0-9(][0-9().-]*+){1,18}[^\x20\x09-\x0D0-9A-Za-z]*+(?![^\x20\x09-\x0D])"
 #: Words in quotes that follow a sign of assignment, without digits (those with digits are words of _TOKEN).
 _QUOTED = r"(?<=[=:]\x20?[\"'])[^\x20\x09-\x0D\"'0-9@]{8,64}+(?=[\"'])"
+_ANY_QUOTED = r"[=:]\x20?[\"']"
 #: A name and the sign of assignment at the beginning of a word, such as key=...
 _NAMED = r"^[\"'(]*([A-Za-z_][A-Za-z0-9_.-]*+)=[\"']*"
 #: What stands before an assigned value, and what is so long and mixed that an assignment makes it a seed of secrets.
@@ -105,7 +106,7 @@ def base_entities(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
         _located("c", _CARD, "c != ''").alias("m_card"), _located("t", _PHONE, "contains(t, '+')").alias("m_phone"),
         _located("t", _TOKEN, "t rlike '[0-9@]'").alias("words"),
         _located("t", _RUN, "t rlike '[0-9][^A-Za-z0-9]? [0-9(]'").alias("runs"),
-        _located("t", _QUOTED, f"t rlike {_q(_QUOTED)}").alias("quoted"),
+        _located("t", _QUOTED, f"t rlike {_q(_ANY_QUOTED)}").alias("quoted"),
     )
     return stored(t.select("nth", "key", "h", _base("t").alias("base"), _bare("concat(words, runs, quoted)").alias("tokens")))
 
