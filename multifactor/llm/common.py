@@ -86,6 +86,12 @@ def free_names(names: list[str], taken: list[str]) -> dict[str, str]:
     return found
 
 
+def with_results(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` with new columns; a column of ``docs`` of the same name stays, with underscores after its name."""
+    held = free_names(docs.columns, list(columns))
+    return docs.select(*[F.col(quoted(c)).alias(held[c]) for c in docs.columns], *[value.alias(name) for name, value in columns.items()])
+
+
 def row_hash(docs: DataFrame, seed: int) -> Column:
     """A 128-bit hash, as a struct of two longs, of all columns that can be hashed.
 

@@ -172,7 +172,10 @@ def benchmark_matches(
     exact piece hit Myers' distance decides. Documents are scanned where they lie, without a shuffle; test items are
     broadcast in blocks of bounded size, one pass each.
 
-    Null, empty and blank texts and items match nothing; repeated rows and items match each; extra columns are not read.
+    Null, empty and blank texts and items match nothing; repeated rows and items match each; extra columns are not read,
+    whatever their names; an empty table matches nothing. Items of fewer than 1 / ``error_rate`` characters have no
+    errors to spend and are found wherever they stand, inside longer words too: leave such items out of a benchmark if
+    that is not wanted.
     """
     spark, kind = docs.sparkSession, docs.schema[key].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("item_id", benchmark.schema[item].dataType), T.StructField("distance", T.IntegerType()), T.StructField("match_end", T.LongType())])
@@ -194,6 +197,7 @@ def benchmark_matches(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
     """``docs`` without the documents in which a test item is found; see ``benchmark_matches``."""
     spark, kept = docs.sparkSession, docs
+
     def clean(sent):
         @F.pandas_udf(T.BooleanType())
         def flags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from multifactor.llm.common import quoted
+from multifactor.llm.common import quoted, with_results
 
 #: Hashed features, whatever the corpus: the broadcast matrix has so many rows and one column for each language.
 FEATURES = 1 << 15
@@ -97,7 +97,8 @@ def fit_language_model(docs: DataFrame, *, text: str = "text", lang: str = "lang
     """Count hashed n-grams by language over all rows that have both text and language.
 
     Each task counts into a fixed number of features; Spark sums the counts. Only the summed table, of at most FEATURES
-    rows a language, reaches the driver. Priors are equal.
+    rows a language, reaches the driver. Priors are equal. Repeated rows count each; texts without a letter count their
+    other characters; an empty table gives a model of no language; other columns are not read.
     """
     rows = docs.select(F.col(quoted(text)).alias("text"), F.col(quoted(lang)).cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = rows.mapInPandas(_count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
@@ -118,7 +119,9 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: Column) -> Dat
     """``docs`` with a struct column ``language_prediction`` (lang, score): the likeliest language of the whole text.
 
     The score is the language's posterior probability. A text that is null or has no letter gets ``und`` and 0; so does
-    every text if the model has learned no language. Long texts are scored piece by piece; rows are never moved.
+    every text if the model has learned no language. Equal texts get equal results, ties go to the first language by
+    name, and an empty table gives none. Long texts are scored piece by piece; rows are never moved. A column of ``docs``
+    that is called language_prediction itself stays as language_prediction_.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -140,4 +143,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: Column) -> Dat
         score = weight.max(axis=1) / weight.sum(axis=1)
         return pd.DataFrame({"lang": np.where(lettered, np.array(m.languages, dtype=object)[best], "und"), "score": np.where(lettered, score, 0.0)})
 
-    return docs.withColumn("language_prediction", predict(text))
+    return with_results(docs, language_prediction=predict(text))

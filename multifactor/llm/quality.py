@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from multifactor.llm.common import encoded, quoted, stored
+from multifactor.llm.common import encoded, quoted, stored, with_results
 
 #: Random Fourier features; the normal equations have so many rows.
 FEATURES = 256
@@ -94,7 +94,7 @@ def fit_quality(rows: DataFrame, *, ridge: float = 1e-3, seed: int = 42) -> Qual
 
     Means, the normal equations of the random features, and the calibration's counts are summed in each partition and
     then by Spark; the driver solves one system of FEATURES + 1 unknowns. Without both labels every score is the share
-    of ones (or one half without any).
+    of ones (or one half without any). Repeated rows count each; an empty table has no ones and no others.
     """
     spark = rows.sparkSession
     rows = rows.where("label in (0, 1) and statistics is not null")
@@ -152,11 +152,15 @@ def with_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def scored(rows: DataFrame, model: QualityModel, statistics_column: str = "statistics") -> DataFrame:
-    """``rows`` with ``score``: the calibrated quality of each row's statistics, 0 to 1. Empty texts are scored too."""
+    """``rows`` with ``score``: the calibrated quality of each row's statistics, 0 to 1.
+
+    Null and empty texts have statistics and a score too; repeated rows get equal scores; an empty table gives none. A
+    column of ``rows`` that is called score itself stays as score_.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(column: pd.Series) -> pd.Series:
         return pd.Series(sent.value.score(_matrix(column)))
 
-    return rows.withColumn("score", score(statistics_column))
+    return with_results(rows, score=score(F.col(quoted(statistics_column))))

@@ -200,6 +200,7 @@ def fit_probability(rows: DataFrame, *, steps: int = 30) -> list[float]:
     """Weights of a logistic curve (constant, ln(1 + surprise), best segment, mean score) from rows with ``label``.
 
     Newton steps; each sums gradient and curvature over all rows in Spark. Without both labels: the share of ones.
+    Repeated rows count each; an empty table gives a share of 1e-6.
     """
     x = [F.lit(1.0), *_figures()]
     k = len(x)

@@ -691,3 +691,69 @@ def test_held_out_is_crc32_of_the_id(spark):
 
 def test_base_digest_of_no_spans(spark):
     assert spark.range(1).select(F.sha2(F.lit("").cast("binary"), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+CLASHING = "doc_id long, text string, label int, row string, h string, nth string, key string, base string, discovered string, words string, passages string, surprise string, statistics array<double>, score string, bin string, language_prediction string, `a.b` string, lang string"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Repeated rows, nulls and columns that are called as the operators call theirs."""
+    rng = random.Random(21)
+    out = []
+    for i in range(60):
+        bad = i % 3 == 0
+        text = sentence(rng, 40) + (" vileword nastything" if bad else "") + (f" mail a{i}@x.org" if i % 2 else "")
+        out.append((i, text, int(bad), *["q"] * 9, None, *["q"] * 4, ["en", "de"][i % 2]))
+    out += [out[3]] * 3 + [(900, None, None, *[None] * 15), (901, "", 1, *["z"] * 9, None, *["z"] * 5)]
+    return spark.createDataFrame(out, CLASHING)
+
+
+def test_clashing_columns_and_repeated_rows(clashing):
+    n = clashing.count()
+    found = pii.personal_data(clashing)
+    assert found.count() == n and len({str(r.base) for r in found.where("key = 3").collect()}) == 1
+    model = toxicity.fit_word_scores(clashing)
+    passages = toxicity.toxic_passages(clashing, model)
+    assert passages.count() == n and passages.where("row.doc_id = 3").select("surprise").distinct().count() == 1
+    assert "passages" in passages.schema["row"].dataType.names
+    weights = toxicity.fit_probability(passages.withColumn("label", F.col("row.label")))
+    assert passages.select(toxicity.probability(weights).alias("p")).where("p between 0 and 1").count() == n
+    scored = quality.scored(clashing.withColumn("statistics", quality.text_statistics("text")), quality.fit_quality(clashing.withColumn("statistics", quality.text_statistics("text"))))
+    assert scored.count() == n and {"score", "score_", "a.b"} <= set(scored.columns) and scored.where("score between 0 and 1").count() == n
+    assert scored.where("doc_id = 3").select("score").distinct().count() == 1
+    predicted = language.predict_language(clashing, language.fit_language_model(clashing), F.col("text"))
+    assert predicted.count() == n and {"language_prediction", "language_prediction_"} <= set(predicted.columns)
+    assert predicted.where("language_prediction_ = 'q'").count() == 63 and predicted.where("doc_id = 3").select("language_prediction").distinct().count() == 1
+    kept = decontamination.drop_contaminated(clashing, clashing.where("doc_id = 3").select(F.col("doc_id").alias("item_id"), "text", F.lit(1).alias("key")))
+    assert kept.columns == clashing.columns and kept.count() == n - 4
+    assert decontamination.benchmark_matches(clashing, clashing.where("doc_id = 3").select(F.col("doc_id").alias("item_id"), "text").limit(1)).count() == 4
+
+
+def slow_bayes(train, texts, smoothing=0.5):
+    """Naive Bayes by dictionaries of the n-grams' features; collisions as in the operator."""
+    counts = {}
+    grams = lambda t: Counter(int(x) for held, _ in language._pieces([t]) for x in language._features(held)[0])
+    for text, lang in train:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    out = []
+    for text in texts:
+        sums = {}
+        for lang in sorted(counts):
+            total = sum(counts[lang].values()) + smoothing * language.FEATURES
+            sums[lang] = sum(n * np.log((counts[lang][f] + smoothing) / total) for f, n in grams(text).items())
+        best = max(sums, key=lambda x: (sums[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(np.exp(v - sums[best]) for v in sums.values())))
+    return out
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(7)
+    sets = {"aa": "the of and that with from".split(), "bb": "der und die mit nicht von".split(), "cc": "el la de y en que".split()}
+    data = [(i, " ".join(rng.choice(sets[k] + ["zz"]) for _ in range(rng.randrange(1, 9))), k) for i in range(60) for k in [rng.choice(list(sets))]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language.fit_language_model(df.where("doc_id < 30"))
+    got = {r.doc_id: r.language_prediction for r in language.predict_language(df, model, F.col("text")).collect()}
+    want = slow_bayes([(t, k) for i, t, k in data if i < 30], [t for _, t, _ in data])
+    for (i, *_), (lang, score) in zip(data, want, strict=True):
+        assert got[i].lang == lang and got[i].score == pytest.approx(score, rel=1e-4)

@@ -70,3 +70,12 @@ def test_pipeline_stages(spark, sf_dir):
 def test_stages_take_an_empty_table(spark, sf_dir, stage):
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     assert dict(corpus_pipeline.STAGES)[stage](spark, none, sf_dir).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = docs.select("*", *[F.lit(n).alias(n) for n in ("shard", "slot", "record", "statistics", "score", "label", "h", "a.b", "copies", "size")])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, sf_dir)
+        want = [{"shard": "shard_", "slot": "slot_"}.get(c, c) for c in more.columns] + ["shard", "slot"] if name == "sharding" else more.columns
+        assert out.columns == want and out.where("`a.b` = 'a.b'").count() == out.count() > 0
