@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column
@@ -63,14 +64,21 @@ def chi2_tail(x: float, df: float) -> float:
 
 
 def chi2_quantile(p: float, df: float) -> float:
-    """Value with distribution function ``p``, by bisection."""
-    low, high = 0.0, max(10.0, 4.0 * df)
-    while chi2_cdf(high, df) < p:
-        high *= 2
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if chi2_cdf(mid, df) < p else (low, mid)
-    return (low + high) / 2
+    """Value with distribution function ``p``: Newton's steps from the Wilson-Hilferty cube, in logarithms so that none leaves the axis."""
+    if not 0 < p < 1:
+        return 0.0 if p <= 0 else math.inf
+    z = NormalDist().inv_cdf(p)
+    cube = 1 - 2 / (9 * df) + z * math.sqrt(2 / (9 * df))
+    # low quantiles of few degrees lie where the series' first term rules
+    x = df * cube**3 if cube > 0.1 else 2 * math.exp((math.log(p) + math.lgamma(df / 2 + 1)) * 2 / df)
+    for _ in range(60):
+        density = math.exp((df / 2 - 1) * math.log(x / 2) - x / 2 - math.lgamma(df / 2)) / 2
+        gap = chi2_cdf(x, df) - p if p < 0.5 else (1 - p) - chi2_tail(x, df)
+        step = max(-1.0, min(1.0, gap / (density * x)))
+        x *= math.exp(-step)
+        if abs(step) < 1e-15:
+            break
+    return x
 
 
 def normal_cdf(z: float) -> float:

@@ -303,7 +303,8 @@ def hcpc(rows: DataFrame, axes: Sequence[str] | None = None, q: int | None = Non
     axes = list(axes or [c for c in rows.columns if c.startswith("F") and c[1:].isdigit()][:5])
     key = col("_row") if "_row" in rows.columns else F.monotonically_increasing_id()
     slim = rows.select(*[col(a) for a in axes], key.alias("_key")).persist(StorageLevel.MEMORY_AND_DISK)  # every round reads it again
-    head = slim.select(*[col(a) for a in axes]).limit(MOST_POINTS + 1).toPandas().to_numpy(float)
+    head = slim.select("_key", *[col(a) for a in axes]).limit(MOST_POINTS + 1).toPandas()
+    head = head.sort_values("_key", kind="stable")[axes].to_numpy(float)  # the order decides ties only
     exact = len(head) <= MOST_POINTS
     points, weights = (head, None) if exact else _prototypes(slim, axes, seed)
     tree = ward(points, weights)

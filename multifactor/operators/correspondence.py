@@ -99,12 +99,16 @@ def correspondence_of(df: DataFrame, a: str, b: str, order: str = "_row", most:
     sizes = table.agg(F.countDistinct("a"), F.countDistinct("b")).first()
     if max(sizes) > most or min(sizes) > 2000:
         raise ValueError(f"too many levels for a correspondence table: {sizes[0]} x {sizes[1]}")
+    first: tuple[dict[str, int], dict[str, int]] = ({}, {})
     found = table.collect()
-    rows = sorted({x.a for x in found}, key=lambda v: min(x["first"] for x in found if x.a == v))
-    cols = sorted({x.b for x in found}, key=lambda v: min(x["first"] for x in found if x.b == v))
+    for x in found:
+        for names, level in zip(first, (x.a, x.b), strict=True):
+            names[level] = min(x["first"], names.get(level, x["first"]))
+    rows, cols = (sorted(names, key=lambda v, names=names: (names[v], v)) for names in first)
+    at = [{v: i for i, v in enumerate(levels)} for levels in (rows, cols)]
     counts = np.zeros((len(rows), len(cols)))
     for x in found:
-        counts[rows.index(x.a), cols.index(x.b)] = x.n
+        counts[at[0][x.a], at[1][x.b]] = x.n
     return correspondence(counts, rows, cols)
 
 

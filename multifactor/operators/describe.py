@@ -17,6 +17,10 @@ from multifactor.operators.inference import anova, kruskal
 from multifactor.operators.rotation import Rotation
 
 
+#: Clusters that categories are held against: each level gets a row for each.
+MOST_CLUSTERS = 1000
+
+
 def describe_numeric(rows: DataFrame, variables: Sequence[str], axes: Sequence[str], most_p: float = 1.0) -> DataFrame:
     """(axis, variable, r, r2, p) by axis and falling |r|; one aggregation for all pairs."""
     pairs = [(a, v) for a in axes for v in variables]
@@ -47,12 +51,15 @@ def test_values(rows: DataFrame, variable: str, measures: Sequence[str]) -> Data
 
 
 def category_test_values(rows: DataFrame, variable: str, cluster: str) -> DataFrame:
-    """(level, cluster, n_in, n_cluster, n_level, share_in, share_all, v, p) of every level and cluster."""
-    used = rows.where(col(variable).isNotNull()).select(col(variable).cast("string").alias("level"), col(cluster).alias("cluster"))
+    """(level, cluster, n_in, n_cluster, n_level, share_in, share_all, v, p) of every level and cluster; clusters are few, MOST_CLUSTERS at most."""
+    used = rows.where(col(variable).isNotNull() & col(cluster).isNotNull()).select(col(variable).cast("string").alias("level"), col(cluster).alias("cluster"))
     counts = used.groupBy("level", "cluster").agg(F.count("*").alias("n_in"))
     level, group = used.groupBy("level").agg(F.count("*").alias("n_level")), used.groupBy("cluster").agg(F.count("*").alias("n_cluster"))
-    n = used.count()
-    grid = level.join(F.broadcast(group), F.lit(True)).join(counts, ["level", "cluster"], "left").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
+    n, sizes = used.count(), group.limit(MOST_CLUSTERS + 1).collect()
+    if len(sizes) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    each = F.array(*[F.struct(F.lit(g.cluster).alias("cluster"), F.lit(g.n_cluster).alias("n_cluster")) for g in sizes]) if sizes else F.array().cast(f"array<struct<cluster:{group.schema['cluster'].dataType.simpleString()},n_cluster:bigint>>")
+    grid = level.select("*", F.explode(each).alias("g")).select("level", "n_level", "g.*").join(counts, ["level", "cluster"], "left").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
     share = F.col("n_level") / n
     s2 = F.col("n_cluster") * share * (1 - share) * (n - F.col("n_cluster")) / max(1, n - 1)
     v = F.when(s2 > 0, (F.col("n_in") - F.col("n_cluster") * share) / F.sqrt(F.greatest(s2, F.lit(1e-300)))).otherwise(0.0)

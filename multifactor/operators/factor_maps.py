@@ -129,11 +129,11 @@ def ellipse_points(found: DataFrame, points: int = 73) -> DataFrame:
     return out.select("group", "point", (F.col("cx") + u * F.cos("angle") - v * F.sin("angle")).alias("x"), (F.col("cy") + u * F.sin("angle") + v * F.cos("angle")).alias("y"))
 
 
-
-def hulls(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
+def hulls(rows: DataFrame, x: str, y: str, group: str, parts: int = 64) -> DataFrame:
     """(group, place, x, y): the convex hull of each group, counter-clockwise.
 
-    Each task first keeps only the corners of its own rows' hulls, so what meets by group is small however large it is.
+    Each task keeps only the corners of all its rows' hulls; these meet in ``parts`` lots first and then by group, so no
+    task sees more than the corners of the tasks before it.
     """
 
     def corners(part: pd.DataFrame) -> pd.DataFrame:
@@ -151,12 +151,17 @@ def hulls(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
         return pd.DataFrame({"group": part["group"].iloc[0], "place": np.arange(len(ring), dtype="int32"), "x": ring[:, 0], "y": ring[:, 1]})
 
     def by_task(batches):
+        held: dict[str, pd.DataFrame] = {}
         for batch in batches:
-            for _, part in batch.groupby("group"):
-                yield corners(part)[["group", "x", "y"]]
+            for name, part in batch.groupby("group"):
+                held[name] = corners(pd.concat([held[name], part]) if name in held else part)[["group", "x", "y"]]
+        yield from held.values()
 
     slim = rows.where(col(group).isNotNull()).select(col(group).cast("string").alias("group"), col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
-    return slim.mapInPandas(by_task, "group string, x double, y double").groupBy("group").applyInPandas(corners, "group string, place int, x double, y double")
+    slim = slim.where("x is not null and y is not null")
+    kept = slim.mapInPandas(by_task, "group string, x double, y double").withColumn("lot", F.spark_partition_id() % parts)
+    met = kept.groupBy("group", "lot").applyInPandas(lambda part: corners(part)[["group", "x", "y"]], "group string, x double, y double")
+    return met.groupBy("group").applyInPandas(corners, "group string, place int, x double, y double")
 
 
 def quality(spark: SparkSession, found: FactorMap, a: int = 1, b: int = 2) -> DataFrame:

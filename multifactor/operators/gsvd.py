@@ -13,6 +13,9 @@ from multifactor.functions.columns import col
 from multifactor.functions.linalg import singular_from_gram
 from multifactor.operators.moments import gram, projection
 
+#: Levels of all variables together: the Gram matrix has so many rows.
+MOST_LEVELS = 2000
+
 
 @dataclass(frozen=True)
 class Gsvd:
@@ -122,11 +125,17 @@ def core(df: DataFrame, names: Sequence[str], coded: Sequence[Column], metric: n
 
 
 def indicators(df: DataFrame, names: Sequence[str], order: str = "_row") -> list[tuple[str, str, float, Column]]:
-    """(variable, level, share, 0/1 column) of every level, variables in order, levels by first appearance."""
+    """(variable, level, share, 0/1 column) of every level, variables in order, levels by first appearance.
+
+    Each level is a column of the Gram matrix, so more than MOST_LEVELS together are an error.
+    """
     parts = None
     for i, n in enumerate(names):
         one = df.groupBy(col(n).cast("string").alias("level")).agg(F.count("*").alias("n"), F.min(col(order)).alias("first")).withColumn("v", F.lit(i))
         parts = one if parts is None else parts.unionByName(one)
-    found = sorted((r.v, r["first"], r.level, r.n) for r in parts.where("level is not null").collect())
+    held = parts.where("level is not null").limit(MOST_LEVELS + 1).collect()
+    if len(held) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels: leave out identifiers and free text")
+    found = sorted((r.v, r["first"], r.level, r.n) for r in held)
     totals = {i: sum(x[3] for x in found if x[0] == i) for i in range(len(names))}
     return [(names[v], level, n / totals[v], F.when(col(names[v]).cast("string") == level, 1.0).otherwise(0.0)) for v, _, level, n in found]

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from multifactor.functions import columns as C
 from multifactor.functions import distributions as D
 from multifactor.functions.columns import col
-from multifactor.operators.quantiles import cumulative_counts
+from multifactor.operators.quantiles import cumulative_counts, group_quantiles, ranked_counts
 
 
 def pairwise_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -66,16 +66,18 @@ def anova_figures(ssb: float, ssw: float, groups: int, n: int) -> dict[str, floa
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> dict[str, float] | None:
-    """Kruskal-Wallis with average ranks and tie correction; None with fewer than two groups or three values."""
-    rows = df.where(col(value).isNotNull() & col(group).isNotNull()).select(col(value).cast("double").alias("v"), col(group).alias("g"))
-    ranked = average_ranks(rows, ["v"], "_rank")
-    sums = ranked.groupBy("g").agg(F.count("*").alias("n"), F.sum("v_rank").alias("s"))
-    r = sums.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q")).first()
+    """Kruskal-Wallis with average ranks and tie correction; None with fewer than two groups or three values.
+
+    Rows are counted by value and group first; distinct values are ranked, and no row is joined to its rank.
+    """
+    rows = df.where(col(value).isNotNull() & col(group).isNotNull()).groupBy(col(value).cast("double").alias("_v"), col(group).alias("g")).agg(F.count("*").alias("_n"))
+    n, same = F.col("_n").cast("double"), F.col("_same").cast("double")
+    sums = ranked_counts(rows).groupBy("g").agg(F.sum("_n").alias("n"), F.sum(n * F.col("_rank")).alias("s"), F.sum(n * (same * same - 1)).alias("t"))
+    r = sums.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("t").alias("t")).first()
     if not r.g or r.g < 2 or r.n < 3:
         return None
-    ties = rows.groupBy("v").agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t"))).first()[0]
     h = 12 / (r.n * (r.n + 1)) * r.q - 3 * (r.n + 1)
-    correction = 1 - ties / (r.n**3 - r.n)
+    correction = 1 - r.t / (r.n**3 - r.n)
     h = h / correction if correction > 0 else 0.0
     return {"H": h, "df": r.g - 1, "p": D.chi2_tail(h, r.g - 1)}
 
@@ -85,23 +87,49 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(col(a).isNotNull() & col(b).isNotNull()).groupBy(col(a).cast("string").alias("a"), col(b).cast("string").alias("b")).agg(F.count("*").alias("n"))
 
 
-def cells(table: DataFrame) -> DataFrame:
-    """Every cell (empty ones too) of a long table: observed, expected, Pearson residual and share of chi-square in %."""
+def _with_margins(table: DataFrame) -> DataFrame:
+    """The filled cells of a long table with the counts of their row and column."""
     rows, cols = table.groupBy("a").agg(F.sum("n").alias("row_n")), table.groupBy("b").agg(F.sum("n").alias("col_n"))
-    whole = table.groupBy().agg(F.sum("n").alias("all_n"))
-    grid = rows.join(F.broadcast(cols), F.lit(True)).join(F.broadcast(whole), F.lit(True))
-    full = grid.join(table, ["a", "b"], "left").withColumn("observed", F.coalesce("n", F.lit(0)).cast("double"))
-    full = full.withColumn("expected", F.col("row_n") * F.col("col_n") / F.col("all_n")).withColumn("residual", (F.col("observed") - F.col("expected")) / F.sqrt("expected"))
-    chi2 = F.sum(F.col("residual") * F.col("residual")).over(W.partitionBy())
-    return full.select("a", "b", "observed", "expected", "residual", F.coalesce(100 * F.try_divide(F.col("residual") * F.col("residual"), chi2), F.lit(0.0)).alias("contribution"))
+    return table.join(rows, "a").join(cols, "b")
+
+
+def cells(table: DataFrame, empty: bool = False) -> DataFrame:
+    """Cells of a long table: observed, expected, Pearson residual and share of chi-square in %.
+
+    Filled cells are joined to their margins by key. ``empty`` adds the cells without rows: as many as rows times
+    columns, which only a reader of the whole grid wants.
+    """
+    figures = chi2_of(table)
+    full = _with_margins(table)
+    if empty:
+        rows, cols = table.groupBy("a").agg(F.sum("n").alias("row_n")), table.groupBy("b").agg(F.sum("n").alias("col_n"))
+        full = rows.crossJoin(cols).join(table, ["a", "b"], "left")
+    observed = F.coalesce("n", F.lit(0)).cast("double")
+    full = full.select("a", "b", observed.alias("observed"), (F.col("row_n") * F.col("col_n") / F.lit(figures["n"] or 1.0)).alias("expected"))
+    full = full.withColumn("residual", (F.col("observed") - F.col("expected")) / F.sqrt("expected"))
+    share = 100 * F.col("residual") * F.col("residual") / F.lit(figures["chi2"]) if figures["chi2"] > 0 else F.lit(0.0)
+    return full.select("a", "b", "observed", "expected", "residual", share.alias("contribution"))
 
 
 def chi2_of(table: DataFrame) -> dict[str, float]:
-    """chi2, df, p, inertia, least expected count, and cells expected under 5 (count, share) of a long table."""
-    r = cells(table).agg(F.sum(F.col("residual") * F.col("residual")), F.countDistinct("a"), F.countDistinct("b"), F.sum("observed"), F.min("expected"), F.count_if(F.col("expected") < 5), F.count("*")).first()
-    chi2, rows, cols, n = r[0] or 0.0, r[1], r[2], r[3] or 0.0
-    df = max(0, (rows - 1) * (cols - 1))
-    return {"chi2": chi2, "df": df, "p": D.chi2_tail(chi2, df) if df else 1.0, "inertia": chi2 / n if n else 0.0, "n": n, "least_expected": r[4] or 0.0, "low_cells": r[5], "low_share": r[5] / r[6] if r[6] else 0.0, "rows": rows, "cols": cols}
+    """chi2, df, p, inertia, least expected count, and cells expected under 5 (count, share) of a long table.
+
+    Only filled cells are looked at: chi2 = n (sum of n_ij^2 / (r_i c_j) - 1), and the cells expected under 5 are counted
+    from the margins' distinct sizes, of which n rows have at most about sqrt(2 n).
+    """
+    rows, cols = table.groupBy("a").agg(F.sum("n").alias("row_n")), table.groupBy("b").agg(F.sum("n").alias("col_n"))
+    of_rows, of_cols = rows.agg(F.count("*"), F.min("row_n"), F.sum("row_n")).first(), cols.agg(F.count("*"), F.min("col_n")).first()
+    n = float(of_rows[2] or 0)
+    count = F.col("n").cast("double")
+    parts = _with_margins(table).agg(F.sum(count * count / (F.col("row_n").cast("double") * F.col("col_n")))).first()[0] or 0.0
+    chi2, k, m = max(0.0, n * (parts - 1)) if n else 0.0, of_rows[0], of_cols[0]
+    # a cell is expected under 5 if its column's count is under 5 n / (its row's count)
+    bars = rows.groupBy("row_n").agg(F.count("*").alias("m")).select((F.lit(5 * n) / F.col("row_n")).alias("at"), "m", F.lit(1).alias("bar"))
+    sizes = cols.groupBy("col_n").agg(F.count("*").alias("m")).select(F.col("col_n").cast("double").alias("at"), "m", F.lit(0).alias("bar"))
+    below = F.sum(F.when(F.col("bar") == 0, F.col("m")).otherwise(0)).over(W.orderBy("at", F.desc("bar")))  # distinct sizes only
+    low = bars.unionByName(sizes).withColumn("below", below).where("bar = 1").agg(F.sum(F.col("below") * F.col("m"))).first()[0] or 0
+    df = max(0, (k - 1) * (m - 1))
+    return {"chi2": chi2, "df": df, "p": D.chi2_tail(chi2, df) if df else 1.0, "inertia": chi2 / n if n else 0.0, "n": n, "least_expected": of_rows[1] * of_cols[1] / n if n else 0.0, "low_cells": low, "low_share": low / (k * m) if k * m else 0.0, "rows": k, "cols": m}
 
 
 def cramer(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -138,11 +166,12 @@ def matrix_of(pairs: DataFrame, names: Sequence[str], value: str = "r", diagonal
 
 
 def box_summary(df: DataFrame, name: str, group: str | None = None) -> DataFrame:
-    """Quartiles, whiskers at 1.5 IQR and the count outside, by group."""
+    """Quartiles, whiskers at 1.5 IQR and the count outside, by group; quartiles from cumulated counts, however large a group is."""
     x = col(name).cast("double")
     keys = [col(group).alias("group")] if group else [F.lit("all").alias("group")]
     rows = df.where(x.isNotNull()).select(*keys, x.alias("x"))
-    q = rows.groupBy("group").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select("group", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = group_quantiles(rows, F.col("x"), F.col("group"), (0.25, 0.5, 0.75)).select(F.col("_g").alias("g"), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("fence_low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("fence_high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     inside: Column = (F.col("x") >= F.col("fence_low")) & (F.col("x") <= F.col("fence_high"))
-    return rows.join(F.broadcast(q), "group").groupBy("group", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"), F.max(F.when(inside, F.col("x"))).alias("whisker_high"), F.count_if(~inside).alias("outside"))
+    met = rows.join(q, rows["group"].eqNullSafe(q["g"]))
+    return met.groupBy("group", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"), F.max(F.when(inside, F.col("x"))).alias("whisker_high"), F.count_if(~inside).alias("outside"))

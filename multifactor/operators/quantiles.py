@@ -12,22 +12,57 @@ from pyspark.sql import Window as W
 IN_ONE_AGGREGATION = 5_000_000
 
 
-def cumulative_counts(df: DataFrame, x: Column) -> DataFrame:
-    """(_v, _n, _past): each distinct non-null value, its rows, and the rows with smaller values.
+def _in_cells(counts: DataFrame) -> DataFrame:
+    """``counts`` (with ``_v``) and the cell that each value falls into, between approximate quantiles of the values."""
+    parts = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = counts.agg(F.percentile_approx("_v", F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), 1000).alias("c")).first().c if parts > 1 else None
+    cut = F.array(*[F.lit(float(c)) for c in cuts or []]).cast("array<double>")
+    return counts.withColumn("_cell", F.size(F.filter(cut, lambda c: c < F.col("_v"))))
+
+
+def cumulative_counts(df: DataFrame, x: Column, group: Column | None = None) -> DataFrame:
+    """(_v, _n, _past): each distinct non-null value, its rows, and the rows with smaller values; by ``group``: with ``_g``.
 
     Distinct values fall into cells between approximate quantiles; sums over the few cells and inside each cell give
-    the rest, so no window holds all values.
+    the rest, so no window holds all values, nor all of a group.
     """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = df.where(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count("*").alias("_n"))
-    cuts = counts.agg(F.percentile_approx("_v", F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), 1000).alias("c")).first().c if parts > 1 else None
-    cut = F.array(*[F.lit(float(c)) for c in cuts or []]).cast("array<double>")
-    dealt = counts.withColumn("_cell", F.size(F.filter(cut, lambda c: c < F.col("_v"))))
+    keys = [] if group is None else ["_g"]
+    counts = df.where(x.isNotNull()).groupBy(*([] if group is None else [group.alias("_g")]), x.alias("_v")).agg(F.count("*").alias("_n"))
+    dealt = _in_cells(counts)
+    before = dealt.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_m"))
+    over_cells = (W.partitionBy(*keys) if keys else W).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    before = before.select(*keys, "_cell", F.coalesce(F.sum("_m").over(over_cells), F.lit(0)).alias("_before"))
+    inner = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    before = before if keys else F.broadcast(before)  # a row for each cell
+    summed = dealt.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(before, [*keys, "_cell"])
+    return summed.select(*keys, "_v", "_n", (F.col("_before") + F.col("_in")).alias("_past"))
+
+
+def ranked_counts(counts: DataFrame) -> DataFrame:
+    """``counts`` (_v, _n and other columns) with ``_same``, the rows of equal value, and ``_rank``, their average rank.
+
+    Rows are counted in ``_n``: a table of distinct values and groups is ranked without going back to its rows.
+    """
+    dealt = _in_cells(counts)
     before = dealt.groupBy("_cell").agg(F.sum("_n").alias("_m"))
     before = before.select("_cell", F.coalesce(F.sum("_m").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = W.partitionBy("_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    summed = dealt.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(F.broadcast(before), "_cell")
-    return summed.select("_v", "_n", (F.col("_before") + F.col("_in")).alias("_past"))
+    upto = W.partitionBy("_cell").orderBy("_v").rangeBetween(W.unboundedPreceding, W.currentRow)
+    summed = dealt.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_same", F.sum("_n").over(W.partitionBy("_cell", "_v"))).join(F.broadcast(before), "_cell")
+    return summed.select(*counts.columns, "_same", (F.col("_before") + F.col("_upto") - (F.col("_same") - 1) / 2).alias("_rank"))
+
+
+def group_quantiles(df: DataFrame, x: Column, group: Column, probabilities: Sequence[float]) -> DataFrame:
+    """(_g, q0, q1, ...): exact quantiles (type 7) of each group's non-null numbers, from cumulated counts."""
+    held = cumulative_counts(df, x.cast("double"), F.struct(group.alias("g")))  # a struct, so that a null group meets itself
+    held = held.join(held.groupBy("_g").agg(F.sum("_n").alias("_all")), "_g")
+    out = []
+    for i, p in enumerate(probabilities):
+        place = F.lit(float(p)) * (F.col("_all") - 1)
+        low, part = F.floor(place), place - F.floor(place)
+        at = lambda k: F.max(F.when((F.col("_past") <= k) & (k < F.col("_past") + F.col("_n")), F.col("_v")))
+        low_v, high_v = at(low), at(F.least(low + 1, F.col("_all") - 1))
+        out.append((low_v + F.max(part) * (high_v - low_v)).alias(f"q{i}"))
+    return held.groupBy("_g").agg(*out).withColumn("_g", F.col("_g.g"))
 
 
 def _selected(df: DataFrame, x: Column, probabilities: Sequence[float], n: int) -> list[float | None]:

@@ -33,18 +33,24 @@ def broken_stick(p: int, total: float) -> np.ndarray:
 
 
 def parallel_normal(spark, n: int, p: int, replicates: int = 100, seed: int = 42) -> DataFrame:
-    """(replicate, axis, value): eigenvalues of correlations of n x p normal draws, a replicate in each task row."""
+    """(replicate, axis, value): eigenvalues of correlations of n x p normal draws.
+
+    The centred cross-products of n normal rows follow Wishart's distribution with n - 1 degrees of freedom, which
+    Bartlett's decomposition draws as a p x p triangle: work does not grow with n. With fewer than p degrees the rows
+    themselves are drawn.
+    """
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for b in batch["id"]:
                 rng = np.random.default_rng([seed, int(b)])
-                sums, products, left = np.zeros(p), np.zeros((p, p)), n
-                while left > 0:  # blocks, so that n may be large
-                    x = rng.standard_normal((min(left, 65_536), p))
-                    sums, products, left = sums + x.sum(0), products + x.T @ x, left - len(x)
-                values = eigen_symmetric(to_correlation(products - np.outer(sums, sums) / n))[0]
-                yield pd.DataFrame({"replicate": int(b), "axis": np.arange(1, p + 1), "value": values})
+                if n > p:
+                    triangle = np.tril(rng.standard_normal((p, p)), -1) + np.diag(np.sqrt(rng.chisquare(n - 1 - np.arange(p))))
+                    products = triangle @ triangle.T
+                else:
+                    x = rng.standard_normal((n, p))
+                    products = (x - x.mean(0)).T @ (x - x.mean(0))
+                yield pd.DataFrame({"replicate": int(b), "axis": np.arange(1, p + 1), "value": eigen_symmetric(to_correlation(products))[0]})
 
     return spark.range(replicates).repartition(min(replicates, spark.sparkContext.defaultParallelism)).mapInPandas(draw, "replicate long, axis int, value double")
 

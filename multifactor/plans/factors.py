@@ -49,14 +49,25 @@ def scree_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retention.eigenvalue_table(spark, found, 1).select("axis", "stick", "drop"))
 
 
-@query(f"""{_AXES3}, c as (select k, v, sum(v) over (order by k) / 3 s, 2 * lag(v) over (order by k) x from e)
+@query(f"""{_AXES3}, c as (select k, v, sum(v) over (order by k) / 3 s, lag(v) over (order by k) - 2 * v + lead(v) over (order by k) bend, (select sum(1.0 / i) from generate_series(e.k, 3) g(i)) stick from e)
   select 'Kaiser-Guttman' as name, cast(greatest(1, (select count(*) from e where v > 1)) as integer) as k union all select 'Jolliffe', cast(greatest(1, (select count(*) from e where v > 0.7)) as integer)
-  union all select '70 % of variance', cast((select min(k) from c where s >= 0.7) as integer) union all select '80 % of variance', cast((select min(k) from c where s >= 0.8) as integer) union all select 'scree elbow', 2""")
+  union all select '70 % of variance', cast((select min(k) from c where s >= 0.7) as integer) union all select '80 % of variance', cast((select min(k) from c where s >= 0.8) as integer)
+  union all select 'scree elbow', cast((select k from c where bend is not null order by bend desc, k limit 1) as integer)
+  union all select 'broken stick', cast(greatest(1, coalesce((select min(k) - 1 from c where v <= stick), 3)) as integer)""")
 def criteria_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Axes that the rules without random numbers keep."""
+    """Axes that the rules with a closed form keep."""
     found = correlation_pca(measures(spark, sf_dir), _THREE)
     rules = retention.criteria(found, [np.inf] * 3)
-    return as_rows(spark, "name string, k int", [(r.name, r.k) for r in rules if r.name in ("Kaiser-Guttman", "Jolliffe", "70 % of variance", "80 % of variance", "scree elbow")])
+    return as_rows(spark, "name string, k int", [(r.name, r.k) for r in rules if r.name not in ("parallel analysis", "minimum average partial")])
+
+
+@query()
+def all_criteria_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axes of four measures that all eight rules keep, parallel analysis with bars from random tables, and the consensus."""
+    found = correlation_pca(measures(spark, sf_dir), [*_THREE, "l_tax"])
+    bars = retention.parallel_summary(retention.parallel_normal(spark, found.n, found.p)).orderBy("axis").toPandas()
+    rules = retention.criteria(found, bars["p95"].tolist())
+    return as_rows(spark, "name string, k int, weight int", [*[(r.name, r.k, r.weight) for r in rules], ("consensus", retention.consensus(rules), sum(r.weight for r in rules))])
 
 
 _CUST = "o as (select o_custkey as _row, sum(o_totalprice) total, cast(count(*) as double) n from orders group by 1), f as (select corr(total, n) r, avg(total) mt, avg(n) mn, stddev_samp(total) st, stddev_samp(n) sn, count(*) c from o)"
@@ -82,6 +93,37 @@ def pca_variables_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(correlation_pca(z, ["total", "n"]).loading_table(spark).select("variable", "axis", "cos2", "contribution"))
 
 
+# eigenvectors are cross products of two rows of R - value I; two axes turn by the angle at which the criterion is greatest
+_TURNED = f"""{_AXES3}, w as (select k, v, a * c - b * (1 - v) x1, a * b - c * (1 - v) x2, power(1 - v, 2) - a * a x3 from e, r where k <= 2),
+  l as (select j, max(case when k = 1 then f end) x, max(case when k = 2 then f end) y from (select k, j, case j when 1 then x1 when 2 then x2 else x3 end * sqrt(v / (x1 * x1 + x2 * x2 + x3 * x3)) f from w, (values (1), (2), (3)) i(j)) group by 1),
+  unit as (select j, sqrt(x * x + y * y) len, x / sqrt(x * x + y * y) x, y / sqrt(x * x + y * y) y from l), uv as (select x * x - y * y u, 2 * x * y t from unit),
+  g as (select method, gamma, sum(u) su, sum(t) st, sum(u * u - t * t) c, 2 * sum(u * t) d from uv, (values ('varimax', 1.0), ('quartimax', 0.0), ('equamax', 1.0), ('parsimax', 1.0)) m(method, gamma) group by 1, 2),
+  f as (select method, atan2(d - 2 * gamma * su * st / 3, c - gamma * (su * su - st * st) / 3) / 4 q from g),
+  z as (select method, j, len * (x * cos(q) + y * sin(q)) p, len * (y * cos(q) - x * sin(q)) o from unit, f)"""
+
+
+@query(f"""{_TURNED} select method, case j when 1 then 'quantity' when 2 then 'price' else 'discounted' end as variable, round(greatest(p * p, o * o), 4) as high, round(least(p * p, o * o), 4) as low from z""")
+def orthogonal_rotations_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared loadings of three measures on two axes after each orthogonal rotation (parsimax's weight is 1 here, too)."""
+    found, out = correlation_pca(measures(spark, sf_dir), _THREE), []
+    for method in ("varimax", "quartimax", "equamax", "parsimax"):
+        squared = np.sort(rotation.rotate(found.loadings[:, :2], method).pattern ** 2, axis=1)
+        out += [(method, v, float(s[1]), float(s[0])) for v, s in zip(_THREE, squared, strict=True)]
+    return rounded(as_rows(spark, "method string, variable string, high double, low double", out), 4)
+
+
+@query()
+def rotations_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance of the embeddings' first four axes before and after every rotation method."""
+    rows, names = _embeddings(spark, sf_dir)
+    found, out = correlation_pca(rows, names), None
+    for method in rotation.METHODS:
+        turned = rotation.rotate(found.loadings[:, :4], method)
+        one = rotation.variance_table(spark, found.values[:4], turned, found.total).withColumn("method", F.lit(method))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 4)
+
+
 @query("""with f as (select var_samp(p_size) x, var_samp(p_retailprice) y, covar_samp(p_size, p_retailprice) z from part), g as (select (x + y) / 2 m, sqrt(power((x - y) / 2, 2) + z * z) d from f)
   select 1::integer as axis, round(m + d, 4) as eigenvalue, round((m + d) / (2 * m), 6) as share from g union all select 2, round(m - d, 4), round((m - d) / (2 * m), 6) from g""")
 def pca_covariance_part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +155,7 @@ _FLAGS = "b as (select case when l_quantity > 25 then 'many' else 'few' end q, c
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures(spark, sf_dir).select("_row", F.when(F.col("quantity") > 25, "many").otherwise("few").alias("q"), F.when(F.col("price") > 30000, "dear").otherwise("cheap").alias("e"), "quantity", "price")
+    return measures(spark, sf_dir).select("_row", F.when(F.col("quantity") > 25, "many").otherwise("few").alias("q"), F.when(F.col("price") > 30000, "dear").otherwise("cheap").alias("e"), "quantity", "price", "l_discount", "l_tax", "l_returnflag")
 
 
 @query(f"with {_FLAGS} select cast(k as integer) as axis, round((1 + case k when 1 then abs(phi) else -abs(phi) end) / 2, 7) as eigenvalue, round((1 + case k when 1 then abs(phi) else -abs(phi) end) / 2, 7) as share from m, (values (1), (2)) x(k)")
@@ -123,6 +165,14 @@ def mca_axes_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axes.select("axis", F.round("eigenvalue", 7).alias("eigenvalue"), F.round("share", 7).alias("share"))
 
 
+@query(f"with {_FLAGS} select 0.5::double as threshold, round(phi * phi, 6) as benzecri, 1.0::double as benzecri_share, round(phi * phi, 6) as greenacre_inertia, 1.0::double as greenacre_share from m")
+def mca_adjusted_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benzecri's and Greenacre's adjustment of that analysis: of two flags one axis is over the threshold."""
+    a = correspondence.mca(_flags(spark, sf_dir), ["q", "e"]).adjusted
+    row = (a["threshold"], a["benzecri"][0], a["benzecri_share"][0], a["greenacre_inertia"], a["greenacre_share"][0])
+    return rounded(as_rows(spark, "threshold double, benzecri double, benzecri_share double, greenacre_inertia double, greenacre_share double", [tuple(float(x) for x in row)]), 6)
+
+
 @query("""with g as (select avg(case when l_quantity > 25 then 1.0 else 0 end) p, corr(l_extendedprice, case when l_quantity > 25 then 1.0 else 0 end) r from lineitem)
   select cast(k as integer) as axis, round(1 + case k when 1 then abs(r) else -abs(r) end, 6) as eigenvalue, round((1 + case k when 1 then abs(r) else -abs(r) end) / 2, 6) as squared from g, (values (1), (2)) x(k)""")
 def famd_axes_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,9 +285,10 @@ def oblique_axes_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def parallel_analysis_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and 95 % bar of random eigenvalues for a table of lineitem's size."""
-    n = table(spark, sf_dir, "lineitem").count()
-    return rounded(retention.parallel_summary(retention.parallel_normal(spark, n, len(MEASURES))), 5)
+    """lineitem's eigenvalues beside the mean and the 95 % bar of random ones for a table of its size."""
+    found = correlation_pca(measures(spark, sf_dir), MEASURES)
+    bars = retention.parallel_summary(retention.parallel_normal(spark, found.n, len(MEASURES)))
+    return rounded(found.axes(spark).select("axis", "eigenvalue").join(bars, "axis").withColumn("kept", F.col("eigenvalue") > F.col("p95")), 5)
 
 
 @query()
@@ -286,7 +337,7 @@ def category_test_values_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hcpc_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every customer on the axes of their orders."""
     z = _customers(spark, sf_dir)
-    found = cluster.hcpc(correlation_pca(z, ["total", "n"]).scores(z).orderBy("_row"), ["F1", "F2"])
+    found = cluster.hcpc(correlation_pca(z, ["total", "n"]).scores(z), ["F1", "F2"])
     return rounded(found.rows, 5)
 
 
@@ -301,7 +352,7 @@ def hcpc_lineitem_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_paragons_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typical and peculiar customers of each cluster."""
     z = _customers(spark, sf_dir)
-    found = cluster.hcpc(correlation_pca(z, ["total", "n"]).scores(z).orderBy("_row"), ["F1", "F2"])
+    found = cluster.hcpc(correlation_pca(z, ["total", "n"]).scores(z), ["F1", "F2"])
     return rounded(cluster.paragons(found.rows, ["F1", "F2"], found.centres), 5)
 
 
@@ -314,18 +365,50 @@ def rare_levels_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(recommend.rare_levels(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_custkey"]).select("level", "variable", "n", "share"))
 
 
-@query("select * from (values ('ca', 'possible'), ('famd', 'possible'), ('hcpc', 'possible'), ('mca', 'possible'), ('mfa', 'possible'), ('pca', 'recommended')) t(method, verdict)")
-def recommended_methods_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which methods suit lineitem's numbers and flags."""
-    rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus").withColumn("l_discount", F.col("l_discount") + 0.001)
-    rows = rows.withColumn("l_tax", F.col("l_tax") + 0.001).withColumn("l_quantity", F.col("l_quantity") + 0.5)
-    return as_rows(spark, "method string, verdict string", sorted(recommend.recommend(rows, profile.profile(rows)).verdicts.items()))
+_ROLES = """select '{c}' as name, case when typeof({c}) = 'VARCHAR' then case when count(distinct {c}) = count({c}) and count({c}) > 3 then 'id' when count(distinct {c}) > 30 then 'excluded' else 'supp-cat' end
+  when coalesce(stddev_samp(try_cast({c} as double)), 0) = 0 then 'excluded'
+  when bool_and(try_cast({c} as double) = floor(try_cast({c} as double))) and count(distinct {c}) <= least(8, greatest(2, floor(count(*) * 0.05 + 0.5))) then 'supp-cat' else 'active' end as role from {t} group by typeof({c})"""
+
+
+def _verdicts_sql(t: str, columns: list[str]) -> str:
+    """Verdicts of a table whose columns' names speak for no blocks."""
+    roles = " union all ".join(_ROLES.format(c=c, t=t) for c in columns)
+    return f"""with r as ({roles}), k as (select count(*) filter (role = 'active') as n, count(*) filter (role = 'supp-cat') as c from r)
+  select 'pca' as method, case when n >= 2 and (c = 0 or (c <= 2 and n >= 3)) then 'recommended' when n >= 2 then 'possible' else 'not applicable' end as verdict from k
+  union all select 'ca', case when c = 2 and n = 0 then 'recommended' when c >= 2 then 'possible' else 'not applicable' end from k
+  union all select 'mca', case when c >= 3 and n = 0 then 'recommended' when c >= 2 then 'possible' else 'not applicable' end from k
+  union all select 'famd', case when n >= 1 and c >= 1 and not (c <= 2 and n >= 3) then 'recommended' when n >= 1 and c >= 1 then 'possible' else 'not applicable' end from k
+  union all select 'mfa', case when n + c >= 4 then 'possible' else 'not applicable' end from k union all select 'hcpc', 'possible' from k"""
+
+
+_SUITED = {"lineitem": ["l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"], "part": ["p_size", "p_retailprice", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"]}
+
+
+@query(" union all ".join(f"select '{t}' as \"table\", * from ({_verdicts_sql(t, c)})" for t, c in _SUITED.items()))
+def recommended_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which methods suit the numbers and flags of three tables."""
+    out = []
+    for name, columns in _SUITED.items():
+        rows = table(spark, sf_dir, name).select(*columns)
+        out += [(name, *v) for v in sorted(recommend.recommend(rows, profile.profile(rows)).verdicts.items())]
+    return as_rows(spark, "table string, method string, verdict string", out)
+
+
+@query()
+def method_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the recommender warns of in those tables, and the method to start with."""
+    out = []
+    for name, columns in _SUITED.items():
+        rows = table(spark, sf_dir, name).select(*columns)
+        found = recommend.recommend(rows, profile.profile(rows))
+        out += [(name, found.pick, *w) for w in found.warnings]
+    return as_rows(spark, "table string, pick string, level string, title string, figures string", out)
 
 
 @query()
 def method_runs_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five methods on lineitem: axes, inertia and the axes that their rules keep."""
-    rows, out = _flags(spark, sf_dir).join(measures(spark, sf_dir).select("_row", "l_discount", "l_tax", "l_returnflag"), "_row"), []
+    rows, out = _flags(spark, sf_dir), []
     asked = {"pca": {"numeric": ["quantity", "price", "l_tax"]}, "ca": {"categorical": ["q", "l_returnflag"]}, "mca": {"categorical": ["q", "e", "l_returnflag"]}, "famd": {"numeric": ["price"], "categorical": ["q"]},
              "mfa": {"groups": {"size": ["quantity", "price"], "terms": ["l_discount", "l_tax"]}}}
     for name, options in asked.items():
@@ -349,11 +432,15 @@ def weighted_gram_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_rows(spark, "n long, weight double, xx double, xy double", [(rows.count(), round(w, 3), round(float(g[0, 0]), 2), round(float(g[0, 1]) / 1000, 2))])
 
 
-@query("select 'all' as name, cast(count(*) as bigint) as n from lineitem")
+@query(f"""with {MEASURES_SQL}, f as (select {', '.join(f'avg({m}) m{i}, stddev_samp({m}) s{i}' for i, m in enumerate(MEASURES))} from li)
+  select l_returnflag as name, cast(count(*) as bigint) as n, round(avg({' + '.join(f'power(({m} - m{i}) / s{i}, 2)' for i, m in enumerate(MEASURES))}), 6) as distance from li, f group by 1""")
 def rows_projected_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line projected on the axes of its measures, counted."""
+    """Every line projected on all axes of its measures: the mean squared distance from the centre by flag, which the axes keep."""
     z = measures(spark, sf_dir)
-    return correlation_pca(z, MEASURES).scores(z).agg(F.lit("all").alias("name"), F.count("F1").alias("n"))
+    found = correlation_pca(z, MEASURES)
+    squares = [F.pow(F.col(f"F{k}"), F.lit(2)) for k in range(1, len(MEASURES) + 1)]
+    rows = found.scores(z, len(MEASURES), keep=["l_returnflag"]).groupBy(F.col("l_returnflag").alias("name"))
+    return rounded(rows.agg(F.count("*").alias("n"), F.avg(sum(squares[1:], squares[0])).alias("distance")))
 
 
 def spearman_matrix(df: DataFrame, names: list[str]) -> np.ndarray:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from multifactor.functions import columns as C
+from multifactor.functions import distributions as D
 from multifactor.functions.columns import col
 from multifactor.operators import adequacy, inference, prepare, profile
-from multifactor.plans.common import MEASURES, MEASURES_SQL, as_rows, measures, rounded, table
-from multifactor.sources.delimited import to_number
+from multifactor.plans.common import MEASURES, MEASURES_SQL, as_rows, measures, rounded, scratch_dir, table
+from multifactor.sources.delimited import is_missing, read_delimited, to_number
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -214,20 +217,22 @@ def box_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with g as (select o_orderpriority g, count(*) n, avg(o_totalprice) m, var_pop(o_totalprice) v from orders group by 1), t as (select sum(n) n, sum(n * m) / sum(n) m, count(*) k, sum(n * v) w from g),
   s as (select sum(g.n * (g.m - t.m) * (g.m - t.m)) b from g, t)
   select round(b / (k - 1) / (w / (n - k)), 5) as f, cast(k - 1 as bigint) as df1, cast(n - k as bigint) as df2, round(b / (b + w), 8) as eta2,
-  round(greatest(0, (b - (k - 1) * (w / (n - k))) / (b + w + w / (n - k))), 8) + 0.0 as omega2 from s, t""")
+  round(greatest(0, (b - (k - 1) * (w / (n - k))) / (b + w + w / (n - k))), 8) + 0.0 as omega2,
+  round(power(w / (b + w), (n - k) / 2.0) * (1 + (n - k) / 2.0 * (b / (b + w))), 8) as p from s, t""")
 def anova_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Do the orders' totals differ between priorities?"""
+    """Do the orders' totals differ between five priorities? (The p-value has a closed form at four degrees of freedom.)"""
     f = inference.anova(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
-    return as_rows(spark, "f double, df1 long, df2 long, eta2 double, omega2 double", [(round(f["F"], 5), f["df1"], f["df2"], round(f["eta2"], 8), round(f["omega2"], 8) + 0.0)])
+    return as_rows(spark, "f double, df1 long, df2 long, eta2 double, omega2 double, p double", [(round(f["F"], 5), f["df1"], f["df2"], round(f["eta2"], 8), round(f["omega2"], 8) + 0.0, round(f["p"], 8))])
 
 
 @query("""with r as (select o_orderpriority g, o_totalprice v, rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0 as r from orders),
-  s as (select g, count(*) n, sum(r) s from r group by 1), t as (select sum(n) n, sum(s * s / n) q, count(*) k from s), ties as (select sum(cast(c as double) * c * c - c) x from (select count(*) c from r group by v))
-  select round((12.0 / (n * (n + 1.0)) * q - 3 * (n + 1)) / (1 - x / (cast(n as double) * n * n - n)), 4) as h, cast(k - 1 as bigint) as df from t, ties""")
+  s as (select g, count(*) n, sum(r) s from r group by 1), t as (select sum(n) n, sum(s * s / n) q, count(*) k from s), ties as (select sum(cast(c as double) * c * c - c) x from (select count(*) c from r group by v)),
+  f as (select (12.0 / (n * (n + 1.0)) * q - 3 * (n + 1)) / (1 - x / (cast(n as double) * n * n - n)) h, k from t, ties)
+  select round(h, 4) as h, cast(k - 1 as bigint) as df, round(exp(-h / 2) * (1 + h / 2), 6) as p from f""")
 def kruskal_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by ranks."""
     f = inference.kruskal(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
-    return as_rows(spark, "h double, df long", [(round(f["H"], 4), f["df"])])
+    return as_rows(spark, "h double, df long, p double", [(round(f["H"], 4), f["df"], round(f["p"], 6))])
 
 
 _CELLS = """t as (select o_orderstatus a, o_orderpriority b, count(*) n from orders group by 1, 2), ra as (select a, sum(n) x from t group by 1), rb as (select b, sum(n) y from t group by 1), tn as (select sum(n) s from t),
@@ -237,17 +242,18 @@ _CELLS = """t as (select o_orderstatus a, o_orderpriority b, count(*) n from ord
 @query(f"with {_CELLS} select a, b, cast(o as double) as observed, round(e, 6) as expected, round(r, 6) + 0.0 as residual, round(100 * r * r / (select sum(r * r) from d), 6) + 0.0 as contribution from d")
 def contingency_cells_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status by priority: observed, expected, residual and contribution of each cell."""
-    return rounded(inference.cells(inference.contingency(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")))
+    return rounded(inference.cells(inference.contingency(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"), empty=True))
 
 
 @query(f"""with {_CELLS} select round(sum(r * r), 5) as chi2, cast((count(distinct a) - 1) * (count(distinct b) - 1) as bigint) as df, round(sum(r * r) / sum(o), 8) as inertia, round(min(e), 5) as least_expected,
-  cast(count(*) filter (e < 5) as bigint) as low_cells, round(sqrt(sum(r * r) / (sum(o) * (least(count(distinct a), count(distinct b)) - 1))), 7) as cramer from d""")
+  cast(count(*) filter (e < 5) as bigint) as low_cells, round(sqrt(sum(r * r) / (sum(o) * (least(count(distinct a), count(distinct b)) - 1))), 7) as cramer,
+  round(exp(-sum(r * r) / 2) * (1 + sum(r * r) / 2 + power(sum(r * r), 2) / 8 + power(sum(r * r), 3) / 48), 6) as p from d""")
 def chi_square_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chi-square figures and Cramer's V of that table."""
+    """Chi-square figures and Cramer's V of that table, which has eight degrees of freedom."""
     orders = table(spark, sf_dir, "orders")
     f = inference.chi2_of(inference.contingency(orders, "o_orderstatus", "o_orderpriority"))
     v = inference.cramer(orders, ["o_orderstatus", "o_orderpriority"]).first().v
-    return as_rows(spark, "chi2 double, df long, inertia double, least_expected double, low_cells long, cramer double", [(round(f["chi2"], 5), f["df"], round(f["inertia"], 8), round(f["least_expected"], 5), f["low_cells"], round(v, 7))])
+    return as_rows(spark, "chi2 double, df long, inertia double, least_expected double, low_cells long, cramer double, p double", [(round(f["chi2"], 5), f["df"], round(f["inertia"], 8), round(f["least_expected"], 5), f["low_cells"], round(v, 7), round(f["p"], 6))])
 
 
 _R3 = f"with {MEASURES_SQL}, r as (select corr(quantity, price) a, corr(quantity, l_discount) b, corr(price, l_discount) c, count(*) n from li), d as (select *, 1 + 2 * a * b * c - a * a - b * b - c * c as det from r)"
@@ -283,3 +289,27 @@ def suitability_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prepare.prepare(measures(spark, sf_dir), prepare.Roles(MEASURES))
     d = adequacy.diagnose(found)
     return as_rows(spark, "check string, level string, figures string, score int, grade string", [(*row, d.score, d.grade) for row in adequacy.advice(d)])
+
+
+@query("""with x as (select p_partkey, p_retailprice / 50 as v, p_size / 10.0 as f, (p_size - 25) / 10.0 as t from part)
+  select p_partkey, round(exp(-v / 2) * (1 + v / 2), 9) as chi2_4, round(exp(-v / 2) * (1 + v / 2 + v * v / 8), 9) as chi2_6, round(power(10 / (10 + 4 * f), 5) * (1 + 5 * (1 - 10 / (10 + 4 * f))), 9) as f_4_10,
+  round(1 - abs(t) / sqrt(2 + t * t), 9) as t_2, round(1 - abs(t / 4) / sqrt(2 + power(t / 4, 2)), 9) as r_4 from x""")
+def distribution_tails_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tails of chi-square, F and Student's distributions, and a correlation's p, at every part's figures, where they have closed forms."""
+    x = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 50).alias("v"), (F.col("p_size") / 10.0).alias("f"), ((F.col("p_size") - 25) / 10.0).alias("t"))
+    r = F.col("t") / 4 / F.sqrt(2 + F.pow(F.col("t") / 4, 2))
+    tails = {"chi2_4": D.chi2_tail_column("v", F.lit(4.0)), "chi2_6": D.chi2_tail_column("v", F.lit(6.0)), "f_4_10": D.f_tail_column("f", F.lit(4.0), F.lit(10.0)), "t_2": D.t_two_sided_column("t", F.lit(2.0)), "r_4": D.correlation_p_column(r, F.lit(4.0))}
+    return rounded(x.select("p_partkey", *[c.alias(n) for n, c in tails.items()]), 9)
+
+
+@query("select s_suppkey as key, s_name as name, s_acctbal as balance, s_nationkey as nation, s_suppkey % 3 = 0 as missing from supplier")
+def delimited_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers written as semicolon-separated text with decimal commas, quotes and missing codes, and read back."""
+    rows = table(spark, sf_dir, "supplier")
+    comma = F.replace(F.format_string("%.2f", "s_acctbal"), F.lit("."), F.lit(","))
+    path = f"{scratch_dir(spark)}/delimited-{uuid.uuid4().hex}"
+    text = rows.select("s_suppkey", F.concat(F.lit(" "), F.col("s_name"), F.lit('; "quoted"')).alias("s_name"), comma.alias("s_acctbal"), "s_nationkey", F.when(F.col("s_suppkey") % 3 == 0, "N/A").otherwise("x").alias("note"))
+    text.write.csv(path, sep=";", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = read_delimited(spark, path)
+    number = lambda name, kind: to_number(F.col(name)).cast(kind)
+    return back.select(number("s_suppkey", "long").alias("key"), F.regexp_extract(F.trim("s_name"), '^(.*); "quoted"$', 1).alias("name"), number("s_acctbal", "double").alias("balance"), number("s_nationkey", "int").alias("nation"), is_missing(F.col("note")).alias("missing"))

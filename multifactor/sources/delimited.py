@@ -46,7 +46,10 @@ def to_number(cell: Column, decimal: str = "auto") -> Column:
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None, *, row_number: bool = True) -> DataFrame:
-    """A delimited file as trimmed-header string columns and ``_row`` (input order, from 0); blank rows are dropped.
+    """A delimited file as trimmed-header string columns and ``_row``, rising in input order; blank rows are dropped.
+
+    ``_row`` counts from 0 in the first file of a folder and goes on with gaps. A quoted cell may hold line ends, so a
+    file is one task: deal large input out over many files.
 
     Quoted cells may hold separators, doubled quotes and line ends. Empty names become V1, V2, ...; equal names get a
     number. A file without content gives no rows.
