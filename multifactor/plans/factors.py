@@ -182,6 +182,22 @@ def famd_axes_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("axis", F.round("eigenvalue", 6).alias("eigenvalue"), F.round("squared", 6).alias("squared"))
 
 
+@query("""with g as (select avg(case when l_quantity > 25 then 1.0 else 0 end) p, abs(corr(l_extendedprice, case when l_quantity > 25 then 1.0 else 0 end)) r from lineitem), s as (select *, case k when 1 then 1 else -1 end as sign from g, (values (1), (2)) x(k), (values ('many'), ('few')) y(level))
+  select level, cast(k as integer) as axis, round(case level when 'many' then (1 - p) / p else p / (1 - p) end * power(r + sign, 2) / 2, 6) as coord_squared, round(power(r + sign, 2) / (2 + 2 * r * r), 6) as cos2 from s""")
+def famd_levels_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flag's two levels on those axes: squared barycentres and their quality."""
+    found = mixed.famd(_flags(spark, sf_dir), ["price"], ["q"]).columns(spark).where("kind = 'level'")
+    return rounded(found.select("level", "axis", F.pow("coord", F.lit(2)).alias("coord_squared"), "cos2"))
+
+
+@query(f"""with {MEASURES_SQL}, r as (select abs(corr(quantity, price)) s, abs(corr(l_discount, l_tax)) t from li), g as (select 'size' as name, s as r from r union all select 'terms', t from r)
+  select name as "group", 2::integer as variables, round(1 + r, 6) as first, round(1 / (1 + r), 6) as weight, 2.0::double as inertia, round(2 / (1 + r), 6) as on_all_axes from g""")
+def mfa_groups_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two groups' own first eigenvalue, weight and inertia, and what all common axes hold of them."""
+    found = mixed.mfa(measures(spark, sf_dir), {"size": ["quantity", "price"], "terms": ["l_discount", "l_tax"]}).group_table(spark)
+    return rounded(found.groupBy("group", "variables", "first", "weight", "inertia").agg(F.sum("coord").alias("on_all_axes")))
+
+
 @query(f"""with {MEASURES_SQL}, r as (select corr(quantity, price) qp, corr(quantity, l_discount) qd, corr(quantity, l_tax) qt, corr(price, l_discount) pd, corr(price, l_tax) pt, corr(l_discount, l_tax) dt from li),
   w as (select *, 1 / (1 + abs(qp)) w1, 1 / (1 + abs(dt)) w2 from r), l as (select w1 * w1 * (2 + 2 * qp * qp) l11, w2 * w2 * (2 + 2 * dt * dt) l22, w1 * w2 * (qd * qd + qt * qt + pd * pd + pt * pt) l12 from w)
   select 'size' as a, 'terms' as b, round(l12, 8) as lg, round(l12 / sqrt(l11 * l22), 8) as rv from l""")
@@ -298,6 +314,20 @@ def parallel_permuted_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retention.parallel_summary(retention.parallel_permuted(z, _THREE)), 5)
 
 
+_AXES3_TERMS = _AXES3.replace("corr(quantity, discounted) b, corr(price, discounted) c", "corr(quantity, l_discount) b, corr(price, l_discount) c")
+
+
+@query(f"""{_AXES3_TERMS}, w as (select k, v, a * c - b * (1 - v) x1, a * b - c * (1 - v) x2, power(1 - v, 2) - a * a x3 from e, r where k <= 2), n as (select k, v / (x1 * x1 + x2 * x2 + x3 * x3) q, x1, x2, x3 from w),
+  left_over as (select m, a - coalesce(sum(q * x1 * x2), 0) r12, b - coalesce(sum(q * x1 * x3), 0) r13, c - coalesce(sum(q * x2 * x3), 0) r23, 1 - coalesce(sum(q * x1 * x1), 0) d1, 1 - coalesce(sum(q * x2 * x2), 0) d2, 1 - coalesce(sum(q * x3 * x3), 0) d3
+    from r, (values (0), (1), (2)) t(m) left join n on n.k <= m group by m, a, b, c),
+  partial as (select m, r12 * r12 / (d1 * d2) p, r13 * r13 / (d1 * d3) q, r23 * r23 / (d2 * d3) s from left_over)
+  select cast(m as integer) as m, round((p + q + s) / 3, 4) as f, round((p * p + q * q + s * s) / 3, 4) as f4 from partial""")
+def minimum_partial_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velicer's series of three measures: mean squared and fourth-power partial correlations after 0, 1 and 2 axes."""
+    found = retention.velicer(correlation_pca(measures(spark, sf_dir), ["quantity", "price", "l_discount"]).correlation)
+    return rounded(as_rows(spark, "m int, f double, f4 double", found["series"]), 4)
+
+
 @query()
 def minimum_partial_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Velicer's series over the embeddings' axes."""

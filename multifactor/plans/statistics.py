@@ -283,6 +283,40 @@ def mahalanobis_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(adequacy.mahalanobis(measures(spark, sf_dir), ["quantity", "price"]).select("_row", "d2"), 5)
 
 
+_CHECKS = f"""{_R3}, t as (select *, (a * a + b * b + c * c) / 3 q from d), h as (select *, acos(greatest(-1, least(1, a * b * c / power(q, 1.5)))) / 3 th from t),
+  e as (select 1 + 2 * sqrt(q) * cos(th) l1, 1 + 2 * sqrt(q) * cos(th - 2 * pi() / 3) l2, 1 + 2 * sqrt(q) * cos(th + 2 * pi() / 3) l3 from h),
+  p as (select *, power(a - b * c, 2) / ((1 - b * b) * (1 - c * c)) pa, power(b - a * c, 2) / ((1 - a * a) * (1 - c * c)) pb, power(c - a * b, 2) / ((1 - a * a) * (1 - b * b)) pc, -((n - 1) - 11.0 / 6) * ln(det) chi2 from d),
+  k as (select *, (a * a + b * b + c * c) / (a * a + b * b + c * c + pa + pb + pc) kmo, least((a * a + b * b) / (a * a + b * b + pa + pb), (a * a + c * c) / (a * a + c * c + pa + pc), (b * b + c * c) / (b * b + c * c + pb + pc)) msa,
+    (abs(a) + abs(b) + abs(c)) / 3 mean_r, (abs(a) >= 0.3)::int + (abs(b) >= 0.3)::int + (abs(c) >= 0.3)::int strong, (abs(a) >= 0.9)::int + (abs(b) >= 0.9)::int + (abs(c) >= 0.9)::int redundant from p),
+  f as (select avg(quantity) mq, avg(price) mp, avg(l_discount) md, stddev_samp(quantity) sq, stddev_samp(price) sp, stddev_samp(l_discount) sd,
+    (abs({_skew('quantity')}) > 1)::int + (abs({_skew('price')}) > 1)::int + (abs({_skew('l_discount')}) > 1)::int skewed from li),
+  z as (select (quantity - mq) / sq x, (price - mp) / sp y, (l_discount - md) / sd w from li, f),
+  o as (select count(*) filter (((1 - c * c) * x * x + (1 - b * b) * y * y + (1 - a * a) * w * w + 2 * (b * c - a) * x * y + 2 * (a * c - b) * x * w + 2 * (a * b - c) * y * w) / det > 16.26623619623813) far from z, d),
+  s as (select case when kmo >= 0.8 then 30 when kmo >= 0.7 then 24 when kmo >= 0.6 then 17 when kmo >= 0.5 then 9 else 0 end + case when chi2 > 7.814727903251178 then 20 else 0 end
+    + case when n / 3.0 >= 10 then 20 when n / 3.0 >= 5 then 14 when n / 3.0 >= 3 then 8 else 2 end + case when n >= 100 then 10 when n >= 50 then 7 when n >= 30 then 4 else 1 end + 10
+    + case when det > 1e-5 then 10 when det > 1e-9 then 5 else 0 end as score from k),
+  every as (select 'sample size' as "check", case when n / 3.0 >= 10 and n >= 100 then 'ok' when n / 3.0 >= 5 then 'warn' else 'bad' end as level, n / 3.0 as figure from k
+    union all select 'Bartlett', case when chi2 > 7.814727903251178 then 'ok' else 'bad' end, chi2 from k
+    union all select 'KMO', case when kmo >= 0.8 then case when msa < 0.5 then 'warn' else 'ok' end when kmo >= 0.6 then 'warn' else 'bad' end, kmo from k
+    union all select 'correlation structure', case when mean_r < 0.3 and strong = 0 then 'bad' else 'ok' end, mean_r from k
+    union all select 'multicollinearity', case when redundant > 0 then 'warn' else 'ok' end, redundant from k
+    union all select 'scales', 'ok', greatest(sq, sp, sd) / least(sq, sp, sd) from f union all select 'missing data', 'ok', 0 union all select 'outliers', case when far > 0 then 'warn' else 'ok' end, far from o
+    union all select 'skewness', case when skewed > 0 then 'warn' else 'ok' end, skewed from f union all select 'dimensionality', 'info', (l1 > 1)::int + (l2 > 1)::int + (l3 > 1)::int from e
+    union all select 'two axes', 'info', (l1 + l2) / 3 from e union all select 'strong pairs', 'info', strong from k)"""
+
+
+@query(f"""{_CHECKS} select "check", level, round(cast(figure as double), 4) as figure, cast(score as integer) as score, case when score >= 82 then 'A' when score >= 66 then 'B' when score >= 48 then 'C' else 'D' end as grade from every, s""")
+def suitability_checks_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten checks of three complete measures with a figure each, two more figures, the score and the grade."""
+    d = adequacy.diagnose(prepare.prepare(measures(spark, sf_dir), prepare.Roles(_THREE)))
+    level = {name: x for name, x, _ in adequacy.advice(d)}
+    figures = {
+        "sample size": d.n / d.p, "Bartlett": d.bartlett["chi2"], "KMO": d.kmo["overall"], "correlation structure": d.mean_abs_r, "multicollinearity": len(d.redundant), "scales": d.scale_ratio,
+        "missing data": d.missing_share, "outliers": d.outlier_count, "skewness": len(d.skewed), "dimensionality": d.above_one, "two axes": d.two_axes, "strong pairs": len(d.strong),
+    }
+    return rounded(as_rows(spark, "check string, level string, figure double, score int, grade string", [(k, level.get(k, "info"), float(v), d.score, d.grade) for k, v in figures.items()]), 4)
+
+
 @query()
 def suitability_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten checks of lineitem's measures, with the score and the grade."""
