@@ -54,9 +54,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
     out = held_out(F.col("doc_id"), 5, 0)
     learned = bounded_labels(labels.where(~out), "toxic", toxicity.FIT_ROWS)
-    model = toxicity.fit_word_scores(docs.where(~out).join(learned, "doc_id"))
+    model, weights = toxicity.fit(docs.where(~out).join(learned, "doc_id"))
     found = toxicity.toxic_passages(docs, model).withColumn("doc_id", F.col("row.doc_id"))
-    weights = toxicity.fit_probability(found.where(~out).join(learned, "doc_id"))
     score = toxicity.probability(weights)
     passages = F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p.start, p.end)), ",")
     return found.select("doc_id", out.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), passages.alias("passages"))

@@ -21,8 +21,10 @@ FIT_ROWS = 200_000
 PREFIXES = (5, 6, 7, 9)
 #: Bins of word scores from -1 to 8.
 BINS = 901
-#: Bins of segment scores in each unit of score, and segments that a score must have been reached by to count in the fit of the level.
-SEGMENT_BINS, RARE = 8, 10
+#: Bins of segment scores in each unit of score, and the share of clean segments by whose score the level is fitted.
+SEGMENT_BINS, TAIL = 8, 0.01
+#: Parts of the labelled rows: the curve is fitted on figures of rows that the word scores have not seen.
+FOLDS = 4
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
 
@@ -115,15 +117,16 @@ def fit_word_scores(rows: DataFrame, *, prior: float = 0.01, caution: float = 1.
 
 
 def extreme_level(segments: np.ndarray, decay: float, words: int) -> float:
-    """The level at which level * words * exp(-decay * score) is no less than the segments seen of any score or more.
+    """The level at which level * words * exp(-decay * score) is the number of clean segments that reach the tail's score.
 
-    ``segments`` counts the maximal segments of clean text by score, in bins of 1 / SEGMENT_BINS. Scores that fewer than
-    RARE segments reach say little and are left out; without any such score the level is 1 / words.
+    ``segments`` counts the maximal segments of clean text by score, in bins of 1 / SEGMENT_BINS. The tail's score is the
+    greatest that the share TAIL of them reach: few mislabelled texts lie beyond it. Without segments the level is 1 / words.
     """
     reached = np.cumsum(segments[::-1])[::-1]
-    score = np.arange(len(segments)) / SEGMENT_BINS
-    known = reached >= RARE
-    return float(max([1.0 / words, *(reached[known] / words * np.exp(decay * score[known]))]))
+    if not reached[0]:
+        return 1.0 / max(1, words)
+    at = int(np.flatnonzero(reached >= TAIL * reached[0])[-1])
+    return float(reached[at] / max(1, words) * np.exp(decay * at / SEGMENT_BINS))
 
 
 def best_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -196,6 +199,20 @@ def toxic_passages(docs: DataFrame, model: WordScores, *, text: str = "text", si
     return stored(found.select("row", "f.*"))
 
 
+def fit(rows: DataFrame, *, key: str = "doc_id") -> tuple[WordScores, list[float]]:
+    """Word scores and the weights of the probability from labelled ``rows`` (key, text, label).
+
+    The scores are learned on all rows. The curve is fitted on each part of the rows, by a seeded hash of the key, with
+    figures by the scores that the other parts give, so it does not take words for granted that only one text has.
+    """
+    rows = stored(rows.where("label in (0, 1)").select(F.pmod(F.xxhash64(F.lit(5), F.col(quoted(key))), F.lit(FOLDS)).alias("fold"), "text", "label"))
+    seen = None
+    for fold in range(FOLDS):
+        found = toxic_passages(rows.where(F.col("fold") == fold), fit_word_scores(rows.where(F.col("fold") != fold)))
+        seen = found if seen is None else seen.unionByName(found)
+    return fit_word_scores(rows), fit_probability(seen.withColumn("label", F.col("row.label")))
+
+
 def fit_probability(rows: DataFrame, *, steps: int = 30) -> list[float]:
     """Weights of a logistic curve (constant, ln(1 + surprise), best segment, mean score) from rows with ``label``.
 

@@ -269,14 +269,14 @@ def test_segments_take_linear_time(pattern):
     assert time.perf_counter() - begun < 2
 
 
-def test_level_bounds_the_segments_seen():
+def test_level_matches_the_tail_of_clean_segments():
     rng = np.random.default_rng(0)
     words, decay = 100_000, 0.7
-    found = np.bincount((rng.exponential(1 / decay, 5000) * toxicity.SEGMENT_BINS).astype(int), minlength=200)
+    scores = np.concatenate([rng.exponential(1 / decay, 5000), np.full(20, 24.0)])  # a few mislabelled texts
+    found = np.bincount((scores * toxicity.SEGMENT_BINS).astype(int), minlength=200)
     level = toxicity.extreme_level(found, decay, words)
-    reached = np.cumsum(found[::-1])[::-1]
-    score = np.arange(200) / toxicity.SEGMENT_BINS
-    assert (level * words * np.exp(-decay * score) >= reached - 1e-6)[reached >= toxicity.RARE].all() and 0.04 < level < 0.2
+    for score in (1.0, 2.0, 4.0):
+        assert 0.8 < level * words * np.exp(-decay * score) / (scores >= score).sum() < 2.5
     assert toxicity.extreme_level(np.zeros(9), decay, 50) == 1 / 50
 
 
@@ -310,6 +310,17 @@ def test_toxic_passages(spark):
     assert sum(bool(got[i].passages) for i, _, bad in data if not bad) <= 0.02 * len(data)
 
 
+def test_fit_scores_unseen_rows(spark, empty):
+    data = toxic_corpus(240)
+    df = spark.createDataFrame(data, "doc_id long, text string, label int")
+    model, weights = toxicity.fit(df.where("doc_id < 160"))
+    found = toxicity.toxic_passages(df.where("doc_id >= 160"), model)
+    got = {r.doc_id: r.p for r in found.select("row.doc_id", toxicity.probability(weights).alias("p")).collect()}
+    assert sum((got[i] >= 0.5) == bool(bad) for i, _, bad in data[160:]) >= 78
+    model, weights = toxicity.fit(empty.select("doc_id", "text", F.lit(None).cast("int").alias("label")))
+    assert 0 <= toxicity.toxic_passages(df, model).select(toxicity.probability(weights).alias("p")).first().p <= 1
+
+
 def test_toxicity_without_both_labels(spark, empty):
     df = spark.createDataFrame([(1, "a b", 0)], "doc_id long, text string, label int")
     for rows in (df, df.where("false")):
