@@ -38,10 +38,21 @@ def average_ranks(df: DataFrame, names: Sequence[str], suffix: str = "_rank") ->
 
 
 def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(a, b, r): Pearson correlations of average ranks, over rows with all of ``names``."""
-    whole = df.dropna(subset=list(names)).select(*[col(n) for n in names])
-    ranked = average_ranks(whole, names)
-    return pairwise_correlations(ranked.select(*[F.col(f"`{n}_rank`").alias(n) for n in names]), names)
+    """(a, b, r): Pearson correlations of average ranks, over rows with all of ``names``; 0 where one is constant.
+
+    Rows are counted by their values first, and each column's values are ranked in that table: no row is joined to its
+    rank. Ranks are centred at their known mean, so one aggregation gives all pairs.
+    """
+    ranked = df.dropna(subset=list(names)).groupBy(*[col(n).alias(f"x{i}") for i, n in enumerate(names)]).agg(F.count("*").alias("_n"))
+    for i in range(len(names)):
+        ranked = ranked_counts(ranked.withColumn("_v", F.col(f"x{i}").cast("double"))).withColumn(f"x{i}", F.col("_rank")).drop("_v", "_same", "_rank")
+    n = ranked.agg(F.sum("_n")).first()[0] or 0
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    centred = [F.col(f"x{i}") - F.lit((n + 1) / 2) for i in range(len(names))]
+    row = ranked.agg(*[F.coalesce(F.sum(F.col("_n") * centred[i] * centred[j]), F.lit(0.0)) for i, j in pairs]).first()
+    s = dict(zip(pairs, row, strict=True))
+    r = lambda i, j: float(s[i, j] / math.sqrt(s[i, i] * s[j, j])) if s[i, i] > 0 and s[j, j] > 0 else 0.0
+    return df.sparkSession.createDataFrame([(names[i], names[j], r(i, j)) for i, j in pairs if i < j], "a string, b string, r double")
 
 
 def anova(df: DataFrame, value: str, group: str) -> dict[str, float] | None:

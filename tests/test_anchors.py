@@ -70,6 +70,14 @@ def test_kruskal_with_ties(troubled):
     assert inference.kruskal(df.where("g = 'a'"), "v", "g") is None
 
 
+def test_spearman_with_ties_and_nulls(spark, troubled):
+    pdf = troubled[1].assign(w=lambda d: d["v"].fillna(0) * -2 + d.index % 5)
+    df = spark.createDataFrame(pdf[["v", "w"]].astype(object).where(pdf[["v", "w"]].notna(), None), "v double, w double").withColumn("k", F.lit(1.0))
+    whole = pdf.dropna(subset=["v"])
+    got = {(r.a, r.b): r.r for r in inference.spearman(df, ["v", "w", "k"]).collect()}
+    assert got["v", "w"] == pytest.approx(whole["v"].rank().corr(whole["w"].rank())) and got["v", "k"] == 0
+
+
 def test_quantiles_by_group(troubled):
     df, pdf = troubled
     got = {r["_g"]: (r.q0, r.q1, r.q2) for r in quantiles.group_quantiles(df, F.col("v"), F.col("g"), [0.25, 0.5, 1.0]).collect()}
