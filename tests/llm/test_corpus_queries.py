@@ -1,13 +1,16 @@
 """The registered corpus queries and the pipeline over the smallest tables."""
 
+import hashlib
 import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from test_corpus_operators import base_spans, brute_components, simhash_slow, targets_slow, words_in
 
 import corpus_pipeline
-from multifactor.llm import queries
+from multifactor.llm import pii, queries
+from multifactor.llm.simhash import signed
 
 COLUMNS = {
     "op1_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
@@ -79,3 +82,49 @@ def test_stages_keep_columns_of_any_name(spark, sf_dir):
         out = stage(spark, more, sf_dir)
         want = [{"shard": "shard_", "slot": "slot_"}.get(c, c) for c in more.columns] + ["shard", "slot"] if name == "sharding" else more.columns
         assert out.columns == want and out.where("`a.b` = 'a.b'").count() == out.count() > 0
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r.doc_id: (r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()}
+
+
+def test_sizes_sums_and_slots_of_shards(spark, sf_dir, texts):
+    slots = {}
+    for r in queries.op1_sharding(spark, sf_dir).collect():
+        raw = (texts[r.doc_id][0] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "key") and r.grown_shard in (r.shard, 40)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) and 0 <= s < 40 for s, v in slots.items())
+
+
+def test_digests_and_spans_of_personal_data(spark, sf_dir, texts):
+    for r in queries.op2_pii(spark, sf_dir).collect():
+        base = base_spans(texts[r.doc_id][0])
+        joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(base))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for k, *_ in base) for i in range(4)]
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert {(pii.KINDS.index(k), int(a), int(b)) for k, a, b in spans} >= set(base) and len(spans) == len(base) + r.n_discovered == r.n_spans
+        assert spans == sorted(spans, key=lambda x: (pii.KINDS.index(x[0]), int(x[1])))
+
+
+def test_fingerprints_and_components(spark, sf_dir, texts):
+    prints = {i: simhash_slow(t) for i, (t, _) in texts.items()}
+    roots, least = brute_components(sorted({signed(p) for p in prints.values()})), {}
+    for i, p in prints.items():
+        least[roots[signed(p)]] = min(i, least.get(roots[signed(p)], i))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op6_simhash(spark, sf_dir).collect()}
+    assert got == {i: (f"{p:016x}", least[roots[signed(p)]]) for i, p in prints.items()}
+
+
+def test_targets_and_words_of_the_mix(spark, sf_dir, texts):
+    sizes, taken = {}, {}
+    for t, s in texts.values():
+        sizes[s] = sizes.get(s, 0) + words_in(t)
+    want = targets_slow(sizes, 1.5, [5, 2, 1], 2.0)
+    for r in queries.op7_mixing(spark, sf_dir).collect():
+        text, source = texts[r.doc_id]
+        assert (r["size"], r.source_size) == (words_in(text), sizes[source]) and r.target == pytest.approx(want[source]) and 0 <= r.taken <= 2 * r["size"]
+        taken[source] = taken.get(source, 0) + r.taken
+    assert all(abs(taken[s] - want[s]) <= max(8, 0.01 * want[s]) for s in sizes)
