@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from multifactor.functions.columns import col
 from multifactor.functions.linalg import eigen_symmetric, to_correlation
-from multifactor.operators.moments import gram, moments
+from multifactor.operators.moments import moments
 from multifactor.operators.pca import Pca
 
 
@@ -55,35 +55,36 @@ def parallel_normal(spark, n: int, p: int, replicates: int = 100, seed: int = 42
     return spark.range(replicates).repartition(min(replicates, spark.sparkContext.defaultParallelism)).mapInPandas(draw, "replicate long, axis int, value double")
 
 
-def parallel_permuted(df: DataFrame, names: Sequence[str], replicates: int = 20, seed: int = 42) -> DataFrame:
+def parallel_permuted(df: DataFrame, names: Sequence[str], replicates: int = 20, seed: int = 42, together: int = 5) -> DataFrame:
     """(replicate, axis, value): eigenvalues of covariances after each column is permuted on its own.
 
-    A column is permuted by numbering its values in the order of a seeded hash, cell by cell; equal numbers meet. One
-    shuffle and one join for each column and replicate; only matrices of p x p reach the driver.
+    A column is permuted by numbering its values in the order of a seeded hash, cell by cell; equal numbers meet. Columns
+    and ``together`` replicates go through the same two shuffles and one aggregation; only matrices of p x p reach the driver.
     """
     spark, p = df.sparkSession, len(names)
     m = moments(df, names)
-    rows = df.select(*[col(c).cast("double").alias(f"x{j}") for j, c in enumerate(names)]).withColumn("i", F.monotonically_increasing_id())
+    rows = df.select(*[(col(c).cast("double") - F.lit(float(v))).alias(f"x{j}") for j, (c, v) in enumerate(zip(names, m.mean, strict=True))]).withColumn("i", F.monotonically_increasing_id())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = []
-    for b in range(replicates):
-        mixed = None
-        for j in range(p):
-            key = F.xxhash64(F.lit(seed), F.lit(b), F.lit(j), F.col("i"))
-            one = _numbered(rows.select(f"x{j}", key.alias("key"), "i"), parts).select("place", f"x{j}")
-            mixed = one if mixed is None else mixed.join(one, "place")
-        g, n = gram(mixed, [F.col(f"x{j}") for j in range(p)], m.mean)
-        out += [(b, k + 1, float(v)) for k, v in enumerate(eigen_symmetric(g / max(n - 1, 1))[0])]
+    pairs, out = [(i, j) for i in range(p) for j in range(i, p)], []
+    for first in range(0, replicates, together):
+        each = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(j).alias("j"), F.col(f"x{j}").alias("x")) for b in range(first, min(first + together, replicates)) for j in range(p)])
+        long = rows.select("i", F.explode(each).alias("s")).select("s.b", "s.j", "s.x", "i", F.xxhash64(F.lit(seed), "s.b", "s.j", "i").alias("key"))
+        placed = _numbered(long.withColumn("cell", F.pmod("key", F.lit(parts))))
+        met = placed.groupBy("b", "place").agg(*[F.max(F.when(F.col("j") == j, F.col("x"))).alias(f"x{j}") for j in range(p)])
+        for row in met.groupBy("b").agg(F.count("*"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).collect():
+            g = np.zeros((p, p))
+            for (i, j), v in zip(pairs, row[2:], strict=True):
+                g[i, j] = g[j, i] = v or 0.0
+            out += [(row.b, k + 1, float(v)) for k, v in enumerate(eigen_symmetric(g / max(row[1] - 1, 1))[0])]
     return spark.createDataFrame(out, "replicate long, axis int, value double")
 
 
-def _numbered(rows: DataFrame, parts: int) -> DataFrame:
-    """``rows`` with ``place``: 1, 2, ... by falling into cells by hash ``key``, then by key inside the cell."""
-    dealt = rows.withColumn("cell", F.pmod("key", F.lit(parts)))
-    before = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    past = dealt.groupBy("cell").agg(F.count("*").alias("m")).select("cell", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("past"))
-    inside = F.row_number().over(W.partitionBy("cell").orderBy("key", "i"))
-    return dealt.withColumn("inside", inside).join(F.broadcast(past), "cell").withColumn("place", F.col("past") + F.col("inside"))
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``place``: 1, 2, ... in each (b, j), by cells, then by key inside the cell."""
+    before = W.partitionBy("b", "j").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    past = rows.groupBy("b", "j", "cell").agg(F.count("*").alias("m")).select("b", "j", "cell", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("past"))
+    inside = F.row_number().over(W.partitionBy("b", "j", "cell").orderBy("key", "i"))
+    return rows.withColumn("inside", inside).join(F.broadcast(past), ["b", "j", "cell"]).withColumn("place", F.col("past") + F.col("inside"))
 
 
 def parallel_summary(draws: DataFrame) -> DataFrame:
