@@ -24,7 +24,7 @@ BINS = 901
 #: Bins of segment scores in each unit of score, and the share of clean segments by whose score the level is fitted.
 SEGMENT_BINS, TAIL = 8, 0.01
 #: Parts of the labelled rows: the curve is fitted on figures of rows that the word scores have not seen.
-FOLDS = 4
+FOLDS = 3
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
 
@@ -34,19 +34,44 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts, documents = np.zeros((2, WORDS), np.int64), np.zeros(2, np.int64)
+    """Documents and, by slot, documents with the slot (-1: all), a column for each part and label."""
+    kinds = 2 * FOLDS
+    counts, documents = np.zeros((kinds, WORDS), np.int32), np.zeros(kinds, np.int64)
     for batch in batches:
-        texts, labels = encoded(batch["text"]), batch["label"].to_numpy(np.int64)
-        documents += np.bincount(labels, minlength=2)
+        texts, kind = encoded(batch["text"]), (2 * batch["fold"] + batch["label"]).to_numpy(np.int64)
+        documents += np.bincount(kind, minlength=kinds)
         for a, b in in_chunks(texts, CHUNK):
             hashes, _, _, before = hashed_words(texts[a:b], PREFIXES)
             of = np.repeat(np.arange(b - a), np.diff(before))
             once = np.unique(of[None, :] * WORDS + _slots(hashes))  # a document counts once for each slot
-            of_label = labels[a:b][once // WORDS]
-            for k in (0, 1):
-                counts[k] += np.bincount(once[of_label == k] % WORDS, minlength=WORDS)
+            of_kind = kind[a:b][once // WORDS]
+            for k in set(of_kind.tolist()):
+                counts[k] += np.bincount(once[of_kind == k] % WORDS, minlength=WORDS).astype(np.int32)
     at = np.flatnonzero(counts.any(axis=0))
-    yield pd.DataFrame({"slot": np.concatenate([[-1], at]).astype("int32"), "clean": np.concatenate([documents[:1], counts[0, at]]), "toxic": np.concatenate([documents[1:], counts[1, at]])})
+    yield pd.DataFrame({"slot": np.concatenate([[-1], at]).astype("int32")} | {f"n{k}": np.concatenate([documents[k : k + 1], counts[k, at]]) for k in range(kinds)})
+
+
+def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents (part, label) and documents with each slot (part, label, slot) of ``rows`` (text, label, fold); one row a slot reaches the driver."""
+    kinds = [f"n{k}" for k in range(2 * FOLDS)]
+    sums = rows.select("text", F.col("label").cast("int").alias("label"), F.col("fold").cast("int").alias("fold")).mapInPandas(_count, f"slot int, {', '.join(f'{n} long' for n in kinds)}")
+    table = sums.groupBy("slot").agg(*[F.sum(n).alias(n) for n in kinds]).toArrow().to_pandas().set_index("slot").sort_index()
+    counts = np.zeros((2 * FOLDS, WORDS))
+    if table.empty:
+        return np.zeros((FOLDS, 2)), counts.reshape(FOLDS, 2, WORDS)
+    documents, table = table.loc[-1].to_numpy(float), table.drop(index=-1)
+    counts[:, table.index] = table.to_numpy(float).T
+    return documents.reshape(FOLDS, 2), counts.reshape(FOLDS, 2, WORDS)
+
+
+def _log_odds(documents: np.ndarray, counts: np.ndarray, prior: float, caution: float, drift: float) -> np.ndarray:
+    """Each slot's score from clean and toxic documents and documents with the slot; ``drift`` below 0 without both labels."""
+    if not documents.all():
+        return np.full(WORDS, -drift, np.float32)
+    alpha = prior * counts.sum(axis=0) + 1e-9
+    (y0, y1), (n0, n1) = counts + alpha, documents + prior * documents.sum()
+    odds = np.log(y1 / np.maximum(n1 - y1, 0.5)) - np.log(y0 / np.maximum(n0 - y0, 0.5))
+    return (odds - caution * np.sqrt(1 / y1 + 1 / y0) - drift).clip(-1.0, 8.0).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -77,20 +102,14 @@ def fit_word_scores(rows: DataFrame, *, prior: float = 0.01, caution: float = 1.
     All counts are over ``rows``, which op4 bounds by FIT_ROWS. Repeated rows count each. Spark sums the counts of WORDS
     slots; no list of words reaches the driver.
     """
-    rows = rows.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
-    counts = rows.mapInPandas(_count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    table = counts.toArrow().to_pandas().set_index("slot").sort_index()
-    if table.empty or not table.loc[-1].all():
-        return WordScores(np.full(WORDS, -drift, np.float32))
-    (n0, n1), table = table.loc[-1], table.drop(index=-1)
-    clean, toxic = np.zeros(WORDS), np.zeros(WORDS)
-    clean[table.index], toxic[table.index] = table["clean"], table["toxic"]
-    alpha = prior * (clean + toxic) + 1e-9
-    y1, y0, n1, n0 = toxic + alpha, clean + alpha, n1 + prior * (n0 + n1), n0 + prior * (n0 + n1)
-    odds = np.log(y1 / np.maximum(n1 - y1, 0.5)) - np.log(y0 / np.maximum(n0 - y0, 0.5))
-    scores = (odds - caution * np.sqrt(1 / y1 + 1 / y0) - drift).clip(-1.0, 8.0).astype(np.float32)
-    model = WordScores(scores)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    rows = rows.where("label in (0, 1)").select("text", "label", F.lit(0).alias("fold"))
+    documents, counts = _counted(rows)
+    return _with_extremes(rows, _log_odds(documents.sum(axis=0), counts.sum(axis=0), prior, caution, drift))
+
+
+def _with_extremes(rows: DataFrame, scores: np.ndarray) -> WordScores:
+    """The model of ``scores`` with the extreme-value constants of the clean texts of ``rows``."""
+    sent = rows.sparkSession.sparkContext.broadcast(WordScores(scores))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, segments = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
@@ -123,7 +142,7 @@ def extreme_level(segments: np.ndarray, decay: float, words: int) -> float:
     greatest that the share TAIL of them reach: few mislabelled texts lie beyond it. Without segments the level is 1 / words.
     """
     reached = np.cumsum(segments[::-1])[::-1]
-    if not reached[0]:
+    if not len(reached) or not reached[0]:
         return 1.0 / max(1, words)
     at = int(np.flatnonzero(reached >= TAIL * reached[0])[-1])
     return float(reached[at] / max(1, words) * np.exp(decay * at / SEGMENT_BINS))
@@ -199,18 +218,23 @@ def toxic_passages(docs: DataFrame, model: WordScores, *, text: str = "text", si
     return stored(found.select("row", "f.*"))
 
 
-def fit(rows: DataFrame, *, key: str = "doc_id") -> tuple[WordScores, list[float]]:
-    """Word scores and the weights of the probability from labelled ``rows`` (key, text, label).
+def fit(rows: DataFrame, *, key: str = "doc_id", prior: float = 0.01, caution: float = 1.0, drift: float = 0.5) -> tuple[WordScores, list[float]]:
+    """Word scores (see ``fit_word_scores``) and the weights of the probability from labelled ``rows`` (key, text, label).
 
     The scores are learned on all rows. The curve is fitted on each part of the rows, by a seeded hash of the key, with
-    figures by the scores that the other parts give, so it does not take words for granted that only one text has.
+    figures by the scores that the other parts give, so it does not take words for granted that only one text has. One
+    pass counts all parts; each part's scores come from the sums without its own counts.
     """
-    rows = stored(rows.where("label in (0, 1)").select(F.pmod(F.xxhash64(F.lit(5), F.col(quoted(key))), F.lit(FOLDS)).alias("fold"), "text", "label"))
-    seen = None
+    part = F.pmod(F.xxhash64(F.lit(5), F.col(quoted(key))), F.lit(FOLDS)).cast("int")
+    rows = stored(rows.where("label in (0, 1)").select(part.alias("fold"), "text", "label"))
+    documents, counts = _counted(rows)
+    all_documents, all_counts, seen = documents.sum(axis=0), counts.sum(axis=0), None
+    model = _with_extremes(rows, _log_odds(all_documents, all_counts, prior, caution, drift))
     for fold in range(FOLDS):
-        found = toxic_passages(rows.where(F.col("fold") == fold), fit_word_scores(rows.where(F.col("fold") != fold)))
+        others = _log_odds(all_documents - documents[fold], all_counts - counts[fold], prior, caution, drift)
+        found = toxic_passages(rows.where(F.col("fold") == fold), WordScores(others, model.decay, model.level))
         seen = found if seen is None else seen.unionByName(found)
-    return fit_word_scores(rows), fit_probability(seen.withColumn("label", F.col("row.label")))
+    return model, fit_probability(seen.withColumn("label", F.col("row.label")))
 
 
 def fit_probability(rows: DataFrame, *, steps: int = 30) -> list[float]:
