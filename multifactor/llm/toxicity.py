@@ -25,8 +25,8 @@ BINS = 901
 SEGMENT_BINS, TAIL = 8, 0.01
 #: Parts of the labelled rows: the curve is fitted on figures of rows that the word scores have not seen.
 FOLDS = 3
-#: Bytes of text that are worked on at once.
-CHUNK = 1 << 20
+#: Bytes of text that are worked on at once, and slots that a task hands over at once.
+CHUNK, PIECE = 1 << 20, 1 << 16
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -47,20 +47,23 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             of_kind = kind[a:b][once // WORDS]
             for k in set(of_kind.tolist()):
                 counts[k] += np.bincount(once[of_kind == k] % WORDS, minlength=WORDS).astype(np.int32)
+    yield pd.DataFrame({"slot": np.array([-1], np.int32)} | {f"n{k}": documents[k : k + 1] for k in range(kinds)})
     at = np.flatnonzero(counts.any(axis=0))
-    yield pd.DataFrame({"slot": np.concatenate([[-1], at]).astype("int32")} | {f"n{k}": np.concatenate([documents[k : k + 1], counts[k, at]]) for k in range(kinds)})
+    for i in range(0, len(at), PIECE):
+        some = at[i : i + PIECE]
+        yield pd.DataFrame({"slot": some.astype(np.int32)} | {f"n{k}": counts[k, some].astype(np.int64) for k in range(kinds)})
 
 
 def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents (part, label) and documents with each slot (part, label, slot) of ``rows`` (text, label, fold); one row a slot reaches the driver."""
     kinds = [f"n{k}" for k in range(2 * FOLDS)]
     sums = rows.select("text", F.col("label").cast("int").alias("label"), F.col("fold").cast("int").alias("fold")).mapInPandas(_count, f"slot int, {', '.join(f'{n} long' for n in kinds)}")
-    table = sums.groupBy("slot").agg(*[F.sum(n).alias(n) for n in kinds]).toArrow().to_pandas().set_index("slot").sort_index()
-    counts = np.zeros((2 * FOLDS, WORDS))
-    if table.empty:
-        return np.zeros((FOLDS, 2)), counts.reshape(FOLDS, 2, WORDS)
-    documents, table = table.loc[-1].to_numpy(float), table.drop(index=-1)
-    counts[:, table.index] = table.to_numpy(float).T
+    table = sums.groupBy("slot").agg(*[F.sum(n).alias(n) for n in kinds]).toArrow()
+    slot, documents, counts = table["slot"].to_numpy(), np.zeros(2 * FOLDS), np.zeros((2 * FOLDS, WORDS))
+    for k, n in enumerate(kinds):
+        found = table[n].to_numpy()
+        documents[k] = found[slot < 0].sum()
+        counts[k, slot[slot >= 0]] = found[slot >= 0]
     return documents.reshape(FOLDS, 2), counts.reshape(FOLDS, 2, WORDS)
 
 
