@@ -58,8 +58,8 @@ def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents (part, label) and documents with each slot (part, label, slot) of ``rows`` (text, label, fold); one row a slot reaches the driver."""
     kinds = [f"n{k}" for k in range(2 * FOLDS)]
     sums = rows.select("text", F.col("label").cast("int").alias("label"), F.col("fold").cast("int").alias("fold")).mapInPandas(_count, f"slot int, {', '.join(f'{n} long' for n in kinds)}")
-    table = sums.groupBy("slot").agg(*[F.sum(n).alias(n) for n in kinds]).toArrow()
-    slot, documents, counts = table["slot"].to_numpy(), np.zeros(2 * FOLDS), np.zeros((2 * FOLDS, WORDS))
+    table = sums.groupBy("slot").agg(*[F.sum(n).cast("int").alias(n) for n in kinds]).toArrow()
+    slot, documents, counts = table["slot"].to_numpy(), np.zeros(2 * FOLDS), np.zeros((2 * FOLDS, WORDS), np.int32)
     for k, n in enumerate(kinds):
         found = table[n].to_numpy()
         documents[k] = found[slot < 0].sum()
