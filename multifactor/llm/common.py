@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 #: Words are runs of anything but space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +43,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "nth") -> DataFrame:
+    """``df`` with ``name``, each row's rank from 0 by ``order``: dealt by range and counted by part, so no task holds all.
+
+    Rows that are equal in ``order`` are ranked among themselves in any order, and meet in one task.
+    """
+    spare = free_names(["part", "past", "inner"], df.columns)
+    part, past, inner = spare["part"], spare["past"], spare["inner"]
+    dealt = stored(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # one row for each partition
+    parts = dealt.groupBy(part).agg(F.count("*").alias("m")).select(part, F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias(past))
+    inside = F.row_number().over(W.partitionBy(part).orderBy(*order)) - 1
+    ranked = dealt.withColumn(inner, inside).join(F.broadcast(parts), part)
+    return ranked.select(*[F.col(quoted(c)) for c in df.columns], (F.col(past) + F.col(inner)).alias(name))
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """True where crc32 of the id as text leaves ``part`` modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part

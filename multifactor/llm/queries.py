@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from multifactor.llm import decontamination, language, lines, mixing, pii, quality, sharding, simhash, topk, toxicity
+from multifactor.llm import decontamination, language, lines, mixing, pii, quality, resample, sharding, simhash, topk, toxicity
 from multifactor.llm.common import bounded_labels, held_out, read_table
 
 SHARDS = 40
@@ -104,6 +104,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance for the benchmark's distribution of words, and the tenth that is drawn."""
+    found = resample.resampling_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank", "n_words")
+
+
 _OP3_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
@@ -147,12 +153,58 @@ from split_up d left join by_doc b on d.doc_id = b.doc_id
 """
 
 
+#: CRC-32 in SQL: a table of bytes' remainders, and a fold over a text's UTF-8 bytes (``crc(h)`` takes their hex digits).
+_CRC_SQL = """
+crc_table as (
+  select list(r order by n) as entries from (
+    select n, list_reduce(list_concat([n], range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as r from (select unnest(range(256)) as n)
+  )
+)
+"""
+
+
+def _crc(words: str, name: str, word: str) -> str:
+    """SQL of ``word`` and ``crc`` for the distinct values of ``word`` in the table ``words``, under ``name``."""
+    return f"""
+{name} as (
+  select {word}, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, len(hex(encode({word}))), 2), lambda i: cast('0x' || substr(hex(encode({word})), i, 2) as bigint))),
+    lambda c, b: xor(c // 256, entries[xor(c % 256, b) + 1]))) as crc
+  from (select distinct {word} from {words}), crc_table
+)"""
+
+
+_OP11_SQL = f"""
+with {_CRC_SQL}, texts as (
+  select doc_id, true as source, text from documents union all select item_id, false, text from benchmark
+), words as (
+  select doc_id, source, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as word from texts
+), {_crc("words", "crcs", "word")}, counted as (
+  select doc_id, source, crc % 10000 as bucket, count(*) as n from words join crcs using (word) group by all
+), buckets as (
+  select bucket, coalesce(sum(n) filter (where source), 0) as s, coalesce(sum(n) filter (where not source), 0) as t from counted group by bucket
+), totals as (
+  select coalesce(sum(s), 0) as s_all, coalesce(sum(t), 0) as t_all from buckets
+), gains as (
+  select bucket, floor(1000 * ln(cast((t + 1) * (s_all + 10000) as double) / cast((s + 1) * (t_all + 10000) as double))) as gain from buckets, totals
+), weights as (
+  select doc_id, sum(n) as n_features, sum(n * gain) as weight from counted join gains using (bucket) where source group by doc_id
+), scored as (
+  select d.doc_id, cast(coalesce(n_features, 0) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+    cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) as bigint) + 0.5) / cast(4294967296 as double)))) as bigint) as score
+  from documents d left join weights w on d.doc_id = w.doc_id
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as r, count(*) over () as m from scored where n_features >= 20
+)
+select s.*, case when r <= 10 * m // 100 then r end as rank, n_features as n_words from scored s left join ranked r on s.doc_id = r.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten operators' queries by name."""
-    found = (op1_sharding, op2_pii, op3_top_k, op4_toxicity, op5_quality, op6_simhash, op7_mixing, op8_lines, op9_language, op10_decontamination)
+    """The operators' queries by name."""
+    found = (op1_sharding, op2_pii, op3_top_k, op4_toxicity, op5_quality, op6_simhash, op7_mixing, op8_lines, op9_language, op10_decontamination, op11_resampling)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express."""
-    return {"op3_top_k": _OP3_SQL, "op8_lines": _OP8_SQL}
+    return {"op3_top_k": _OP3_SQL, "op8_lines": _OP8_SQL, "op11_resampling": _OP11_SQL}
