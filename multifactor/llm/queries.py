@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from multifactor.llm import decontamination, language, lines, mixing, pii, quality, resample, sharding, simhash, topk, toxicity
+from multifactor.llm import decontamination, language, lines, mixing, pagetext, pii, quality, resample, sharding, simhash, topk, toxicity
 from multifactor.llm.common import bounded_labels, held_out, read_table
 
 SHARDS = 40
@@ -110,6 +110,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank", "n_words")
 
 
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return pagetext.extracted(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 _OP3_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
@@ -201,7 +206,7 @@ select s.*, case when r <= 10 * m // 100 then r end as rank, n_features as n_wor
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    found = (op1_sharding, op2_pii, op3_top_k, op4_toxicity, op5_quality, op6_simhash, op7_mixing, op8_lines, op9_language, op10_decontamination, op11_resampling)
+    found = (op1_sharding, op2_pii, op3_top_k, op4_toxicity, op5_quality, op6_simhash, op7_mixing, op8_lines, op9_language, op10_decontamination, op11_resampling, op13_page_text)
     return {f.__name__: f for f in found}
 
 
