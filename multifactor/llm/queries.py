@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from multifactor.llm import decontamination, language, lines, mixing, pagetext, pii, quality, resample, sharding, simhash, topk, toxicity
+from multifactor.llm import decontamination, language, lines, mixing, pagetext, pii, quality, resample, sharding, simhash, topk, toxicity, trie
 from multifactor.llm.common import bounded_labels, held_out, read_table
 
 SHARDS = 40
@@ -110,6 +110,15 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank", "n_words")
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations."""
+    nodes = trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+    return nodes.select(
+        F.col("conv").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), "ends_sha256",
+    )
+
+
 def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
     return pagetext.extracted(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -204,12 +213,48 @@ select s.*, case when r <= 10 * m // 100 then r end as rank, n_features as n_wor
 """
 
 
+_OP12_SQL = f"""
+with {_CRC_SQL}, said as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as pos
+  from conversations where conv_id is not null
+), ids as (
+  select distinct conv_id, cast(conv_id as varchar) as word from said
+), {_crc("ids", "crcs", "word")}, headed as (
+  select conv_id, crc % 6 as h from ids join crcs using (word)
+), parts as (
+  select i.conv_id, 0 as own, s.pos, s.role, s.text from headed i join said s on s.conv_id = i.conv_id - i.conv_id % 100 and s.pos <= i.h
+  union all
+  select i.conv_id, 1, s.pos, s.role, s.text from headed i join said s on s.conv_id = i.conv_id and s.pos > i.h
+), rebuilt as (
+  select conv_id, row_number() over (partition by conv_id order by own, pos) as depth, md5(concat(length(role), ':', role, text)) as mark, length(text) as size from parts
+), places as (
+  select conv_id, depth, string_agg(mark, '') over (partition by conv_id order by depth rows unbounded preceding) as path, size from rebuilt
+  union all select conv_id, 0, '', 0 from ids
+), lasts as (
+  select conv_id, max(depth) as last from places group by conv_id
+), nodes as (
+  select depth, path, min(conv_id) as conv_id, count(*) as n_convs, max(size) as size, case when depth > 0 then substr(path, 1, length(path) - 32) end as up from places group by depth, path
+), ends as (
+  select depth, path, string_agg(conv_id, ',' order by conv_id) as ids from places join lasts using (conv_id) where depth = last group by depth, path
+), children as (
+  select up as path, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by up, depth
+), full_nodes as (
+  select n.*, coalesce(c.n_children, 0) as n_children from nodes n left join children c on n.path = c.path and n.depth = c.depth
+), below as (
+  select p.depth, p.path, sum((n.n_convs - 1) * n.size) as saved, count(*) filter (where n.n_children = 0) as leaves
+  from full_nodes n join places p on p.conv_id = n.conv_id and p.depth <= n.depth group by p.depth, p.path
+)
+select n.conv_id, n.depth, u.conv_id as parent_conv_id, n.n_convs, n.n_children, cast(b.leaves as bigint) as n_leaves, cast(b.saved as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from full_nodes n join below b on n.path = b.path and n.depth = b.depth left join full_nodes u on u.path = n.up and u.depth = n.depth - 1 left join ends e on e.path = n.path and e.depth = n.depth
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries by name."""
-    found = (op1_sharding, op2_pii, op3_top_k, op4_toxicity, op5_quality, op6_simhash, op7_mixing, op8_lines, op9_language, op10_decontamination, op11_resampling, op13_page_text)
+    found = (op1_sharding, op2_pii, op3_top_k, op4_toxicity, op5_quality, op6_simhash, op7_mixing, op8_lines, op9_language, op10_decontamination, op11_resampling, op12_trie, op13_page_text)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express."""
-    return {"op3_top_k": _OP3_SQL, "op8_lines": _OP8_SQL, "op11_resampling": _OP11_SQL}
+    return {"op3_top_k": _OP3_SQL, "op8_lines": _OP8_SQL, "op11_resampling": _OP11_SQL, "op12_trie": _OP12_SQL}
