@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from multifactor.functions import columns as C
 from multifactor.functions import distributions as D
 from multifactor.functions.columns import col
-from multifactor.operators.quantiles import cumulative_counts, group_quantiles, ranked_counts
+from multifactor.operators.quantiles import group_quantiles, value_ranks, with_ranks
+from multifactor.operators.storage import stored
 
 
 def pairwise_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -24,32 +25,38 @@ def pairwise_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(a, b, float(r)) for (a, b), r in zip(pairs, row, strict=True)], "a string, b string, r double")
 
 
+def _ranks(rows: DataFrame, values: Sequence[Column]) -> tuple[DataFrame, int]:
+    """Ranks of the distinct values of several columns of one type, counted in one pass, and the most rows of a column."""
+    long = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), v.alias("_v")) for i, v in enumerate(values)])).alias("x")
+    return value_ranks(rows.select(long).where("x._v is not null").groupBy("x").agg(F.count("*").alias("_n")).select("x._c", "x._v", "_n"))
+
+
 def average_ranks(df: DataFrame, names: Sequence[str], suffix: str = "_rank") -> DataFrame:
     """``df`` with the average rank of each column's values (null for null).
 
-    Ranks come from counts of distinct values summed over sorted ranges, not from one window over all rows; rows then
-    meet their value's rank by key.
+    Columns of one type are ranked together from counts of distinct values; rows then meet their value's rank, those of
+    frequent values without moving.
     """
-    out = df
-    for name in names:
-        ranked = cumulative_counts(df, col(name)).select("_v", (F.col("_past") + (F.col("_n") + 1) / 2).cast("double").alias(name + suffix))
-        out = out.join(ranked, col(name) == F.col("_v"), "left").drop("_v")
+    out, kinds = df, dict(df.dtypes)
+    for kind in dict.fromkeys(kinds[n] for n in names):
+        chosen = [n for n in names if kinds[n] == kind]
+        ranks, total = _ranks(df, [col(n) for n in chosen])
+        out = with_ranks(out, ranks, {n + suffix: (i, col(n)) for i, n in enumerate(chosen)}, total)
     return out
 
 
 def spearman(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(a, b, r): Pearson correlations of average ranks, over rows with all of ``names``; 0 where one is constant.
 
-    Rows are counted by their values first, and each column's values are ranked in that table: no row is joined to its
-    rank. Ranks are centred at their known mean, so one aggregation gives all pairs.
+    All columns are ranked in one pass over counts of distinct values. Rows of frequent values meet their ranks without
+    moving, the others by key. Ranks are centred at their known mean, so one aggregation gives all pairs.
     """
-    ranked = df.dropna(subset=list(names)).groupBy(*[col(n).alias(f"x{i}") for i, n in enumerate(names)]).agg(F.count("*").alias("_n"))
-    for i in range(len(names)):
-        ranked = ranked_counts(ranked.withColumn("_v", F.col(f"x{i}").cast("double"))).withColumn(f"x{i}", F.col("_rank")).drop("_v", "_same", "_rank")
-    n = ranked.agg(F.sum("_n")).first()[0] or 0
+    rows = df.dropna(subset=list(names)).select(*[col(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    ranks, n = _ranks(rows, [F.col(f"x{i}") for i in range(len(names))])
+    ranked = with_ranks(rows, ranks, {f"r{i}": (i, F.col(f"x{i}")) for i in range(len(names))}, n)
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    centred = [F.col(f"x{i}") - F.lit((n + 1) / 2) for i in range(len(names))]
-    row = ranked.agg(*[F.coalesce(F.sum(F.col("_n") * centred[i] * centred[j]), F.lit(0.0)) for i, j in pairs]).first()
+    centred = [F.col(f"r{i}") - F.lit((n + 1) / 2) for i in range(len(names))]
+    row = ranked.agg(*[F.coalesce(F.sum(centred[i] * centred[j]), F.lit(0.0)) for i, j in pairs]).first()
     s = dict(zip(pairs, row, strict=True))
     r = lambda i, j: float(s[i, j] / math.sqrt(s[i, i] * s[j, j])) if s[i, i] > 0 and s[j, j] > 0 else 0.0
     return df.sparkSession.createDataFrame([(names[i], names[j], r(i, j)) for i, j in pairs if i < j], "a string, b string, r double")
@@ -79,16 +86,22 @@ def anova_figures(ssb: float, ssw: float, groups: int, n: int) -> dict[str, floa
 def kruskal(df: DataFrame, value: str, group: str) -> dict[str, float] | None:
     """Kruskal-Wallis with average ranks and tie correction; None with fewer than two groups or three values.
 
-    Rows are counted by value and group first; distinct values are ranked, and no row is joined to its rank.
+    Rows are counted by value and group first, and values are ranked by their counts. Counts of a value that many groups
+    have meet its rank without moving, the others by key.
     """
     rows = df.where(col(value).isNotNull() & col(group).isNotNull()).groupBy(col(value).cast("double").alias("_v"), col(group).alias("g")).agg(F.count("*").alias("_n"))
-    n, same = F.col("_n").cast("double"), F.col("_same").cast("double")
-    sums = ranked_counts(rows).groupBy("g").agg(F.sum("_n").alias("n"), F.sum(n * F.col("_rank")).alias("s"), F.sum(n * (same * same - 1)).alias("t"))
-    r = sums.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("t").alias("t")).first()
+    rows = stored(rows)
+    values = rows.groupBy(F.lit(0).alias("_c"), "_v").agg(F.sum("_n").alias("_n"), F.count("*").alias("_m"))
+    ranks, total = value_ranks(values, "_m")
+    ranks = ranks.withColumn("_tie", F.col("_n").cast("double") * (F.col("_n").cast("double") * F.col("_n") - 1))
+    ranked = with_ranks(rows, ranks, {"_rank": (0, F.col("_v"))}, total, "_m")
+    sums = ranked.groupBy("g").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_rank")).alias("s"))
+    ties = ranks.agg(F.coalesce(F.sum("_tie"), F.lit(0.0))).first()[0]
+    r = sums.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q")).first()
     if not r.g or r.g < 2 or r.n < 3:
         return None
     h = 12 / (r.n * (r.n + 1)) * r.q - 3 * (r.n + 1)
-    correction = 1 - r.t / (r.n**3 - r.n)
+    correction = 1 - ties / (r.n**3 - r.n)
     h = h / correction if correction > 0 else 0.0
     return {"H": h, "df": r.g - 1, "p": D.chi2_tail(h, r.g - 1)}
 
@@ -144,13 +157,27 @@ def chi2_of(table: DataFrame) -> dict[str, float]:
 
 
 def cramer(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(a, b, v): Cramer's V of each pair of categorical columns, 0 where degenerate."""
+    """(a, b, v): Cramer's V of each pair of categorical columns over rows with both, 0 where degenerate.
+
+    One pass counts the filled cells of all pairs, combined in each task; margins are grouping sets of these counts, and
+    one job returns a row for each pair.
+    """
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, v double")
+    label = [col(n).cast("string") for n in names]
+    both = F.explode(F.array(*[F.when(label[i].isNotNull() & label[j].isNotNull(), F.struct(F.lit(k).alias("pair"), label[i].alias("a"), label[j].alias("b"))) for k, (i, j) in enumerate(pairs)])).alias("x")
+    counts = stored(df.select(both).where("x is not null").groupBy("x").agg(F.count("*").alias("n")).select("x.*", "n"))
+    margins = counts.groupingSets([["pair", "a"], ["pair", "b"]], "pair", "a", "b").agg(F.grouping("a").alias("of_b"), F.sum("n").alias("m"))
+    rows, cols = margins.where("of_b = 0").select("pair", "a", F.col("m").alias("row_n")), margins.where("of_b = 1").select("pair", "b", F.col("m").alias("col_n"))
+    cell = F.col("n").cast("double")
+    parts = counts.join(rows, ["pair", "a"]).join(cols, ["pair", "b"]).groupBy("pair").agg(F.sum(cell * cell / (F.col("row_n").cast("double") * F.col("col_n"))).alias("parts"))
+    levels = margins.groupBy("pair").agg(F.count_if(F.col("of_b") == 0).alias("rows"), F.count_if(F.col("of_b") == 1).alias("cols"))
+    held = {r.pair: r for r in parts.join(levels, "pair").collect()}
     out = []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            f = chi2_of(contingency(df, a, b))
-            m = min(f["rows"], f["cols"]) - 1
-            out.append((a, b, math.sqrt(f["chi2"] / (f["n"] * m)) if m > 0 and f["n"] else 0.0))
+    for k, (i, j) in enumerate(pairs):
+        m = min(held[k].rows, held[k].cols) - 1 if k in held else 0
+        out.append((names[i], names[j], math.sqrt(max(0.0, held[k].parts - 1) / m) if m > 0 else 0.0))
     return df.sparkSession.createDataFrame(out, "a string, b string, v double")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,36 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     return Moments(row[0], *table.T)
 
 
+def matrix_of_arrays(column: pa.Array, width: int) -> np.ndarray:
+    """A column of arrays of ``width`` numbers as the rows of a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def gram_of_rows(rows: DataFrame, width: int) -> np.ndarray:
+    """X'X of ``rows``' one column, arrays of ``width`` numbers: a matrix from each task, its lines added up by line."""
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            x = matrix_of_arrays(batch.column(0), width)
+            total += x.T @ x
+        yield pa.RecordBatch.from_pydict({"i": np.arange(width, dtype=np.int32), "line": [*total]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, line in zip(batch.column(0).to_pylist(), matrix_of_arrays(batch.column(1), width), strict=True):
+                total[i] = total[i] + line if i in total else line
+        yield pa.RecordBatch.from_pydict({"i": pa.array(list(total), pa.int32()), "line": pa.array(list(total.values()), pa.list_(pa.float64()))})
+
+    schema = "i int, line array<double>"
+    out = np.zeros((width, width))
+    for r in rows.mapInArrow(inside, schema).repartition("i").mapInArrow(add, schema).collect():
+        out[r.i] = r.line
+    return (out + out.T) / 2
+
+
 def gram(df: DataFrame, coded: Sequence[Column], centre: Sequence[float], weight: Column | None = None) -> tuple[np.ndarray, float]:
     """Sum of w (x - c)(x - c)' over all rows, and the sum of w (rows without weights).
 
@@ -51,19 +81,9 @@ def gram(df: DataFrame, coded: Sequence[Column], centre: Sequence[float], weight
             out[i, j] = out[j, i] = v or 0.0
         return out, row[0] or 0.0
 
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, total = np.zeros((p, p)), 0.0
-        for batch in batches:
-            m = batch.to_numpy(np.float64)
-            held += (m[:, 1:] * m[:, :1]).T @ m[:, 1:]
-            total += m[:, 0].sum()
-        yield pd.DataFrame({"i": np.arange(p + 1), "line": [*held, np.array([total])]})
-
-    parts = rows.mapInPandas(block, "i int, line array<double>").select("i", F.posexplode("line").alias("j", "v"))
-    summed = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros((p + 1, p + 1))
-    out[summed["i"], summed["j"]] = summed["v"]
-    return out[:p, :p], float(out[p, 0])
+    root = F.sqrt("w")
+    out = gram_of_rows(rows.select(F.array(root, *[root * F.col(f"x{i}") for i in range(p)])), p + 1)
+    return out[1:, 1:], float(out[0, 0])
 
 
 def projection(coded: Sequence[Column], centre: Sequence[float], vectors: np.ndarray, prefix: str) -> list[Column]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from multifactor.operators.storage import stored
+
 #: Up to so many rows Spark's exact percentile, which holds a column's distinct values, is used in one aggregation.
 IN_ONE_AGGREGATION = 5_000_000
 
@@ -38,17 +40,42 @@ def cumulative_counts(df: DataFrame, x: Column, group: Column | None = None) ->
     return summed.select(*keys, "_v", "_n", (F.col("_before") + F.col("_in")).alias("_past"))
 
 
-def ranked_counts(counts: DataFrame) -> DataFrame:
-    """``counts`` (_v, _n and other columns) with ``_same``, the rows of equal value, and ``_rank``, their average rank.
+def value_ranks(counts: DataFrame, met: str = "_n") -> tuple[DataFrame, int]:
+    """``counts`` (_c: a number for each column, _v: its distinct values, _n: rows of a value) with ``_rank``, the average rank.
+
+    Also the largest sum of ``met`` over a column's values.
 
-    Rows are counted in ``_n``: a table of distinct values and groups is ranked without going back to its rows.
+    All columns are ranked together: values are dealt by range of (column, value), and sums over parts and inside each
+    part give the rest. A value is one row however often it occurs, so parts hold as many rows as one another.
     """
-    dealt = _in_cells(counts)
-    before = dealt.groupBy("_cell").agg(F.sum("_n").alias("_m"))
-    before = before.select("_cell", F.coalesce(F.sum("_m").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    upto = W.partitionBy("_cell").orderBy("_v").rangeBetween(W.unboundedPreceding, W.currentRow)
-    summed = dealt.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_same", F.sum("_n").over(W.partitionBy("_cell", "_v"))).join(F.broadcast(before), "_cell")
-    return summed.select(*counts.columns, "_same", (F.col("_before") + F.col("_upto") - (F.col("_same") - 1) / 2).alias("_rank"))
+    dealt = stored(counts.repartitionByRange("_c", "_v").withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy("_c", "_part").agg(F.sum("_n").alias("_m"))
+    before = before.select("_c", "_part", F.coalesce(F.sum("_m").over(W.partitionBy("_c").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_n").over(W.partitionBy("_part", "_c").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = dealt.withColumn("_in", inside).join(F.broadcast(before), ["_c", "_part"])  # a row for each part and column at most
+    total = dealt.groupBy("_c").agg(F.sum(met).alias("m")).agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
+    return ranked.select(*counts.columns, (F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2).alias("_rank")), total
+
+
+def with_ranks(rows: DataFrame, ranks: DataFrame, columns: Mapping[str, tuple[int, Column]], total: int, met: str = "_n") -> DataFrame:
+    """``rows`` with a column for each of ``columns`` (its number in ``ranks`` and its values): the rank of the value, null for null.
+
+    Values of at least a quarter of a task's share of the ``total`` rows (``met`` holds a value's rows here) are few: they
+    are broadcast. Rows of the others meet their rank by key, and none of those keys is frequent.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bar = max(1.0, total / (4 * max(1, parts)))
+    out = rows
+    for name, (number, value) in columns.items():
+        one = ranks.where(F.col("_c") == number)
+        heavy = one.where(F.col(met) >= bar).select(F.col("_v").alias("_hv"), F.col("_rank").alias("_hr"))  # 4 values a task at most
+        light = one.where(F.col(met) < bar).select(F.col("_v").alias("_lv"), F.lit(0).cast("long").alias("_ls"), F.col("_rank").alias("_lr"))
+        out = out.withColumn("_x", value).join(F.broadcast(heavy), F.col("_x") == F.col("_hv"), "left")
+        alone = F.col("_x").isNull() | F.col("_hr").isNotNull()  # these rows match nothing below, and are dealt out by number
+        out = out.withColumn("_key", F.when(~alone, F.col("_x"))).withColumn("_salt", F.when(alone, F.monotonically_increasing_id()).otherwise(0))
+        out = out.join(light, (F.col("_key") == F.col("_lv")) & (F.col("_salt") == F.col("_ls")), "left")
+        out = out.withColumn(name, F.coalesce("_hr", "_lr")).drop("_x", "_hv", "_hr", "_key", "_salt", "_lv", "_ls", "_lr")
+    return out
 
 
 def group_quantiles(df: DataFrame, x: Column, group: Column, probabilities: Sequence[float]) -> DataFrame:

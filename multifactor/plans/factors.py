@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from multifactor.functions.columns import col
-from multifactor.operators import cluster, correspondence, describe, factor_maps, inference, methods, mixed, moments, profile, recommend, retention, rotation
+from multifactor.operators import cluster, correspondence, describe, factor_maps, inference, methods, mixed, moments, profile, recommend, retention, rotation, wide
 from multifactor.operators.pca import correlation_pca, pca, standardised
 from multifactor.plans.common import MEASURES, MEASURES_SQL, as_rows, measures, rounded, table
 
@@ -173,6 +173,34 @@ def mca_adjusted_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(as_rows(spark, "threshold double, benzecri double, benzecri_share double, greenacre_inertia double, greenacre_share double", [tuple(float(x) for x in row)]), 6)
 
 
+# a table of any number of customers by three states: the squared singular values add up to the trace less 1, their squares to the sum of squares less 1
+_WIDE = """t as (select o_custkey a, o_orderstatus b, cast(count(*) as double) n from orders group by 1, 2), ra as (select a, sum(n) x from t group by 1), rb as (select b, sum(n) y from t group by 1),
+  m as (select t.b, u.b as c, sum(t.n * u.n / x) / sqrt(v.y * w.y) as e, v.y, w.y as z from t join t u on t.a = u.a join ra on ra.a = t.a join rb v on v.b = t.b join rb w on w.b = u.b group by 1, 2, 4, 5),
+  s as (select sum(case when b = c then e else 0 end) - 1 as s1, sum(e * e) - 1 as s2 from m), j as (select (select count(*) from ra) as rows, (select count(*) from rb) as cols, (select sum(n) from t) as n),
+  mu as (select k, (s1 + case k when 1 then 1 else -1 end * sqrt(greatest(2 * s2 - s1 * s1, 0))) / 2 as mu, s1 from s, (values (1), (2)) x(k))"""
+
+
+@query(f"""with {_WIDE}, v as (select k, (1 + sqrt(mu)) / 2 as v from mu union all select 3, 0.5 union all select 4, 0.5)
+  select cast(k as integer) as axis, round(v, 7) as eigenvalue, round(v / ((rows + cols) / 2.0 - 1), 9) as share, cast(rows + cols as bigint) as levels, round(v, 6) as variance_of_rows from v, j""")
+def mca_wide_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading axes of the multiple correspondence analysis of customers and states, with a level for each customer."""
+    orders = table(spark, sf_dir, "orders")
+    found = wide.wide_mca(orders, ["o_custkey", "o_orderstatus"], 4)
+    rows = found.rows(orders, keep=["o_orderkey"]).agg(*[F.avg(F.pow(F.col(f"F{i + 1}"), F.lit(2))) for i in range(4)]).first()
+    out = [(r.axis, round(r.eigenvalue, 7), round(r.share, 9), found.n_levels, round(float(v), 6)) for r, v in zip(found.axes(spark).collect(), rows, strict=True)]
+    return as_rows(spark, "axis int, eigenvalue double, share double, levels long, variance_of_rows double", out)
+
+
+@query(f"""with {_WIDE} select cast(k as integer) as axis, round(mu, 7) as eigenvalue, round(mu / s1, 6) as share, round(s1 * n, 3) as chi2, round(mu, 6) as variance_of_rows, round(mu, 6) as variance_of_cols from mu, j""")
+def ca_wide_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correspondence analysis of customers by states, both in Spark: axes, and the variance of both sides' points on them."""
+    found = wide.wide_correspondence(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", 2)
+    points = found.points.groupBy("side").agg(*[F.sum(F.col("mass") * F.pow(F.element_at("x", i + 1), F.lit(2))).alias(f"v{i}") for i in range(2)])
+    variance = {r.side: r for r in points.collect()}
+    out = [(r.axis, round(r.eigenvalue, 7), round(r.share, 6), round(found.chi2, 3), *[round(float(variance[s][f"v{r.axis - 1}"]), 6) for s in ("row", "col")]) for r in found.axes(spark).collect()]
+    return as_rows(spark, "axis int, eigenvalue double, share double, chi2 double, variance_of_rows double, variance_of_cols double", out)
+
+
 @query("""with g as (select avg(case when l_quantity > 25 then 1.0 else 0 end) p, corr(l_extendedprice, case when l_quantity > 25 then 1.0 else 0 end) r from lineitem)
   select cast(k as integer) as axis, round(1 + case k when 1 then abs(r) else -abs(r) end, 6) as eigenvalue, round((1 + case k when 1 then abs(r) else -abs(r) end) / 2, 6) as squared from g, (values (1), (2)) x(k)""")
 def famd_axes_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,8 @@ from multifactor.functions import columns as C
 from multifactor.functions import distributions as D
 from multifactor.functions.columns import col
 from multifactor.operators import adequacy, inference, prepare, profile
-from multifactor.plans.common import MEASURES, MEASURES_SQL, as_rows, measures, rounded, scratch_dir, table
+from multifactor.operators.storage import new_path
+from multifactor.plans.common import MEASURES, MEASURES_SQL, as_rows, measures, rounded, table
 from multifactor.sources.delimited import is_missing, read_delimited, to_number
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -256,6 +255,29 @@ def chi_square_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_rows(spark, "chi2 double, df long, inertia double, least_expected double, low_cells long, cramer double, p double", [(round(f["chi2"], 5), f["df"], round(f["inertia"], 8), round(f["least_expected"], 5), f["low_cells"], round(v, 7), round(f["p"], 6))])
 
 
+_FLAGS_SQL = "f as (select l_returnflag, l_linestatus, case when l_quantity > 25 then 'many' else 'few' end as amount, cast(l_discount as varchar) as discount from lineitem)"
+_FLAGS = ["l_returnflag", "l_linestatus", "amount", "discount"]
+_PAIR_SQL = """select '{a}' as a, '{b}' as b, round(sqrt(greatest(sum(n * cast(n as double) / (x * cast(y as double))) - 1, 0) / (least(count(distinct a), count(distinct b)) - 1)), 6) + 0.0 as v
+  from (select *, sum(n) over (partition by a) as x, sum(n) over (partition by b) as y from (select {a} as a, {b} as b, count(*) as n from f group by 1, 2))"""
+
+
+@query(f"with {_FLAGS_SQL} " + " union all ".join(_PAIR_SQL.format(a=a, b=b) for i, a in enumerate(_FLAGS) for b in _FLAGS[i + 1 :]))
+def cramer_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cramer's V of all pairs of four labels, from one count of their cells."""
+    amount = F.when(F.col("l_quantity") > 25, "many").otherwise("few")
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", amount.alias("amount"), F.col("l_discount").alias("discount"))
+    return rounded(inference.cramer(rows, _FLAGS))
+
+
+@query("""with f as (select cast(l_returnflag = 'R' as integer) as flag, l_extendedprice as price, l_quantity as quantity from lineitem),
+  r as (select *, rank() over (order by flag) + (count(*) over (partition by flag) - 1) / 2.0 as a, rank() over (order by price) + (count(*) over (partition by price) - 1) / 2.0 as b, rank() over (order by quantity) + (count(*) over (partition by quantity) - 1) / 2.0 as c from f)
+  select 'flag' as a, 'price' as b, round(corr(a, b), 6) + 0.0 as r from r union all select 'flag', 'quantity', round(corr(a, c), 6) + 0.0 from r union all select 'price', 'quantity', round(corr(b, c), 6) + 0.0 from r""")
+def spearman_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlations of a flag, a price and a count: few values beside many."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("flag"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
+    return rounded(inference.spearman(rows, ["flag", "price", "quantity"]))
+
+
 _R3 = f"with {MEASURES_SQL}, r as (select corr(quantity, price) a, corr(quantity, l_discount) b, corr(price, l_discount) c, count(*) n from li), d as (select *, 1 + 2 * a * b * c - a * a - b * b - c * c as det from r)"
 _THREE = ["quantity", "price", "l_discount"]
 
@@ -341,7 +363,7 @@ def delimited_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suppliers written as semicolon-separated text with decimal commas, quotes and missing codes, and read back."""
     rows = table(spark, sf_dir, "supplier")
     comma = F.replace(F.format_string("%.2f", "s_acctbal"), F.lit("."), F.lit(","))
-    path = f"{scratch_dir(spark)}/delimited-{uuid.uuid4().hex}"
+    path = new_path(spark, "delimited")
     text = rows.select("s_suppkey", F.concat(F.lit(" "), F.col("s_name"), F.lit('; "quoted"')).alias("s_name"), comma.alias("s_acctbal"), "s_nationkey", F.when(F.col("s_suppkey") % 3 == 0, "N/A").otherwise("x").alias("note"))
     text.write.csv(path, sep=";", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     back = read_delimited(spark, path)
