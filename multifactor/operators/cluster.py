@@ -1,13 +1,14 @@
 """Hierarchical clustering on factor coordinates: Ward's tree, cutting rules, consolidation and description.
 
-The tree is quadratic in its points. Up to ``MOST_POINTS`` rows it is exact; beyond, Spark reduces the rows to weighted
-prototypes, the tree is built on these (and so is approximate), and consolidation runs over all rows again.
+Up to ``MOST_POINTS`` rows the tree is built at once; beyond, Spark merges mutual neighbours until so many clusters are
+left (``hierarchy``), which gives the same tree. Beyond ``EXACT_ROWS`` rows, unless the exact tree is asked for, it is built on
+weighted prototypes of all rows and so is approximate. Consolidation runs over all rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,9 @@ from pyspark.sql import Window as W
 from multifactor.functions import distributions as D
 from multifactor.functions.columns import col
 from multifactor.operators.describe import category_test_values, test_value
+from multifactor.operators.hierarchy import Forest, silhouettes, ward_forest
 
-MOST_POINTS = 3000
+MOST_POINTS, EXACT_ROWS = 3000, 20_000
 PROTOTYPES = 300
 MOST_EXPRESSIONS = 16
 
@@ -155,23 +157,24 @@ class CutRules:
         return self.jump == self.relative == self.silhouette
 
 
-def cut_rules(points: np.ndarray, tree: Tree, most: int = 10, weights: np.ndarray | None = None, *, relative_decides: bool = False) -> CutRules:
+def cut_rules(points: np.ndarray, tree: Tree, most: int = 10, weights: np.ndarray | None = None, *, widths: Callable[[list[int]], list[float]] | None = None, relative_decides: bool = False) -> CutRules:
     """Largest height jump, largest relative jump and best silhouette over 2..most clusters; the first of equals each.
 
-    Where all three differ the smallest wins, or with ``relative_decides`` the relative rule.
+    Where all three differ the smallest wins, or with ``relative_decides`` the relative rule. ``widths`` gives silhouettes
+    for several numbers of clusters where the points are not all rows.
     """
     most = max(2, min(most, tree.n - 1))
     up = {q: tree.heights[-q + 1] for q in range(2, most + 1)}
     down = {q: tree.heights[-q] if q <= len(tree.heights) else 0.0 for q in range(2, most + 1)}
     jump = max(up, key=lambda q: (up[q] - down[q], -q))
     relative = max(up, key=lambda q: ((up[q] - down[q]) / down[q] if down[q] > 0 else 0.0, -q))
-    widths = [(q, silhouette(points, tree.cut(q), weights)) for q in up]
-    best = max(widths, key=lambda s: (s[1], -s[0]))[0]
+    measured = list(zip(up, widths(list(up)) if widths else [silhouette(points, tree.cut(q), weights) for q in up], strict=True))
+    best = max(measured, key=lambda s: (s[1], -s[0]))[0]
     votes = Counter([jump, relative, best])
     agreed = min(votes, key=lambda q: (-votes[q], q))
     if relative_decides and len(votes) == 3:
         agreed = relative
-    return CutRules(jump, relative, best, agreed, widths)
+    return CutRules(jump, relative, best, agreed, measured)
 
 
 def _distances(axes: Sequence[str], centres: np.ndarray) -> list[Column]:
@@ -298,17 +301,84 @@ def _prototypes(rows: DataFrame, axes: Sequence[str], seed: int) -> tuple[np.nda
     return found[list(axes)].to_numpy(float), found["n"].to_numpy(float) / n
 
 
-def hcpc(rows: DataFrame, axes: Sequence[str] | None = None, q: int | None = None, *, most: int = 10, consolidated: bool = True, seed: int = 42) -> Hcpc:
-    """Cluster rows on their coordinates (five axes at most by default), into q clusters or as the rules agree."""
+@dataclass(frozen=True)
+class Crown:
+    """The upper part of a forest's tree: the tree over its leaves, which are clusters (ids, points, weights) in order of id."""
+
+    tree: Tree
+    ids: np.ndarray
+    points: np.ndarray
+    weights: np.ndarray
+    undone: list[int]
+
+
+def crown(forest: Forest, depth: int) -> Crown:
+    """The tree over a forest's clusters, and below them of what the ``depth`` highest merges of all divide.
+
+    Mutual neighbours may merge early at a great height. Those of the forest's merges that are among the highest are
+    undone; every merge above one of them is higher and so among them too.
+    """
+    left = forest.clusters
+    leaf = {int(r.id): (float(r.w), int(r.n), np.asarray(r.x, float)) for r in left.itertuples()}
+    upper = ward(np.stack(left["x"].to_numpy()), left["w"].to_numpy(float))
+    lower = forest.merges.orderBy(F.desc("height"), F.desc("step")).limit(depth).collect()
+    heights = sorted([*upper.heights.tolist(), *[m.height for m in lower]], reverse=True)
+    bar = heights[min(depth, len(heights)) - 1] if heights else np.inf
+    undone = sorted((m for m in lower if m.height >= bar), key=lambda m: -m.step)
+    for m in undone:
+        leaf[m.keep], leaf[m.gone] = (m.w_k, m.n_k, np.asarray(m.x_k)), (m.w_g, m.n_g, np.asarray(m.x_g))
+    named, joined = left["id"].tolist(), [(m.height, m.step, m.keep, m.gone) for m in undone]
+    for i, ((a, b), h) in enumerate(zip(upper.merges.tolist(), upper.heights.tolist(), strict=True)):
+        joined.append((h, forest.steps + i, *sorted((named[a], named[b]))))
+        named.append(min(named[a], named[b]))
+    ids = sorted(leaf)
+    node, size = {c: i for i, c in enumerate(ids)}, {c: leaf[c][1] for c in ids}
+    merges, sizes = [], []
+    for i, (_, _, keep, gone) in enumerate(sorted(joined)):
+        merges.append(sorted((node[keep], node[gone])))
+        size[keep] += size[gone]
+        sizes.append(size[keep])
+        node[keep] = len(ids) + i
+    tree = Tree(len(ids), np.array(merges, int).reshape(-1, 2), np.array([j[0] for j in sorted(joined)]), np.array(sizes, int))
+    return Crown(tree, np.array(ids), np.stack([leaf[c][2] for c in ids]), np.array([leaf[c][0] for c in ids]), [m.gone for m in undone])
+
+
+def crown_rows(forest: Forest, top: Crown, counts: Sequence[int]) -> DataFrame:
+    """(id, x, g0, g1, ...): every row's point and its cluster when the tree is cut into each of ``counts``."""
+    spark = forest.points.sparkSession
+    cuts = [top.tree.cut(q) for q in counts]
+    labels = spark.createDataFrame([(int(c), *[int(g[i]) for g in cuts]) for i, c in enumerate(top.ids)], "cluster long, " + ", ".join(f"g{i} int" for i in range(len(counts))))
+    undone = spark.createDataFrame([(int(g),) for g in top.undone], "gone long")
+    known = forest.members(undone).join(F.broadcast(labels), "cluster").drop("cluster")  # as many as the crown has leaves
+    return forest.points.join(known, "id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("copy", "n")
+
+
+def hcpc(rows: DataFrame, axes: Sequence[str] | None = None, q: int | None = None, *, most: int = 10, consolidated: bool = True, seed: int = 42, exact: bool | None = None) -> Hcpc:
+    """Cluster rows on their coordinates (five axes at most by default), into q clusters or as the rules agree.
+
+    ``exact`` asks for Ward's tree of all rows, or for that of prototypes; by default rows up to EXACT_ROWS get the first.
+    """
     axes = list(axes or [c for c in rows.columns if c.startswith("F") and c[1:].isdigit()][:5])
-    key = col("_row") if "_row" in rows.columns else F.monotonically_increasing_id()
+    key = col("_row") if "_row" in rows.columns and dict(rows.dtypes)["_row"] in ("bigint", "int") else F.monotonically_increasing_id()
     slim = rows.select(*[col(a) for a in axes], key.alias("_key")).persist(StorageLevel.MEMORY_AND_DISK)  # every round reads it again
     head = slim.select("_key", *[col(a) for a in axes]).limit(MOST_POINTS + 1).toPandas()
     head = head.sort_values("_key", kind="stable")[axes].to_numpy(float)  # the order decides ties only
-    exact = len(head) <= MOST_POINTS
-    points, weights = (head, None) if exact else _prototypes(slim, axes, seed)
-    tree = ward(points, weights)
-    rules = cut_rules(points, tree, most, weights)
+    weights = widths = None
+    if len(head) <= MOST_POINTS:
+        points, exact = head, True
+        tree = ward(points)
+    elif exact or (exact is None and slim.count() <= EXACT_ROWS):
+        forest, exact = ward_forest(slim, axes, "_key", MOST_POINTS), True
+        top = crown(forest, max(most, q or 0) + 1)
+        points, weights, tree = top.points, top.weights, top.tree
+
+        def widths(counts: list[int]) -> list[float]:
+            labelled = crown_rows(forest, top, counts).select(*[F.element_at("x", i + 1).alias(f"x{i}") for i in range(len(axes))], *[f"g{i}" for i in range(len(counts))])
+            return silhouettes(labelled, [f"x{i}" for i in range(len(axes))], [f"g{i}" for i in range(len(counts))])
+    else:
+        (points, weights), exact = _prototypes(slim, axes, seed), False
+        tree = ward(points, weights)
+    rules = cut_rules(points, tree, most, weights, widths=widths)
     g = tree.cut(q or rules.consensus)
     w = np.ones(len(points)) if weights is None else weights
     centres = np.array([np.average(points[g == c], axis=0, weights=w[g == c]) for c in range(g.max() + 1)])
