@@ -40,8 +40,10 @@ _FOUND = "array<struct<start:bigint,stop:bigint,value:string,before:string,behin
 
 #: What a candidate must look like to be taken for a kind, once its context speaks for it.
 _SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9A-Fa-f]+([.:][0-9A-Fa-f]*){3,}$", "card": r"^[0-9][0-9\x20-]{10,}[0-9]$", "phone": r"^\+?[0-9()][0-9().\x20-]{5,18}[0-9]$", "secret": r"^(?=.*[A-Za-z])[A-Za-z0-9+/=_.~!#$%^&*-]{8,}$"}
-#: Values of digits and separators of at least so many characters have a form: the value with each digit as 9.
-_FORM_LENGTH = 12
+#: What looks like a kind and fails its check: dotted quads that are no address, 12 to 19 digits without a check digit that fits.
+_FALSE_IP = r"^[0-9]+(?:\.[0-9]+){3}$"
+#: How much an occurrence of an unknown candidate speaks against a pattern, beside 1 for a look-alike or another kind's.
+UNKNOWN = 0.25
 
 
 def _q(pattern: str) -> str:
@@ -70,16 +72,20 @@ def _located(text: str, pattern: str, when: str) -> Column:
     return F.expr(f"if({when}, element_at(transform(array({zipped}), z -> {walked}), 1), cast(array() as {_FOUND}))")
 
 
+def _luhn(digits: str) -> str:
+    """SQL that tells if the check digit of a string of digits fits."""
+    return f"""aggregate(sequence(1, length({digits})), 0, (s, i) -> s + case when i % 2 = 1 then cast(substr({digits}, -i, 1) as int)
+        when cast(substr({digits}, -i, 1) as int) > 4 then 2 * cast(substr({digits}, -i, 1) as int) - 9 else 2 * cast(substr({digits}, -i, 1) as int) end) % 10 = 0"""
+
+
 def _base(text: str) -> Column:
     """All valid base spans of a text in the order of kinds and places: (kind, start, stop, value, before, behind)."""
     digits = "translate(f.value, '\u0001', '')"
-    luhn = f"""aggregate(sequence(1, length({digits})), 0, (s, i) -> s + case when i % 2 = 1 then cast(substr({digits}, -i, 1) as int)
-        when cast(substr({digits}, -i, 1) as int) > 4 then 2 * cast(substr({digits}, -i, 1) as int) - 9 else 2 * cast(substr({digits}, -i, 1) as int) end) % 10 = 0"""
     part = "ltrim('0', p)"
     valid = {
         "email": "true",
         "ip": f"forall(split(f.value, '[.]'), p -> length({part}) < 3 or length({part}) = 3 and {part} <= '255')",
-        "card": f"length({digits}) between 16 and 19 and {luhn}",
+        "card": f"length({digits}) between 16 and 19 and {_luhn(digits)}",
         "phone": "length(regexp_replace(f.value, '[^0-9]', '')) between 8 and 15",
     }
     kinds = [f"transform(filter(m_{k}, f -> {valid[k]}), f -> named_struct('kind', {i}, 'start', f.start, 'stop', f.stop, 'value', f.value, 'before', f.before, 'behind', f.behind))" for i, k in enumerate(BASE_KINDS)]
@@ -128,16 +134,61 @@ def candidates(found: DataFrame) -> DataFrame:
 
 
 def _patterns(rows: DataFrame) -> DataFrame:
-    """``rows`` (kind, value, before, behind, seed) as pattern-instance edges (kind, side, word, value, seed, n).
+    """``rows`` (kind, value, before, behind, seed, false) as pattern-instance edges (kind, side, word, value, seed, false, n).
 
-    Patterns are the word before, the two words before, the word behind, and the form of values without letters.
+    Patterns are the word before, the two words before, and the word behind.
     """
-    plain = F.translate("value", "\x01-", "  ")
-    form = F.when(~plain.rlike(r"\p{L}") & (F.length("value") >= _FORM_LENGTH), F.regexp_replace(plain, "[0-9]", "9"))
-    words = {"before": F.substring_index("before", " ", -1), "two before": F.when(F.contains("before", F.lit(" ")), F.col("before")), "behind": F.col("behind"), "form": form}
+    words = {"before": F.substring_index("before", " ", -1), "two before": F.when(F.contains("before", F.lit(" ")), F.col("before")), "behind": F.col("behind")}
     sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), word.alias("word")) for side, word in words.items()])).alias("p")
-    edges = rows.select("kind", "value", "seed", sides).where("p.word is not null and p.word != ''")
-    return edges.groupBy("kind", "p.side", "p.word", "value", "seed").agg(F.count("*").alias("n"))
+    edges = rows.select("kind", "value", "seed", "false", sides).where("p.word is not null and p.word != ''")
+    return edges.groupBy("kind", "p.side", "p.word", "value").agg(F.max("seed").alias("seed"), F.max("false").alias("false"), F.count("*").alias("n"))
+
+
+def _candidate_kinds(words: DataFrame) -> DataFrame:
+    """Each candidate with each kind whose shape it has: (kind, value, before, behind, seed, false).
+
+    Seeds of secrets are a half of the assigned values, by a hash of the value; the other half is for the contexts to find.
+    ``false`` marks values that look like a kind and fail its check.
+    """
+    secret = KINDS.index("secret")
+    shaped = F.explode(F.filter(F.array(*[F.when(F.col("value").rlike(shape), F.lit(KINDS.index(kind))) for kind, shape in _SHAPES.items()]), lambda k: k.isNotNull()))
+    rows = words.select(shaped.alias("kind"), "value", "before", "behind")
+    assigned = (F.col("kind") == secret) & F.col("before").rlike(_ASSIGNED) & F.col("value").rlike(_SEED_SECRET)
+    digits = "regexp_replace(value, '[^0-9]', '')"
+    failed = F.when(F.col("kind") == KINDS.index("ip"), F.col("value").rlike(_FALSE_IP)).when(
+        F.col("kind") == KINDS.index("card"), F.expr(f"if(length({digits}) between 12 and 19, not ({_luhn(digits)}), true)")
+    ).when(F.col("kind") == KINDS.index("phone"), F.expr(f"length({digits}) not between 5 and 15"))
+    return rows.withColumn("seed", assigned & (F.pmod(F.xxhash64(F.lit(7), "value"), F.lit(2)) == 0)).withColumn("false", F.coalesce(failed, F.lit(False)))
+
+
+def bootstrap(edges: DataFrame, *, rounds: int, confidence: float, support: int, caution: float) -> DataFrame:
+    """(value, kind, score) of what patterns find, from stored pattern-instance ``edges``, in rounds that build on one another.
+
+    In each round the trusted values are the seeds and what the rounds before have found. A pattern counts once
+    ``support`` different trusted values of its kind stand in it. Its confidence is the score of their occurrences, over
+    the same plus the occurrences of values that speak against it (look-alikes that fail the kind's check, and values trusted
+    for another kind), plus UNKNOWN times those of unknown ones, plus ``caution``. A candidate's score is the noisy-or of the
+    best patterns on its sides; values that reach ``confidence`` are trusted with their best kind from then on.
+    """
+    patterns = ["kind", "side", "word"]
+    # a pattern that too few different values share can never count
+    shared = edges.groupBy(*patterns).agg(F.count("*").alias("m")).where(F.col("m") >= support).select(*patterns)
+    edges = stored(edges.join(shared, patterns))
+    known = None
+    for _ in range(rounds):
+        if known is None:
+            marked = edges.withColumn("trust", F.when(F.col("seed"), 1.0)).withColumn("other", F.lit(False))
+        else:
+            same = F.col("known_kind") == F.col("kind")
+            trust = F.when(F.col("seed"), 1.0).when(same, F.col("score"))
+            marked = edges.join(known.select("value", F.col("kind").alias("known_kind"), "score"), "value", "left").withColumn("trust", trust).withColumn("other", F.coalesce(~same, F.lit(False)) & ~F.col("seed"))
+        against = F.when(F.col("trust").isNotNull(), 0.0).when(F.col("false") | F.col("other"), 1.0).otherwise(UNKNOWN)
+        held = marked.groupBy(*patterns).agg(F.count("trust").alias("m"), F.sum(F.coalesce(F.col("trust"), F.lit(0.0)) * F.col("n")).alias("good"), F.sum(against * F.col("n")).alias("bad"))
+        conf = held.where(F.col("m") >= support).select(*patterns, (F.col("good") / (F.col("good") + F.col("bad") + caution)).alias("conf"))
+        best = edges.where("not seed").join(conf, patterns).groupBy("kind", "value", "side").agg(F.max("conf").alias("conf"))
+        scores = best.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score")).where(F.col("score") >= confidence)
+        known = stored(scores.groupBy("value").agg(F.max_by(F.struct("kind", "score"), F.struct("score", -F.col("kind"))).alias("k")).select("value", "k.kind", "k.score"))
+    return known
 
 
 def personal_data(
@@ -146,16 +197,13 @@ def personal_data(
     """One row for each row of ``docs``: ``nth``, ``key``, ``h``, ``base`` and ``discovered`` spans (kind, start, stop, value, ...).
 
     Base spans are the four expressions' leftmost matches that pass their checks; they are the seeds of their kinds. Seeds
-    of secrets are long words of letters and digits that a sign of assignment precedes. The words beside seeds are
-    patterns of their kind, and so is a seed's form. Other words with digits or an at sign, numbers written with blanks,
-    and quoted values after a sign of assignment, all without the marks around them, are candidates of the kinds whose
-    shape they have, with patterns of their own.
+    of secrets are a half, by a hash, of the long words of letters and digits that a sign of assignment precedes. The words
+    beside seeds are patterns of their kind. Other words with digits or an at sign, numbers written with blanks, and
+    quoted values after a sign of assignment, all without the marks around them, are candidates of the kinds whose shape
+    they have, with patterns of their own.
 
-    In each of ``rounds`` rounds a pattern of words has as confidence the score of its instances over all their
-    occurrences (plus ``caution``). A form's confidence is the share of its kind among the seeds that have it (plus
-    ``caution``): candidates without a check digit that fits do not speak against a form. A candidate's score is the
-    noisy-or of its patterns; a pattern counts only with ``support`` different seeds. Candidates that reach
-    ``confidence`` are discovered: with the best kind, at every place where they stand; seeds of secrets too.
+    ``bootstrap`` scores patterns by their instances and instances by their patterns in ``rounds`` rounds: what a round finds
+    makes new patterns count in the next. What is found is discovered at every place where it stands; seeds of secrets too.
 
     Positions are code points, end exclusive; a null text counts as empty; repeated rows each get a row; an empty
     table gives none. Base spans never change; discovered ones do not overlap them.
@@ -163,28 +211,12 @@ def personal_data(
     found = base_entities(docs, key=key, text=text)
     words = candidates(found)
     secret = KINDS.index("secret")
-    seeds = found.select(F.explode("base").alias("w")).select("w.kind", "w.value", "w.before", "w.behind", F.lit(True).alias("seed"))
-    shaped = F.explode(F.filter(F.array(*[F.when(F.col("value").rlike(shape), F.lit(KINDS.index(kind))) for kind, shape in _SHAPES.items()]), lambda k: k.isNotNull()))
-    others = words.select(shaped.alias("kind"), "value", "before", "behind")
-    others = others.withColumn("seed", (F.col("kind") == secret) & F.col("before").rlike(_ASSIGNED) & F.col("value").rlike(_SEED_SECRET))
+    seeds = found.select(F.explode("base").alias("w")).select("w.kind", "w.value", "w.before", "w.behind", F.lit(True).alias("seed"), F.lit(False).alias("false"))
+    others = _candidate_kinds(words)
     edges = stored(_patterns(seeds.unionByName(others)))
-    patterns = ["kind", "side", "word"]
-    backed = edges.groupBy(*patterns).agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("seed"), F.col("n")).otherwise(0)).alias("seed_n"), F.count_if("seed").alias("seeds"))
-    rivals = backed.where("side = 'form'").groupBy("side", "word").agg(F.sum("seed_n").alias("rival_n"))
-    backed = stored(backed.where(F.col("seeds") >= support).join(rivals, ["side", "word"], "left"))
-    reach = stored(edges.where(~F.col("seed") | (F.col("kind") == secret)).join(backed.select(*patterns), patterns, "left_semi"))
-    weight = F.coalesce("rival_n", "all_n") + caution
-    conf = backed.select(*patterns, (F.col("seed_n") / weight).alias("conf"))
-    scores = None
-    for _ in range(rounds):
-        scores = stored(
-            reach.join(conf, patterns).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("conf"), F.lit(1e-9)))))).alias("score"))
-        )
-        gained = reach.where("side != 'form' and not seed").join(scores, ["kind", "value"]).groupBy(*patterns).agg(F.sum(F.col("n") * F.col("score")).alias("gained"))
-        conf = stored(
-            backed.join(gained, patterns, "left").select(*patterns, ((F.col("seed_n") + F.coalesce("gained", F.lit(0.0))) / weight).alias("conf"))
-        )
-    best = stored(scores.where(F.col("score") >= confidence).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")))
+    known = bootstrap(edges, rounds=rounds, confidence=confidence, support=support, caution=caution)
+    own = others.where("seed").select("value", F.lit(secret).alias("kind"), F.lit(1.0).alias("score"))
+    best = stored(known.unionByName(own).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")))
     earlier = W.partitionBy("nth").orderBy("start", F.desc("stop")).rowsBetween(W.unboundedPreceding, -1)
     hits = words.join(best, "value").select("nth", "kind", "start", "stop", "value").distinct().withColumn("reach", F.max("stop").over(earlier))
     hits = hits.where(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)))  # a word inside a run gives way to it
