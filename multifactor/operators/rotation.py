@@ -123,22 +123,25 @@ def _correlation(m: np.ndarray) -> np.ndarray:
 
 
 def promax(a: np.ndarray, kappa: float = 4):
-    """Varimax, then a least-squares fit to its loadings' powers; varimax itself where that is singular."""
+    """Varimax loadings turned towards their own powers, by least squares; axes may then be correlated.
+
+    The powers are regressed on the loadings, and the coefficients' columns are scaled so that axes have unit variance.
+    With the coefficients' triangular factor R, the inverse of R times its transpose holds the axes' covariances: its
+    diagonal gives the scales, and scaled by them it is Phi. Where loadings or coefficients are of lower rank, that is
+    where R has a diagonal entry under 1e-10 of its largest, varimax is returned.
+    """
     first = rotate_orthogonal(a, orthomax(1))
     x, t = first[0], first[1]
-    target = x * np.abs(x) ** (kappa - 1)
-    inner = inverse(x.T @ x)
-    if inner is None:
-        return first
-    u = inner @ x.T @ target
-    scale = inverse(u.T @ u)
-    if scale is None:
+    k = x.shape[1]
+    coefficients, _, rank, _ = np.linalg.lstsq(x, np.sign(x) * np.abs(x) ** kappa, rcond=1e-10)
+    r = np.linalg.qr(coefficients, mode="r")
+    edge = np.abs(np.diag(r))
+    if rank < k or edge.min() <= 1e-10 * edge.max():
         return first
-    u = u * np.sqrt(np.abs(np.diag(scale)))
-    turn = t @ u
-    back = inverse(turn)
-    phi = np.eye(a.shape[1]) if back is None else _correlation(back @ back.T)
-    return x @ u, turn, phi, True, first[4]
+    undo = np.linalg.solve(r, np.eye(k))
+    covariance = undo @ undo.T
+    scale = np.sqrt(np.diag(covariance))
+    return x @ (coefficients * scale), t @ (coefficients * scale), covariance / np.outer(scale, scale), True, first[4]
 
 
 def rotate(loadings: np.ndarray, method: str = "varimax", *, normalize: bool = True, delta: float = 0.0, kappa: float = 4.0) -> Rotation:

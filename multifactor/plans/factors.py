@@ -403,7 +403,7 @@ def hcpc_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hcpc_lineitem_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every line, the tree built on weighted prototypes."""
     z = measures(spark, sf_dir)
-    return cluster.hcpc(correlation_pca(z, ["quantity", "price"]).scores(z), ["F1", "F2"], 4).rows.select("_row", "cluster")
+    return cluster.hcpc(correlation_pca(z, ["quantity", "price"]).scores(z), ["F1", "F2"], 4, exact=False).rows.select("_row", "cluster")
 
 
 @query()
