@@ -16,6 +16,7 @@ from multifactor.functions.columns import col
 from multifactor.functions.linalg import eigen_symmetric, to_correlation
 from multifactor.operators.moments import moments
 from multifactor.operators.pca import Pca
+from multifactor.operators.storage import stored
 
 
 @dataclass(frozen=True)
@@ -55,22 +56,65 @@ def parallel_normal(spark, n: int, p: int, replicates: int = 100, seed: int = 42
     return spark.range(replicates).repartition(min(replicates, spark.sparkContext.defaultParallelism)).mapInPandas(draw, "replicate long, axis int, value double")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def permuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
+    """The places of ``numbers`` (of 0 .. n - 1) in a permutation that ``key`` fixes, each computed by itself.
+
+    Six Feistel rounds permute the least power of two that holds ``n``; a number that leaves the range is sent on until it
+    is back, at most twice on average, which keeps the whole a permutation.
+    """
+    bits = max(2, int(n - 1).bit_length())
+    keys = _mixed(np.uint64(key & (2**64 - 1)) + np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def once(v: np.ndarray) -> np.ndarray:
+        low = bits - bits // 2
+        left, right, sizes = v >> np.uint64(low), v & np.uint64((1 << low) - 1), (bits // 2, low)
+        for k in keys:
+            left, right = right, left ^ (_mixed(right ^ k) & np.uint64((1 << sizes[0]) - 1))
+            sizes = sizes[::-1]
+        return (left << np.uint64(low)) | right
+
+    out = once(np.asarray(numbers).astype(np.uint64))
+    while len(beyond := np.flatnonzero(out >= np.uint64(n))):
+        out[beyond] = once(out[beyond])
+    return out.astype(np.int64)
+
+
 def parallel_permuted(df: DataFrame, names: Sequence[str], replicates: int = 20, seed: int = 42, together: int = 5) -> DataFrame:
     """(replicate, axis, value): eigenvalues of covariances after each column is permuted on its own.
 
-    A column is permuted by numbering its values in the order of a seeded hash, cell by cell; equal numbers meet. Columns
-    and ``together`` replicates go through the same two shuffles and one aggregation; only matrices of p x p reach the driver.
+    Rows are numbered once, from counts by task. A value's place in a replicate is a keyed permutation of its row's
+    number, so nothing is sorted: columns and ``together`` replicates meet by place in one shuffle and are added up. The first
+    column keeps its place. Only matrices of p x p reach the driver.
     """
     spark, p = df.sparkSession, len(names)
     m = moments(df, names)
-    rows = df.select(*[(col(c).cast("double") - F.lit(float(v))).alias(f"x{j}") for j, (c, v) in enumerate(zip(names, m.mean, strict=True))]).withColumn("i", F.monotonically_increasing_id())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df.select(*[(col(c).cast("double") - F.lit(float(v))).alias(f"x{j}") for j, (c, v) in enumerate(zip(names, m.mean, strict=True))], F.monotonically_increasing_id().alias("id")))
+    task = F.shiftright("id", 33)  # ids count from 0 in each task
+    counts = rows.groupBy(task.alias("task")).agg(F.count("*").alias("m"))
+    past = counts.select("task", F.coalesce(F.sum("m").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("past"))
+    numbered = rows.withColumn("task", task).join(F.broadcast(past), "task").select((F.col("past") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("i"), *[f"x{j}" for j in range(p)])  # a row for each task
+    n = counts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     pairs, out = [(i, j) for i in range(p) for j in range(i, p)], []
+
+    def placed(first: int):
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                i = batch["i"].to_numpy()
+                for b in range(first, min(first + together, replicates)):
+                    for j in range(p):
+                        at = permuted(i, n, seed + (b << 20) + j) if j else i
+                        yield pd.DataFrame({"b": np.int32(b), "j": np.int32(j), "place": at, "x": batch[f"x{j}"]})
+
+        return place
+
     for first in range(0, replicates, together):
-        each = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(j).alias("j"), F.col(f"x{j}").alias("x")) for b in range(first, min(first + together, replicates)) for j in range(p)])
-        long = rows.select("i", F.explode(each).alias("s")).select("s.b", "s.j", "s.x", "i", F.xxhash64(F.lit(seed), "s.b", "s.j", "i").alias("key"))
-        placed = _numbered(long.withColumn("cell", F.pmod("key", F.lit(parts))))
-        met = placed.groupBy("b", "place").agg(*[F.max(F.when(F.col("j") == j, F.col("x"))).alias(f"x{j}") for j in range(p)])
+        met = numbered.mapInPandas(placed(first), "b int, j int, place long, x double").groupBy("b", "place").agg(*[F.max(F.when(F.col("j") == j, F.col("x"))).alias(f"x{j}") for j in range(p)])
         for row in met.groupBy("b").agg(F.count("*"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).collect():
             g = np.zeros((p, p))
             for (i, j), v in zip(pairs, row[2:], strict=True):
@@ -79,14 +123,6 @@ def parallel_permuted(df: DataFrame, names: Sequence[str], replicates: int = 20,
     return spark.createDataFrame(out, "replicate long, axis int, value double")
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``place``: 1, 2, ... in each (b, j), by cells, then by key inside the cell."""
-    before = W.partitionBy("b", "j").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    past = rows.groupBy("b", "j", "cell").agg(F.count("*").alias("m")).select("b", "j", "cell", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("past"))
-    inside = F.row_number().over(W.partitionBy("b", "j", "cell").orderBy("key", "i"))
-    return rows.withColumn("inside", inside).join(F.broadcast(past), ["b", "j", "cell"]).withColumn("place", F.col("past") + F.col("inside"))
-
-
 def parallel_summary(draws: DataFrame) -> DataFrame:
     """(axis, mean, p95) of a parallel analysis."""
     return draws.groupBy("axis").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.95)).alias("p95"))
@@ -98,14 +134,15 @@ def velicer(r: np.ndarray) -> dict[str, object]:
     values, vectors = eigen_symmetric(r)
     off = ~np.eye(p, dtype=bool)
     series = [(0, float((r[off] ** 2).mean()), float((r[off] ** 4).mean()))] if p > 1 else [(0, 0.0, 0.0)]
+    left = np.array(r, float)
     for m in range(1, p):
-        a = vectors[:, :m] * np.sqrt(np.maximum(values[:m], 0))
-        left = r - a @ a.T
+        left -= max(values[m - 1], 0.0) * np.outer(vectors[:, m - 1], vectors[:, m - 1])  # one axis less: a downdate of rank one
         d = np.diag(left)
         if (d <= 1e-10).any():
             break
-        c = left / np.sqrt(np.outer(d, d))
-        series.append((m, float((c[off] ** 2).mean()), float((c[off] ** 4).mean())))
+        c2 = left**2 / np.outer(d, d)
+        np.fill_diagonal(c2, 0.0)
+        series.append((m, float(c2.sum() / (p * (p - 1))), float((c2**2).sum() / (p * (p - 1)))))
     return {"series": series, "k": min(series, key=lambda s: s[1])[0], "k4": min(series, key=lambda s: s[2])[0]}
 
 

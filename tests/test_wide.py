@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from multifactor.operators import correspondence, inference, quantiles, wide
+from multifactor.operators import correspondence, inference, quantiles, retention, wide
 from multifactor.operators.moments import gram_of_rows
 
 
@@ -104,3 +104,31 @@ def test_value_ranks_of_an_empty_table(spark):
     none = spark.createDataFrame([], "_c int, _v double, _n long")
     ranks, total = quantiles.value_ranks(none)
     assert ranks.count() == 0 and total == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 63, 64, 65, 1000, 4097])
+def test_keyed_permutations_are_permutations(n):
+    one, two = (retention.permuted(np.arange(n), n, key) for key in (1, 2))
+    assert sorted(one) == sorted(two) == list(range(n)) and (n < 60 or (one != two).mean() > 0.9)
+    assert (retention.permuted(np.arange(n)[::-1], n, 1)[::-1] == one).all()  # each number by itself
+
+
+def test_permuted_columns_keep_their_values(spark):
+    """Variances stay, correlations go: the trace of every replicate is that of the table."""
+    rows = spark.range(0, 3000, 1, 7).select(F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("c", F.col("a") * 2)
+    found = retention.parallel_permuted(rows, ["a", "b", "c"], 4).toPandas()
+    want = rows.agg(*[F.var_samp(c) for c in "abc"]).first()
+    assert np.allclose(found.groupby("replicate")["value"].sum(), sum(want)) and sorted(found["replicate"].unique()) == [0, 1, 2, 3]
+    assert found[found.axis == 1]["value"].max() < 1.15 * want[2]  # a and c alone would give 1.25 times that of c
+
+
+@pytest.mark.parametrize("p", [2, 5, 40])
+def test_downdates_give_the_partial_correlations(p):
+    rng = np.random.default_rng(p)
+    r = np.corrcoef(rng.normal(size=(500, p)) + rng.normal(size=(500, 1)), rowvar=False)
+    values, vectors = np.linalg.eigh(r)
+    values, vectors, off = values[::-1], vectors[:, ::-1], ~np.eye(p, dtype=bool)
+    for m, f, f4 in retention.velicer(r)["series"]:
+        left = r - (vectors[:, :m] * values[:m]) @ vectors[:, :m].T
+        c = left / np.sqrt(np.outer(np.diag(left), np.diag(left)))
+        assert f == pytest.approx((c[off] ** 2).mean()) and f4 == pytest.approx((c[off] ** 4).mean())
