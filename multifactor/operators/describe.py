@@ -15,6 +15,7 @@ from multifactor.functions import distributions as D
 from multifactor.functions.columns import col
 from multifactor.operators.inference import anova, kruskal
 from multifactor.operators.rotation import Rotation
+from multifactor.operators.storage import stored
 
 
 #: Clusters that categories are held against: each level gets a row for each.
@@ -82,7 +83,7 @@ def group_means(rows: DataFrame, group: str, axes: Sequence[str]) -> DataFrame:
 def compare_groups(rows: DataFrame, group: str, axes: Sequence[str]) -> DataFrame:
     """(axis, F, p, eta2, omega2, H, p_rank, effect): ANOVA and Kruskal-Wallis of each axis over levels of two or more."""
     sizes = rows.where(col(group).isNotNull()).groupBy(col(group).alias("_g")).count().where("count >= 2").select("_g")
-    used = rows.join(F.broadcast(sizes), col(group) == F.col("_g"), "left_semi")
+    used = stored(rows.select(col(group), *[col(a) for a in axes]).join(sizes, col(group) == F.col("_g"), "left_semi"))  # Spark picks the join, and every axis reads its result
     out = []
     for a in axes:
         f, h = anova(used, a, group), kruskal(used, a, group)

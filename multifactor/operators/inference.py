@@ -17,6 +17,10 @@ from multifactor.operators.quantiles import group_quantiles, value_ranks, with_r
 from multifactor.operators.storage import stored
 
 
+#: Cells of a whole grid, at most.
+MOST_CELLS = 10_000_000
+
+
 def pairwise_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(a, b, r) for each pair of different columns: Pearson over rows with both, 0 where one is constant."""
     spark = df.sparkSession
@@ -121,11 +125,13 @@ def cells(table: DataFrame, empty: bool = False) -> DataFrame:
     """Cells of a long table: observed, expected, Pearson residual and share of chi-square in %.
 
     Filled cells are joined to their margins by key. ``empty`` adds the cells without rows: as many as rows times
-    columns, which only a reader of the whole grid wants.
+    columns, which only a reader of the whole grid wants; more than MOST_CELLS are an error.
     """
     figures = chi2_of(table)
     full = _with_margins(table)
     if empty:
+        if figures["rows"] * figures["cols"] > MOST_CELLS:
+            raise ValueError(f"a grid of {figures['rows']} x {figures['cols']} cells: ask for the filled ones")
         rows, cols = table.groupBy("a").agg(F.sum("n").alias("row_n")), table.groupBy("b").agg(F.sum("n").alias("col_n"))
         full = rows.crossJoin(cols).join(table, ["a", "b"], "left")
     observed = F.coalesce("n", F.lit(0)).cast("double")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from multifactor.functions.columns import col
-from multifactor.operators import describe, figures, retention, rotation
+from multifactor.operators import describe, figures, layouts, retention, rotation
 from multifactor.operators.adequacy import Diagnosis, advice
 from multifactor.operators.cluster import Hcpc, cluster_test_values, inertias, paragons
 from multifactor.operators.factor_maps import factor_map, supplementary_levels, supplementary_numeric
@@ -54,8 +54,12 @@ def analyse(spark: SparkSession, prepared: Prepared, diagnosis: Diagnosis | None
         "variable coordinates": mapped.variable_table(spark),
         "individuals": mapped.individual_table(),
         "dimension description": describe.describe_numeric(prepared.frame.select(*[col(n) for n in [*names, *prepared.supplementary_numeric]], *found.score_columns(k)), [*names, *prepared.supplementary_numeric], axes),
-        "residuals": describe.residual_table(spark, found.correlation, turned, names),
+        "residuals": layouts.residual_matrix(spark, found.correlation, turned, names),
+        "structure": layouts.structure_table(spark, turned, names),
+        "correlation matrix": layouts.correlation_table(spark, found.correlation, names),
     }
+    if extra:
+        tables["supplementary"] = layouts.supplementary_table(mapped.individuals, list(prepared.supplementary_numeric), list(prepared.supplementary_categorical), axes)
     if prepared.supplementary_numeric:
         tables["supplementary numbers"] = supplementary_numeric(mapped.individuals, list(prepared.supplementary_numeric), axes)
     for c in prepared.supplementary_categorical:

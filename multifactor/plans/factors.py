@@ -286,7 +286,18 @@ def ellipses_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("group", "n", *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("cx", 4), ("cy", 4), ("a", 3), ("b", 3), ("angle", 5))])
 
 
-@query()
+# from each corner the next is the point at the least turn, of equal turns the farthest
+_HULLS = """with recursive p as (select distinct o_orderstatus as g, cast(o_totalprice as double) as x, cast(o_custkey as double) as y from orders),
+  s as (select g, arg_min(x, (x, y)) as x, arg_min(y, (x, y)) as y from p group by g),
+  h as (select g, x, y, -pi() / 2 as a, 0 as place, x as sx, y as sy from s
+    union all select g, n.x, n.y, n.b, place + 1, sx, sy from (
+      select h.g, h.place, h.sx, h.sy, arg_min({'x': p.x, 'y': p.y, 'b': atan2(p.y - h.y, p.x - h.x)},
+        (atan2(p.y - h.y, p.x - h.x) - h.a + case when atan2(p.y - h.y, p.x - h.x) - h.a < -1e-9 then 2 * pi() else 0 end, -power(p.x - h.x, 2) - power(p.y - h.y, 2))) as n
+      from h join p on p.g = h.g where (p.x, p.y) <> (h.x, h.y) group by h.g, h.place, h.sx, h.sy) where (n.x, n.y) <> (sx, sy))
+  select g as "group", cast(place as integer) as place, x, y from h"""
+
+
+@query(_HULLS)
 def hulls_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convex hulls of the same clouds."""
     return factor_maps.hulls(table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey")), "o_totalprice", "o_custkey", "o_orderstatus")

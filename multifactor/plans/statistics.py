@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from multifactor.functions import columns as C
 from multifactor.functions import distributions as D
 from multifactor.functions.columns import col
-from multifactor.operators import adequacy, inference, prepare, profile
+from multifactor.operators import adequacy, inference, layouts, prepare, profile
 from multifactor.operators.storage import new_path
 from multifactor.plans.common import MEASURES, MEASURES_SQL, as_rows, measures, rounded, table
 from multifactor.sources.delimited import is_missing, read_delimited, to_number
@@ -369,3 +369,47 @@ def delimited_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_delimited(spark, path)
     number = lambda name, kind: to_number(F.col(name)).cast(kind)
     return back.select(number("s_suppkey", "long").alias("key"), F.regexp_extract(F.trim("s_name"), '^(.*); "quoted"$', 1).alias("name"), number("s_acctbal", "double").alias("balance"), number("s_nationkey", "int").alias("nation"), is_missing(F.col("note")).alias("missing"))
+
+
+_SUMMARY = ["l_quantity", "l_extendedprice", "l_discount"]
+_SUMMARY_ONE = """select '{c}' as variable, 'active' as role, cast(count({c}) as bigint) as n, cast(count(*) - count({c}) as bigint) as missing, cast(count(distinct {c}) as bigint) as "distinct", round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as sd,
+  round(min({c}), 4) as min, round(max({c}), 4) as max, round(quantile_cont({c}, 0.5), 4) as median, round(100 * stddev_samp({c}) / abs(avg({c})), 4) as cv, round({skew}, 4) + 0.0 as skew, round(kurtosis({c}), 4) + 0.0 as kurt from lineitem"""
+_MSA = """m as (select corr(l_quantity, l_extendedprice) a, corr(l_quantity, l_discount) b, corr(l_extendedprice, l_discount) c from lineitem),
+  q as (select *, power(a - b * c, 2) / ((1 - b * b) * (1 - c * c)) pa, power(b - a * c, 2) / ((1 - a * a) * (1 - c * c)) pb, power(c - a * b, 2) / ((1 - a * a) * (1 - b * b)) pc from m),
+  s as (select 'l_quantity' as variable, (a * a + b * b) / (a * a + b * b + pa + pb) as msa from q union all select 'l_extendedprice', (a * a + c * c) / (a * a + c * c + pa + pc) from q union all select 'l_discount', (b * b + c * c) / (b * b + c * c + pb + pc) from q)"""
+
+
+@query(f"with {_MSA}, t as (" + " union all ".join(_SUMMARY_ONE.format(c=c, skew=_skew(c)) for c in _SUMMARY) + ") select t.*, round(s.msa, 6) as msa from t join s using (variable)")
+def variable_summary_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of three measures with their sampling adequacy, in the layout in which it is handed on."""
+    rows = table(spark, sf_dir, "lineitem").select(*_SUMMARY)
+    r, _ = adequacy.correlation_of(rows, _SUMMARY)
+    found = layouts.variable_summary(profile.profile(rows), dict.fromkeys(_SUMMARY, "active"), dict(zip(_SUMMARY, map(float, adequacy.kmo(r)["msa"]), strict=True)))
+    digits = {"msa": 6, **dict.fromkeys(["mean", "sd", "min", "max", "median", "cv", "skew", "kurt"], 4)}
+    return found.select(*[(F.round(c, digits[c]) + F.lit(0.0)).alias(c) if c in digits else col(c) for c in found.columns])
+
+
+@query("""select a.v as variable, round(a.q, 6) + 0.0 as l_quantity, round(a.p, 6) + 0.0 as l_extendedprice, round(a.d, 6) + 0.0 as l_discount from (
+  select 'l_quantity' as v, 1.0 as q, corr(l_quantity, l_extendedprice) as p, corr(l_quantity, l_discount) as d from lineitem union all
+  select 'l_extendedprice', corr(l_extendedprice, l_quantity), 1.0, corr(l_extendedprice, l_discount) from lineitem union all select 'l_discount', corr(l_discount, l_quantity), corr(l_discount, l_extendedprice), 1.0 from lineitem) a""")
+def correlation_table_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of the same measures as a matrix with a line for each."""
+    r, _ = adequacy.correlation_of(table(spark, sf_dir, "lineitem").select(*_SUMMARY), _SUMMARY)
+    return layouts.correlation_table(spark, r, _SUMMARY)
+
+
+@query("""select 'number' as kind, 'tax' as name, cast(null as varchar) as level, cast(count(l_tax) as bigint) as n, round(corr(l_tax, l_quantity), 6) + 0.0 as quantity, round(corr(l_tax, l_extendedprice), 6) + 0.0 as price from lineitem
+  union all select 'category', 'l_returnflag', l_returnflag, cast(count(*) as bigint), round(avg(l_quantity), 6), round(avg(l_extendedprice), 3) from lineitem group by l_returnflag""")
+def supplementary_table_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number's correlations and flags' centroids on two measures taken as axes, in one table."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("price"), F.col("l_tax").alias("tax"), "l_returnflag")
+    found = layouts.supplementary_table(rows, ["tax"], ["l_returnflag"], ["quantity", "price"])
+    digits = F.when(F.col("kind") == "number", F.round("price", 6)).otherwise(F.round("price", 3))
+    return found.select("kind", "name", "level", "n", (F.round("quantity", 6) + F.lit(0.0)).alias("quantity"), (digits + F.lit(0.0)).alias("price"))
+
+
+@query("""with f as (select o_orderpriority as level, count(*) as n, min(o_orderkey) as first from orders where o_orderpriority <> '' group by 1), p as (select *, row_number() over (order by first, level) as place from f)
+  select p.level, cast(p.place as integer) as place, o.o_orderkey from orders o join p on p.level = o.o_orderpriority""")
+def group_rows_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's group on a map: priorities in the order in which they first come."""
+    return layouts.group_rows(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")

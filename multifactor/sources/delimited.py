@@ -186,6 +186,19 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
     return df.where(~empty)
 
 
+def read_file(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """A table by its file's ending: Parquet, ORC and JSON lines by Spark, workbooks by pandas, all else as delimited text.
+
+    Typed sources get ``_row`` by their rows' place; its values rise in input order, with gaps.
+    """
+    ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if ending in ("xls", "xlsx", "ods"):
+        return read_workbook(spark, path)
+    if ending in ("parquet", "orc", "json"):
+        return getattr(spark.read, ending)(path).withColumn("_row", F.monotonically_increasing_id())
+    return read_delimited(spark, path, separator)
+
+
 def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
     """The first (or named) sheet of a workbook as string columns; needs a workbook engine for pandas."""
     import pandas as pd
@@ -207,4 +220,4 @@ def simulated_leaves(spark: SparkSession, rows: int = 120, seed: int = 20260905)
     return df
 
 
-__all__ = ["MISSING_CODES", "is_missing", "read_delimited", "read_workbook", "simulated_leaves", "sniff_separator", "to_number"]
+__all__ = ["MISSING_CODES", "is_missing", "read_delimited", "read_file", "read_workbook", "simulated_leaves", "sniff_separator", "to_number"]

@@ -32,7 +32,7 @@ def test_analysis_tables(spark, df):
     p = prepare.prepare(df, prepare.Roles(NAMES, ["extra"], ["g"]))
     d = adequacy.diagnose(p)
     a = report.analyse(spark, p, d, replicates=10)
-    assert a.k == 2 and len(a.tables) == 15 and all(t.columns for t in a.tables.values())
+    assert a.k == 2 and len(a.tables) == 18 and all(t.columns for t in a.tables.values())
     assert a.tables["individuals"].count() == 50 and a.tables["supplementary numbers"].where("abs(coord) > 0.9").count() == 1
     z = zipfile.ZipFile(BytesIO(report.packed(a, {"checks.txt": report.diagnostic_text(d)})))
     assert len(z.namelist()) == 15 and z.testzip() is None
