@@ -120,14 +120,16 @@ def deleted_spans(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """``docs`` with the later copies of repeated line runs deleted from the texts; see ``repeated_runs``."""
-    spans = stored(deleted_spans(docs, text=text, **options).select("h", "nth", "spans"))
-    copy = W.partitionBy("h").orderBy("nth")
+    """``docs`` with the later copies of repeated line runs deleted from the texts; see ``repeated_runs``.
+
+    Equal rows are one row with the results that its copies have and how many have each; no task holds them all. A null
+    text stays null; an empty table gives none.
+    """
+    results = deleted_spans(docs, text=text, **options).groupBy("h", "spans").agg(F.count("*").alias("copies"))
+    results = stored(results)
     records = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("record"), row_hash(docs, 42).alias("h"))
-    on = ["h"]
-    if spans.groupBy("h").count().where("count > 1").limit(1).count():  # equal rows: each takes one of their results
-        spans = spans.withColumn("copy", F.row_number().over(copy))
-        records, on = records.withColumn("copy", F.row_number().over(W.partitionBy("h").orderBy("h"))), ["h", "copy"]
-    cut = F.expr(f"array_join(filter(split(record.`{text}`, '\\n'), (x, i) -> not exists(spans, s -> i between s.first and s.last)), '\\n')")
-    met = records.join(spans.drop("nth"), on)
+    if results.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").limit(1).count():
+        records = records.dropDuplicates(["h"])
+    cut = F.expr(f"array_join(filter(split(record.{quoted(text)}, '\\n'), (x, i) -> not exists(spans, s -> i between s.first and s.last)), '\\n')")
+    met = records.join(results, "h").select("record", "spans", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return met.select(*[cut.alias(c) if c == text else F.col(f"record.{quoted(c)}") for c in docs.columns])
