@@ -35,7 +35,7 @@ def test_analysis_tables(spark, df):
     assert a.k == 2 and len(a.tables) == 18 and all(t.columns for t in a.tables.values())
     assert a.tables["individuals"].count() == 50 and a.tables["supplementary numbers"].where("abs(coord) > 0.9").count() == 1
     z = zipfile.ZipFile(BytesIO(report.packed(a, {"checks.txt": report.diagnostic_text(d)})))
-    assert len(z.namelist()) == 15 and z.testzip() is None
+    assert len(z.namelist()) == 18 and z.testzip() is None
     assert isinstance(report.warnings(a, d, 0.1), list) and "overlap" in " ".join(report.warnings(a, d, 0.1))
     text = report.page("A <run>", {"checks": report.diagnostic_text(d), "axes": a.tables["eigenvalues"]})
     assert "&lt;run&gt;" in text and text.count("<tr>") == 5
