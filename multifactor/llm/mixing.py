@@ -176,6 +176,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: a row comes once for each time it is taken, to the nearest whole.
 
     Only documents that a cut between blocks parts are rounded. Columns are those of ``docs``; equal rows count together.
+    Null, empty and blank texts have no words and are never taken; an empty table gives none.
     """
     seed = options.get("seed", 42)
     copies = mix_sources(docs, **options).documents.select("h", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("copies"))

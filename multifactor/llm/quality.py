@@ -147,7 +147,10 @@ def fit_quality(rows: DataFrame, *, ridge: float = 1e-3, seed: int = 42) -> Qual
 
 
 def with_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """Stored rows: ``row`` (struct of all columns but the text) and ``statistics`` of the whole text."""
+    """Stored rows: ``row`` (struct of all columns but the text) and ``statistics`` of the whole text.
+
+    Null and empty texts have the statistics of no words; repeated rows each get theirs; an empty table gives none.
+    """
     return stored(docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns if c != text]).alias("row"), text_statistics(F.col(quoted(text))).alias("statistics")))
 
 

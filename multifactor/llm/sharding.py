@@ -97,7 +97,7 @@ def write_shards(sharded: DataFrame, path: str, *, shard: str = "shard", slot: s
     """Write the shards as one folder each (``shard=N``), every bucket one sorted run of slots.
 
     A column of the records that is called as ``shard`` or ``slot`` are gets underscores after its name until it differs
-    from all others.
+    from all others. Rows without a text are written like others, repeated rows each; an empty table writes no shard.
     """
     names = sharded.schema["record"].dataType.names
     held = free_names(names, [shard, slot, "bucket"])
