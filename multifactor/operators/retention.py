@@ -19,6 +19,11 @@ from multifactor.operators.pca import Pca
 from multifactor.operators.storage import stored
 
 
+#: Values of a stretch of places that a task of a permutation holds, all columns and replicates of a round together; values that
+#: a task packs at once to send them.
+STRETCH, BUFFER = 1 << 22, 1 << 21
+
+
 @dataclass(frozen=True)
 class Criterion:
     """A rule's number of axes and its weight in the consensus."""
@@ -89,37 +94,72 @@ def parallel_permuted(df: DataFrame, names: Sequence[str], replicates: int = 20,
     """(replicate, axis, value): eigenvalues of covariances after each column is permuted on its own.
 
     Rows are numbered once, from counts by task. A value's place in a replicate is a keyed permutation of its row's
-    number, so nothing is sorted: columns and ``together`` replicates meet by place in one shuffle and are added up. The first
-    column keeps its place. Only matrices of p x p reach the driver.
+    number, so nothing is sorted: columns and ``together`` replicates meet by stretches of places in one shuffle. A task sends
+    a stretch its values of many rows as one row of packed numbers, and the stretch's products are added up. The first
+    column keeps its place and moves once for all replicates of a round. Only matrices of p x p reach the driver.
     """
     spark, p = df.sparkSession, len(names)
     m = moments(df, names)
-    rows = stored(df.select(*[(col(c).cast("double") - F.lit(float(v))).alias(f"x{j}") for j, (c, v) in enumerate(zip(names, m.mean, strict=True))], F.monotonically_increasing_id().alias("id")))
+    # a missing value adds nothing to the products
+    rows = stored(df.select(*[F.coalesce(col(c).cast("double") - F.lit(float(v)), F.lit(0.0)).alias(f"x{j}") for j, (c, v) in enumerate(zip(names, m.mean, strict=True))], F.monotonically_increasing_id().alias("id")))
     task = F.shiftright("id", 33)  # ids count from 0 in each task
     counts = rows.groupBy(task.alias("task")).agg(F.count("*").alias("m"))
     past = counts.select("task", F.coalesce(F.sum("m").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("past"))
     numbered = rows.withColumn("task", task).join(F.broadcast(past), "task").select((F.col("past") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("i"), *[f"x{j}" for j in range(p)])  # a row for each task
     n = counts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    pairs, out = [(i, j) for i in range(p) for j in range(i, p)], []
-
-    def placed(first: int):
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    slots, out = 1 + (p - 1) * together, []
+    size = max(1, min(STRETCH // slots, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    parts, buffered = -(-n // size), max(1, BUFFER // slots)
+    key_type = np.uint16 if parts <= 1 << 16 else np.int64  # short keys are sorted by digits
+
+    def dealing(first: int):
+        moves = [(b, j) for b in range(first, min(first + together, replicates)) for j in range(1, p)]
+
+        def packed(x: pd.DataFrame) -> pd.DataFrame:
+            i = x["i"].to_numpy()
+            place = np.concatenate([i, *[permuted(i, n, seed + (b << 20) + j) for b, j in moves]])
+            part = place // size
+            at = (place - part * size + np.repeat(np.arange(len(moves) + 1) * size, len(i))).astype(np.uint32)
+            order = np.argsort(part.astype(key_type), kind="stable")
+            at, values = at[order], np.concatenate([x["x0"], *[x[f"x{j}"] for _, j in moves]])[order]
+            met, held = np.unique(part, return_counts=True) if parts > 1 << 22 else (np.arange(parts), np.bincount(part, minlength=parts))
+            ends = np.cumsum(held)
+            spans = [(int(k), int(e - h), int(e)) for k, h, e in zip(met, held, ends, strict=True) if h]
+            return pd.DataFrame({"part": [k for k, _, _ in spans], "at": [at[s:e].tobytes() for _, s, e in spans], "x": [values[s:e].tobytes() for _, s, e in spans]})
+
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, count = [], 0
             for batch in batches:
-                i = batch["i"].to_numpy()
-                for b in range(first, min(first + together, replicates)):
-                    for j in range(p):
-                        at = permuted(i, n, seed + (b << 20) + j) if j else i
-                        yield pd.DataFrame({"b": np.int32(b), "j": np.int32(j), "place": at, "x": batch[f"x{j}"]})
-
-        return place
+                for s in range(0, len(batch), buffered):
+                    held.append(batch.iloc[s : s + buffered])
+                    count += len(held[-1])
+                    if count >= buffered:
+                        yield packed(pd.concat(held))
+                        held, count = [], 0
+            if held:
+                yield packed(pd.concat(held))
+
+        def products(group: pd.DataFrame) -> pd.DataFrame:
+            x = np.zeros((len(moves) + 1) * size)
+            for at, values in zip(group["at"], group["x"], strict=True):
+                x[np.frombuffer(at, np.uint32)] = np.frombuffer(values)
+            x, found = x.reshape(-1, size), []
+            i, j = np.triu_indices(p)
+            for k, b in enumerate(range(first, min(first + together, replicates))):
+                own = x[[0, *range(1 + k * (p - 1), 1 + (k + 1) * (p - 1))]]
+                found.append(pd.DataFrame({"b": np.int32(b), "i": i.astype(np.int32), "j": j.astype(np.int32), "v": (own @ own.T)[i, j]}))
+            return pd.concat(found)
+
+        return deal, products
 
     for first in range(0, replicates, together):
-        met = numbered.mapInPandas(placed(first), "b int, j int, place long, x double").groupBy("b", "place").agg(*[F.max(F.when(F.col("j") == j, F.col("x"))).alias(f"x{j}") for j in range(p)])
-        for row in met.groupBy("b").agg(F.count("*"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).collect():
-            g = np.zeros((p, p))
-            for (i, j), v in zip(pairs, row[2:], strict=True):
-                g[i, j] = g[j, i] = v or 0.0
-            out += [(row.b, k + 1, float(v)) for k, v in enumerate(eigen_symmetric(g / max(row[1] - 1, 1))[0])]
+        deal, products = dealing(first)
+        met = numbered.mapInPandas(deal, "part long, at binary, x binary").groupBy("part").applyInPandas(products, "b int, i int, j int, v double")
+        sums: dict[int, np.ndarray] = {}
+        for row in met.groupBy("b", "i", "j").agg(F.sum("v").alias("v")).collect():
+            g = sums.setdefault(row.b, np.zeros((p, p)))
+            g[row.i, row.j] = g[row.j, row.i] = row.v
+        out += [(b, k + 1, float(v)) for b, g in sorted(sums.items()) for k, v in enumerate(eigen_symmetric(g / max(n - 1, 1))[0])]
     return spark.createDataFrame(out, "replicate long, axis int, value double")
 
 
