@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from multifactor.operators.storage import stored
 
 #: Up to so many rows Spark's exact percentile, which holds a column's distinct values, is used in one aggregation.
 IN_ONE_AGGREGATION = 5_000_000
+#: Approximate quantiles are off by one row in so many at most.
+ACCURACY = 10_000
 
 
 def _in_cells(counts: DataFrame) -> DataFrame:
@@ -78,8 +81,8 @@ def with_ranks(rows: DataFrame, ranks: DataFrame, columns: Mapping[str, tuple[in
     return out
 
 
-def group_quantiles(df: DataFrame, x: Column, group: Column, probabilities: Sequence[float]) -> DataFrame:
-    """(_g, q0, q1, ...): exact quantiles (type 7) of each group's non-null numbers, from cumulated counts."""
+def _counted(df: DataFrame, x: Column, group: Column, probabilities: Sequence[float]) -> DataFrame:
+    """``group_quantiles`` from cumulated counts of all distinct values."""
     held = cumulative_counts(df, x.cast("double"), F.struct(group.alias("g")))  # a struct, so that a null group meets itself
     held = held.join(held.groupBy("_g").agg(F.sum("_n").alias("_all")), "_g")
     out = []
@@ -92,6 +95,49 @@ def group_quantiles(df: DataFrame, x: Column, group: Column, probabilities: Sequ
     return held.groupBy("_g").agg(*out).withColumn("_g", F.col("_g.g"))
 
 
+def _between(df: DataFrame, columns: Sequence[Column], group: Column, probabilities: Sequence[float]) -> DataFrame | None:
+    """Stored (_g, c0_q0, c0_q1, ..., c1_q0, ...): exact quantiles (type 7) of each group's non-null numbers in each column.
+
+    One pass finds values on both sides of each quantile by approximation, one counts the rows below, and one counts the
+    distinct values between, which are about 4 of ACCURACY rows; only these are sorted. Groups of up to 10 x ACCURACY numbers
+    are counted as a whole, once. None if an approximation did not hold.
+    """
+    wide = 2 / ACCURACY
+    sides = F.array(*[F.lit(min(1.0, max(0.0, float(p) + d))) for p in probabilities for d in (-wide, wide)])
+    rows = df.select(group.alias("_g"), *[x.cast("double").alias(f"x{k}") for k, x in enumerate(columns)])
+    number = lambda k, j: k * len(probabilities) + j
+    each = [(k, j) for k in range(len(columns)) for j in range(len(probabilities))]
+    near = rows.groupBy("_g").agg(*[f for k in range(len(columns)) for f in (F.count(f"x{k}").alias(f"n{k}"), F.percentile_approx(f"x{k}", sides, F.lit(ACCURACY)).alias(f"s{k}"))])
+    side = lambda k, j, high: F.when(F.col(f"n{k}") > 10 * ACCURACY, F.element_at(f"s{k}", 2 * j + high + 1))
+    near = stored(near.select("_g", *[f"n{k}" for k in range(len(columns))], *[side(k, j, high).alias(f"{'lh'[high]}{number(k, j)}") for k, j in each for high in (0, 1)]))
+    met = rows.join(near, "_g")
+    below = met.groupBy("_g").agg(*[F.count_if(F.col(f"x{k}") < F.col(f"l{number(k, j)}")).alias(f"b{number(k, j)}") for k, j in each])
+    within = lambda k, j: F.col(f"x{k}").isNotNull() & F.coalesce((F.col(f"x{k}") >= F.col(f"l{number(k, j)}")) & (F.col(f"x{k}") <= F.col(f"h{number(k, j)}")), F.lit(j == 0))
+    some = reduce(lambda a, b: a | b, [within(k, j) for k, j in each])
+    cells = F.explode(F.filter(F.array(*[F.when(within(k, j), F.struct(F.lit(number(k, j)).alias("c"), F.col(f"x{k}").alias("v"))) for k, j in each]), lambda s: s.isNotNull()))
+    counts = met.where(some).select("_g", cells.alias("s")).groupBy("_g", "s.c", "s.v").agg(F.count("*").alias("n"))
+    base = near.join(below, "_g").select("_g", F.explode(F.array(*[F.struct(F.lit(number(k, j)).alias("i"), F.when(F.col(f"n{k}") > 10 * ACCURACY, number(k, j)).otherwise(number(k, 0)).alias("c"), F.col(f"n{k}").alias("all"), F.col(f"b{number(k, j)}").alias("below"), F.lit(float(probabilities[j])).alias("p")) for k, j in each])).alias("s")).select("_g", "s.*")
+    past = F.coalesce(F.sum("n").over(W.partitionBy("_g", "c").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("p") * (F.col("all") - 1)
+    low = F.floor(place)
+    high = F.when(place > low, low + 1).otherwise(low)
+    at = lambda i: F.max(F.when((F.col("past") <= i) & (i < F.col("past") + F.col("n")), F.col("v")))
+    held = counts.withColumn("inner", past).join(base, ["_g", "c"]).withColumn("past", F.col("below") + F.col("inner"))
+    found = held.groupBy("_g", "i").agg(at(low).alias("lv"), at(high).alias("hv"), F.first(place - low).alias("part"))
+    whole = base.join(found, ["_g", "i"], "left").withColumn("q", F.when(F.col("part") == 0, F.col("lv")).otherwise(F.col("lv") + F.col("part") * (F.col("hv") - F.col("lv"))))
+    out = stored(whole.groupBy("_g").agg(F.count_if((F.col("all") > 0) & (F.col("lv").isNull() | F.col("hv").isNull())).alias("_missed"), *[F.max(F.when(F.col("i") == number(k, j), F.col("q"))).alias(f"c{k}_q{j}") for k, j in each]))
+    return None if out.where("_missed > 0").limit(1).count() else out.drop("_missed")
+
+
+def group_quantiles(df: DataFrame, x: Column, group: Column, probabilities: Sequence[float]) -> DataFrame:
+    """(_g, q0, q1, ...): exact quantiles (type 7) of each group's non-null numbers."""
+    held = F.struct(group.alias("g"))  # a struct, so that a null group meets itself
+    found = _between(df.where(x.isNotNull()), [x], held, probabilities)
+    if found is None:
+        return _counted(df, x, group, probabilities)
+    return found.select(F.col("_g.g").alias("_g"), *[F.col(f"c0_q{j}").alias(f"q{j}") for j in range(len(probabilities))])
+
+
 def _selected(df: DataFrame, x: Column, probabilities: Sequence[float], n: int) -> list[float | None]:
     """Linear-interpolation quantiles of n values by their ranks: at most two values for each reach the driver."""
     if not n:
@@ -115,4 +161,7 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column], probabilities: Seque
     if max(counts) <= IN_ONE_AGGREGATION:
         row = df.agg(*[F.percentile(x.cast("double"), F.array(*[F.lit(float(p)) for p in probabilities])) for x in columns.values()]).first()
         return {name: list(q) if q else [None] * len(probabilities) for name, q in zip(columns, row, strict=True)}
+    if (found := _between(df, list(columns.values()), F.lit(0), probabilities)) is not None:
+        row = found.first()
+        return {name: [row[f"c{k}_q{j}"] for j in range(len(probabilities))] for k, name in enumerate(columns)}
     return {name: _selected(df, x.cast("double"), probabilities, n) for (name, x), n in zip(columns.items(), counts, strict=True)}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from multifactor.operators import retention
+from multifactor.operators import quantiles, retention
 
 
 def sent(spark) -> int:
@@ -41,3 +41,21 @@ def test_permuted_columns_move_packed_and_meet_whole(spark, monkeypatch, stretch
 def test_permuting_no_rows_gives_no_draws(spark):
     none = spark.range(0).select(F.col("id").cast("double").alias("a"), F.col("id").cast("double").alias("b"))
     assert retention.parallel_permuted(none, ["a", "b"], 2).count() == 0
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_quantiles_sort_only_what_lies_near_them(spark, monkeypatch, held):
+    rng, p = np.random.default_rng(8), [0, 0.1, 0.25, 0.5, 0.97, 1]
+    monkeypatch.setattr(quantiles, "IN_ONE_AGGREGATION", 1)
+    if hasattr(quantiles, "ACCURACY"):
+        monkeypatch.setattr(quantiles, "ACCURACY", 200)
+        if not held:  # as if an approximation had failed
+            monkeypatch.setattr(quantiles, "_between", lambda *_: None)
+    x, ties, g = rng.normal(size=9000), rng.integers(0, 5, 9000).astype(float), rng.choice(["a", "b", "few", ""], 9000, p=[0.5, 0.3, 0.01, 0.19])
+    rows = spark.createDataFrame([(*map(float, v), k or None) for *v, k in zip(x, ties, g, strict=True)], "x double, ties double, g string").repartition(5).localCheckpoint()
+    before = sent(spark)
+    got = quantiles.quantiles(rows, {"x": F.col("x"), "ties": F.col("ties")}, p)
+    assert np.allclose(got["x"], np.quantile(x, p)) and np.allclose(got["ties"], np.quantile(ties, p))
+    groups = {r[0] or "": r[1:] for r in quantiles.group_quantiles(rows, F.col("x"), F.col("g"), p).collect()}
+    assert set(groups) == set(g) and all(np.allclose(groups[k], np.quantile(x[g == k], p)) for k in groups)
+    assert not held or sent(spark) - before < 9000  # twice 9000 distinct values
