@@ -9,6 +9,7 @@ from multifactor.functions import columns as C
 from multifactor.functions import distributions as D
 from multifactor.functions.columns import col
 from multifactor.operators import adequacy, inference, layouts, prepare, profile
+from multifactor.operators.quantiles import group_quantiles
 from multifactor.operators.storage import new_path
 from multifactor.plans.common import MEASURES, MEASURES_SQL, as_rows, measures, rounded, table
 from multifactor.sources.delimited import is_missing, read_delimited, to_number
@@ -155,11 +156,11 @@ def listwise_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shape_by_returnflag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skewness, kurtosis, their errors and the interquartile range of prices by return flag."""
     x, n = col("l_extendedprice"), F.count(F.lit(1))
-    return (
-        table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
-        .agg(*[F.round(e, d).alias(name) for name, e, d in (("skew", C.skewness(x), 6), ("skew_g1", C.skewness_g1(x), 6), ("kurt", C.kurtosis(x), 6), ("skew_error", C.skewness_error(n), 6), ("kurt_error", C.kurtosis_error(n), 6), ("iqr", C.iqr(x), 4))])
-        .select("l_returnflag", *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("skew", "skew_g1", "kurt", "skew_error", "kurt_error", "iqr")])
-    )
+    lines = table(spark, sf_dir, "lineitem")
+    shapes = lines.groupBy("l_returnflag").agg(*[F.round(e, 6).alias(name) for name, e in (("skew", C.skewness(x)), ("skew_g1", C.skewness_g1(x)), ("kurt", C.kurtosis(x)), ("skew_error", C.skewness_error(n)), ("kurt_error", C.kurtosis_error(n)))])
+    quartiles = group_quantiles(lines, x, col("l_returnflag"), [0.25, 0.75]).select("_g", F.round(F.col("q1") - F.col("q0"), 4).alias("iqr"))
+    met = shapes.join(quartiles, F.col("l_returnflag").eqNullSafe(F.col("_g")), "left")
+    return met.select("l_returnflag", *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("skew", "skew_g1", "kurt", "skew_error", "kurt_error", "iqr")])
 
 
 def _pairs_sql(f: str) -> str:
