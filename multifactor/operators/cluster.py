@@ -187,6 +187,22 @@ def _distances(axes: Sequence[str], centres: np.ndarray) -> list[Column]:
     return out
 
 
+def nearest_centres(x: Sequence[np.ndarray], centres: np.ndarray, together: int = 512) -> np.ndarray:
+    """Number of the nearest centre (the lowest of equals) of points given axis by axis, summed in blocks that stay in cache."""
+    n = len(x[0])
+    out, total, part = np.zeros(n, np.int32), np.empty((together, len(centres))), np.empty((together, len(centres)))
+    for s in range(0, n, together):
+        m = min(together, n - s)
+        for k, a in enumerate(x):
+            to = part[:m] if k else total[:m]
+            np.subtract(a[s : s + m, None], centres[:, k], out=to)
+            np.square(to, out=to)
+            if k:
+                np.add(total[:m], to, out=total[:m])
+        out[s : s + m] = total[:m].argmin(1)
+    return out
+
+
 def assigned(rows: DataFrame, axes: Sequence[str], centres: np.ndarray, name: str = "cluster") -> DataFrame:
     """``rows`` with the nearest centre's number, the lowest of equals; one projection, no shuffle."""
     if len(centres) == 1:
@@ -195,8 +211,7 @@ def assigned(rows: DataFrame, axes: Sequence[str], centres: np.ndarray, name: st
 
         @F.pandas_udf(T.IntegerType())
         def nearest(*coordinates: pd.Series) -> pd.Series:
-            x = np.stack([c.to_numpy(float) for c in coordinates], axis=1)
-            return pd.Series(np.concatenate([((x[i : i + 4096, None, :] - centres[None]) ** 2).sum(2).argmin(1) for i in range(0, len(x), 4096)] or [[]]), dtype="int32")
+            return pd.Series(nearest_centres([c.to_numpy(float) for c in coordinates], centres))
 
         return rows.withColumn(name, nearest(*[col(a).cast("double") for a in axes]))
     held = F.array(*_distances(axes, centres))

@@ -1,10 +1,12 @@
 """Steps whose work or memory grows with the rows: what they send, and that bounded pieces give the whole result."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from multifactor.operators import quantiles, retention
+from multifactor.operators import cluster, quantiles, retention
 
 
 def sent(spark) -> int:
@@ -59,3 +61,15 @@ def test_quantiles_sort_only_what_lies_near_them(spark, monkeypatch, held):
     groups = {r[0] or "": r[1:] for r in quantiles.group_quantiles(rows, F.col("x"), F.col("g"), p).collect()}
     assert set(groups) == set(g) and all(np.allclose(groups[k], np.quantile(x[g == k], p)) for k in groups)
     assert not held or sent(spark) - before < 9000  # twice 9000 distinct values
+
+
+@pytest.mark.parametrize("axes", [1, 2, 5])
+def test_nearest_centres_hold_no_cube_of_differences(axes):
+    rng, n = np.random.default_rng(axes), 10_000
+    x, centres = rng.normal(size=(n, axes)).round(1), rng.normal(size=(300, axes)).round(1)  # with many equal distances
+    tracemalloc.start()
+    got = cluster.nearest_centres([*x.T], centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == ((x[:, None, :] - centres) ** 2).sum(2).argmin(1)).all() and peak < 4e6
+    assert len(cluster.nearest_centres([*x[:0].T], centres)) == 0
