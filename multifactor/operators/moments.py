@@ -40,13 +40,18 @@ def matrix_of_arrays(column: pa.Array, width: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
 
-def gram_of_rows(rows: DataFrame, width: int) -> np.ndarray:
-    """X'X of ``rows``' one column, arrays of ``width`` numbers: a matrix from each task, its lines added up by line."""
+def gram_of_rows(rows: DataFrame, width: int, by: np.ndarray | None = None) -> np.ndarray:
+    """X'X of ``rows``' one column, arrays of ``width`` numbers: a matrix from each task, its lines added up by line.
+
+    With ``by`` (width x any) X is the column times it, multiplied in the same worker.
+    """
+    read, width = width, width if by is None else by.shape[1]
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
-            x = matrix_of_arrays(batch.column(0), width)
+            x = matrix_of_arrays(batch.column(0), read)
+            x = x if by is None else x @ by
             total += x.T @ x
         yield pa.RecordBatch.from_pydict({"i": np.arange(width, dtype=np.int32), "line": [*total]})
 

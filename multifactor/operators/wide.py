@@ -87,7 +87,7 @@ def leading_eigen(entries: DataFrame, nodes: DataFrame, k: int, *, diagonal: flo
             break
         first = project @ (axes[:, fresh] / np.sqrt(scale[fresh]))
         n_new = first.shape[1]
-        g2 = gram_of_rows(_times(both, [], F.col("x"), np.hstack([np.eye(held + size, held), first]), "x"), held + n_new)
+        g2 = gram_of_rows(both, held + size, np.hstack([np.eye(held + size, held), first]))
         again = np.vstack([-g2[:held, held:], np.eye(n_new)])
         scale, axes = np.linalg.eigh(again.T @ g2 @ again)
         good = axes[:, scale > 0.5] / np.sqrt(scale[scale > 0.5])  # what the second pass shrinks was rounding

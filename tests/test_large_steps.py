@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from multifactor.operators import cluster, quantiles, retention
+from multifactor.operators import cluster, moments, quantiles, retention
 
 
 def sent(spark) -> int:
@@ -73,3 +73,10 @@ def test_nearest_centres_hold_no_cube_of_differences(axes):
     tracemalloc.stop()
     assert (got == ((x[:, None, :] - centres) ** 2).sum(2).argmin(1)).all() and peak < 4e6
     assert len(cluster.nearest_centres([*x[:0].T], centres)) == 0
+
+
+def test_gram_of_products_needs_one_worker_for_each_task(spark):
+    rng = np.random.default_rng(3)
+    x, by = rng.normal(size=(500, 4)), rng.normal(size=(4, 3))
+    rows = spark.createDataFrame([(r,) for r in x.tolist()], "x array<double>").repartition(6)
+    assert np.allclose(moments.gram_of_rows(rows, 4, by), (x @ by).T @ (x @ by)) and np.allclose(moments.gram_of_rows(rows.where("false"), 4, by), 0)
