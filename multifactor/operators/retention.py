@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,12 +18,16 @@ from multifactor.functions.columns import col
 from multifactor.functions.linalg import eigen_symmetric, to_correlation
 from multifactor.operators.moments import moments
 from multifactor.operators.pca import Pca
-from multifactor.operators.storage import stored
+from multifactor.operators.storage import shuffles_freed, stored
 
 
 #: Values of a stretch of places that a task of a permutation holds, all columns and replicates of a round together; values that
 #: a task packs at once to send them.
 STRETCH, BUFFER = 1 << 22, 1 << 21
+#: Values that a round of a permutation moves to its places at most, 8 GB on disk, unless one replicate has more.
+MOVED = 1 << 30
+#: Values that are stored as one row, so that Spark handles few rows and its batches of rows stay small.
+LOT = 192
 
 
 @dataclass(frozen=True)
@@ -67,46 +73,73 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def permuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
+@lru_cache(64)
+def _rounds(bits: int, key: int) -> list[Callable[[np.ndarray], np.ndarray]]:
+    """What each of six Feistel rounds adds, by the other half; from tables where a half has up to 16 bits."""
+    keys = _mixed(np.uint64(key & (2**64 - 1)) + np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    sizes = (bits // 2, bits - bits // 2)
+
+    def added(half: np.ndarray, k: np.uint64, size: int) -> np.ndarray:
+        return (_mixed(half.astype(np.uint64) ^ k) & np.uint64((1 << size) - 1)).astype(np.int64)
+
+    if sizes[1] > 16:
+        return [partial(added, k=k, size=sizes[r % 2]) for r, k in enumerate(keys)]
+    return [added(np.arange(1 << sizes[1 - r % 2]), k, sizes[r % 2]).astype(np.uint16).take for r, k in enumerate(keys)]
+
+
+def permuted(numbers: np.ndarray, n: int, key: int, *, back: bool = False) -> np.ndarray:
     """The places of ``numbers`` (of 0 .. n - 1) in a permutation that ``key`` fixes, each computed by itself.
 
     Six Feistel rounds permute the least power of two that holds ``n``; a number that leaves the range is sent on until it
-    is back, at most twice on average, which keeps the whole a permutation.
+    is back, at most twice on average, which keeps the whole a permutation. With ``back``, the numbers that have the places.
     """
     bits = max(2, int(n - 1).bit_length())
-    keys = _mixed(np.uint64(key & (2**64 - 1)) + np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    rounds, low = _rounds(bits, key), bits - bits // 2
 
     def once(v: np.ndarray) -> np.ndarray:
-        low = bits - bits // 2
-        left, right, sizes = v >> np.uint64(low), v & np.uint64((1 << low) - 1), (bits // 2, low)
-        for k in keys:
-            left, right = right, left ^ (_mixed(right ^ k) & np.uint64((1 << sizes[0]) - 1))
-            sizes = sizes[::-1]
-        return (left << np.uint64(low)) | right
+        left, right = v >> low, v & ((1 << low) - 1)
+        for added in reversed(rounds) if back else rounds:
+            left, right = (right ^ added(left), left) if back else (right, left ^ added(right))
+        return (left << low) | right
 
-    out = once(np.asarray(numbers).astype(np.uint64))
-    while len(beyond := np.flatnonzero(out >= np.uint64(n))):
-        out[beyond] = once(out[beyond])
-    return out.astype(np.int64)
+    out = once(np.asarray(numbers).astype(np.int64))
+    beyond = np.flatnonzero(out >= n)
+    while len(beyond):
+        out[beyond] = moved = once(out[beyond])
+        beyond = beyond[moved >= n]
+    return out
 
 
 def parallel_permuted(df: DataFrame, names: Sequence[str], replicates: int = 20, seed: int = 42, together: int = 5) -> DataFrame:
     """(replicate, axis, value): eigenvalues of covariances after each column is permuted on its own.
 
-    Rows are numbered once, from counts by task. A value's place in a replicate is a keyed permutation of its row's
-    number, so nothing is sorted: columns and ``together`` replicates meet by stretches of places in one shuffle. A task sends
-    a stretch its values of many rows as one row of packed numbers, and the stretch's products are added up. The first
-    column keeps its place and moves once for all replicates of a round. Only matrices of p x p reach the driver.
+    Rows are packed and numbered once, from counts by task. A value's place in a replicate is a keyed permutation of its row's
+    number, so nothing is sorted: columns and ``together`` replicates meet by stretches of places in one shuffle, or fewer
+    replicates if these are more than MOVED values; its files go before the next round. A task sends a stretch its values of a
+    run of rows as one row of packed numbers in the order of the rows. Places are not sent: the stretch finds which rows its
+    places have by the permutation's inverse. Its products are added up. The first column keeps its place and moves once for
+    all replicates of a round. Only matrices of p x p reach the driver.
     """
     spark, p = df.sparkSession, len(names)
     m = moments(df, names)
+    lot = max(1, LOT // p)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, past = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            x = np.ascontiguousarray(batch.to_numpy(float))
+            lots = [x[s : s + lot] for s in range(0, len(x), lot)]
+            yield pd.DataFrame({"task": task, "first": [past + s for s in range(0, len(x), lot)], "m": [len(one) for one in lots], "x": [one.tobytes() for one in lots]})
+            past += len(x)
+
     # a missing value adds nothing to the products
-    rows = stored(df.select(*[F.coalesce(col(c).cast("double") - F.lit(float(v)), F.lit(0.0)).alias(f"x{j}") for j, (c, v) in enumerate(zip(names, m.mean, strict=True))], F.monotonically_increasing_id().alias("id")))
-    task = F.shiftright("id", 33)  # ids count from 0 in each task
-    counts = rows.groupBy(task.alias("task")).agg(F.count("*").alias("m"))
-    past = counts.select("task", F.coalesce(F.sum("m").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("past"))
-    numbered = rows.withColumn("task", task).join(F.broadcast(past), "task").select((F.col("past") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("i"), *[f"x{j}" for j in range(p)])  # a row for each task
+    centred = df.select(*[F.coalesce(col(c).cast("double") - F.lit(float(v)), F.lit(0.0)).alias(f"x{j}") for j, (c, v) in enumerate(zip(names, m.mean, strict=True))])
+    rows = stored(centred.mapInPandas(pack, "task int, first long, m int, x binary"))
+    counts = rows.groupBy("task").agg(F.sum("m").alias("m"))
+    past = counts.select("task", F.coalesce(F.sum("m").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("past"))  # a row for each task
+    numbered = rows.join(F.broadcast(past), "task").select((F.col("past") + F.col("first")).alias("i"), "x")
     n = counts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    together = max(1, min(together, MOVED // max(1, n * (p - 1))))
     slots, out = 1 + (p - 1) * together, []
     size = max(1, min(STRETCH // slots, -(-n // (2 * spark.sparkContext.defaultParallelism))))
     parts, buffered = -(-n // size), max(1, BUFFER // slots)
@@ -115,38 +148,50 @@ def parallel_permuted(df: DataFrame, names: Sequence[str], replicates: int = 20,
     def dealing(first: int):
         moves = [(b, j) for b in range(first, min(first + together, replicates)) for j in range(1, p)]
 
-        def packed(x: pd.DataFrame) -> pd.DataFrame:
-            i = x["i"].to_numpy()
-            place = np.concatenate([i, *[permuted(i, n, seed + (b << 20) + j) for b, j in moves]])
-            part = place // size
-            at = (place - part * size + np.repeat(np.arange(len(moves) + 1) * size, len(i))).astype(np.uint32)
-            order = np.argsort(part.astype(key_type), kind="stable")
-            at, values = at[order], np.concatenate([x["x0"], *[x[f"x{j}"] for _, j in moves]])[order]
+        def packed(start: int, lots: list[bytes]) -> pd.DataFrame:
+            x = np.frombuffer(b"".join(lots)).reshape(-1, p).T
+            i = start + np.arange(x.shape[1])
+            part = np.concatenate([i, *[permuted(i, n, seed + (b << 20) + j) for b, j in moves]]) // size
+            order = np.argsort(part.astype(key_type), kind="stable")  # by part, then column of a replicate, then row
+            slot, values = order // len(i), np.concatenate([x[0], *[x[j] for _, j in moves]])[order]
             met, held = np.unique(part, return_counts=True) if parts > 1 << 22 else (np.arange(parts), np.bincount(part, minlength=parts))
             ends = np.cumsum(held)
             spans = [(int(k), int(e - h), int(e)) for k, h, e in zip(met, held, ends, strict=True) if h]
-            return pd.DataFrame({"part": [k for k, _, _ in spans], "at": [at[s:e].tobytes() for _, s, e in spans], "x": [values[s:e].tobytes() for _, s, e in spans]})
+            sizes = [np.bincount(slot[s:e], minlength=len(moves) + 1).astype(np.uint32).tobytes() for _, s, e in spans]
+            return pd.DataFrame({"part": [k for k, _, _ in spans], "row": start, "sizes": sizes, "x": [values[s:e].tobytes() for _, s, e in spans]})
 
         def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held, count = [], 0
+            lots, start, end = [], 0, 0
             for batch in batches:
-                for s in range(0, len(batch), buffered):
-                    held.append(batch.iloc[s : s + buffered])
-                    count += len(held[-1])
-                    if count >= buffered:
-                        yield packed(pd.concat(held))
-                        held, count = [], 0
-            if held:
-                yield packed(pd.concat(held))
+                for i, x in zip(batch["i"], batch["x"], strict=True):
+                    if lots and (i != end or end - start >= buffered):
+                        yield packed(start, lots)
+                        lots = []
+                    if not lots:
+                        start = i
+                    lots.append(x)
+                    end = i + len(x) // (8 * p)
+            if lots:
+                yield packed(start, lots)
 
         def products(group: pd.DataFrame) -> pd.DataFrame:
-            x = np.zeros((len(moves) + 1) * size)
-            for at, values in zip(group["at"], group["x"], strict=True):
-                x[np.frombuffer(at, np.uint32)] = np.frombuffer(values)
-            x, found = x.reshape(-1, size), []
-            i, j = np.triu_indices(p)
+            group, start = group.sort_values("row"), int(group["part"].iloc[0]) * size
+            places, found = np.arange(start, min(start + size, n)), []
+            ends = np.cumsum([np.frombuffer(s, np.uint32) for s in group["sizes"]], axis=1)
+            sent = [np.split(np.frombuffer(x), e[:-1]) for x, e in zip(group["x"], ends, strict=True)]
+
+            def column(slot: int) -> np.ndarray:
+                x = np.concatenate([s[slot] for s in sent])
+                if slot:
+                    b, j = moves[slot - 1]
+                    x[np.argsort(permuted(places, n, seed + (b << 20) + j, back=True))] = x.copy()
+                return x
+
+            own, (i, j) = np.empty((p, len(places))), np.triu_indices(p)
+            own[0] = column(0)
             for k, b in enumerate(range(first, min(first + together, replicates))):
-                own = x[[0, *range(1 + k * (p - 1), 1 + (k + 1) * (p - 1))]]
+                for c in range(1, p):
+                    own[c] = column(k * (p - 1) + c)
                 found.append(pd.DataFrame({"b": np.int32(b), "i": i.astype(np.int32), "j": j.astype(np.int32), "v": (own @ own.T)[i, j]}))
             return pd.concat(found)
 
@@ -154,11 +199,12 @@ def parallel_permuted(df: DataFrame, names: Sequence[str], replicates: int = 20,
 
     for first in range(0, replicates, together):
         deal, products = dealing(first)
-        met = numbered.mapInPandas(deal, "part long, at binary, x binary").groupBy("part").applyInPandas(products, "b int, i int, j int, v double")
         sums: dict[int, np.ndarray] = {}
-        for row in met.groupBy("b", "i", "j").agg(F.sum("v").alias("v")).collect():
-            g = sums.setdefault(row.b, np.zeros((p, p)))
-            g[row.i, row.j] = g[row.j, row.i] = row.v
+        with shuffles_freed(spark):
+            met = numbered.mapInPandas(deal, "part long, row long, sizes binary, x binary").groupBy("part").applyInPandas(products, "b int, i int, j int, v double")
+            for row in met.groupBy("b", "i", "j").agg(F.sum("v").alias("v")).collect():
+                g = sums.setdefault(row.b, np.zeros((p, p)))
+                g[row.i, row.j] = g[row.j, row.i] = row.v
         out += [(b, k + 1, float(v)) for b, g in sorted(sums.items()) for k, v in enumerate(eigen_symmetric(g / max(n - 1, 1))[0])]
     return spark.createDataFrame(out, "replicate long, axis int, value double")
 

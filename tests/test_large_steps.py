@@ -1,5 +1,6 @@
 """Steps whose work or memory grows with the rows: what they send, and that bounded pieces give the whole result."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -40,6 +41,43 @@ def test_permuted_columns_move_packed_and_meet_whole(spark, monkeypatch, stretch
         assert np.allclose(found[found["replicate"] == b].sort_values("axis")["value"], want)
 
 
+def on_disk(spark) -> int:
+    """Bytes of shuffle files that are still there."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def shuffled(spark) -> dict[int, int]:
+    """Bytes that each stage so far wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    rest = [getattr(store, f"stageList$default${i}")() for i in range(2, 6)]
+    stages = store.stageList(None, *rest)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_permuted_values_move_without_places_and_leave_no_files(spark, monkeypatch):
+    n, draws = 40_000, []
+    kept = spark.range(n).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c")).localCheckpoint()
+    for moved, together, rounds in ((1 << 30, 3, 2), (5 * n, 2, 3)):  # the second bound holds two replicates
+        monkeypatch.setattr(retention, "MOVED", moved, raising=False)
+        held, before = on_disk(spark), shuffled(spark)
+        draws.append(retention.parallel_permuted(kept, ["a", "b", "c"], 6, together=3).toPandas()["value"])
+        written = [size for stage, size in shuffled(spark).items() if stage not in before and size > 8 * n]
+        until = time.monotonic() + 20
+        while on_disk(spark) > held + 8 * n and time.monotonic() < until:  # those of means and counts may stay
+            time.sleep(0.2)
+        assert on_disk(spark) < held + 8 * n
+        assert len(written) == rounds and max(written) < 9 * (1 + 2 * together) * n  # 8 bytes a value, the first column once
+    assert np.allclose(*draws)
+
+
+def test_places_lead_back_to_their_numbers():
+    for n in (1, 5, 4097, 3 << 31, 3 << 40):  # from tables, and without
+        numbers = np.unique(np.linspace(0, n - 1, 5000).astype(np.int64))
+        places = retention.permuted(numbers, n, 9)
+        assert places.min() >= 0 and places.max() < n and (retention.permuted(places, n, 9, back=True) == numbers).all()
+
+
 def test_permuting_no_rows_gives_no_draws(spark):
     none = spark.range(0).select(F.col("id").cast("double").alias("a"), F.col("id").cast("double").alias("b"))
     assert retention.parallel_permuted(none, ["a", "b"], 2).count() == 0
